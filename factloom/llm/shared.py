@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Separators of words: space and \t \n \v \f \r, and nothing else.
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -41,6 +42,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
+def running_totals(parts: DataFrame, part: str, value: str, out: str) -> DataFrame:
+    """``part`` and the sum of ``value`` over smaller parts. ``parts`` has a row for each partition of a job, no more."""
+    ahead = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(part, F.coalesce(F.sum(value).over(ahead), F.lit(0)).cast("long").alias(out))
+
+
+def positions(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with each row's ``position`` (from 0) in the order of all rows, without sorting them in one task."""
+    names = [f"_order{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names)
+    dealt = cut(dealt.withColumn("_part", F.spark_partition_id()))
+    ahead = running_totals(dealt.groupBy("_part").agg(F.count("*").alias("_n")), "_part", "_n", "_ahead")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*names)) - 1
+    placed = dealt.withColumn("position", place.cast("long")).join(ahead, "_part")
+    return placed.withColumn("position", F.col("position") + F.col("_ahead")).select(*df.columns, "position")
+
+
 def small_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 100_000) -> DataFrame:
     """Join with a table that is usually small: broadcast only if it is seen to hold at most ``rows`` rows.
 
