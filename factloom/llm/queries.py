@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, simhash, substring
+from factloom.llm import mixing, quality, simhash, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring.remove_repeats(_table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -27,6 +31,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_weak_supervision": op2_weak_supervision,
     "op3_substring_dedup": op3_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
