@@ -160,22 +160,6 @@ def _cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _spans(c: Chunk, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut words as (start, end, start, end, ...) within each row, and how many numbers each row has."""
-    opens, closes = cut.copy(), cut.copy()
-    if len(cut):
-        opens[1:] &= ~cut[:-1]
-        closes[:-1] &= ~cut[1:]
-        heads = c.at[:-1][c.count > 0]
-        opens[heads] = cut[heads]
-        tails = c.at[1:][c.count > 0] - 1
-        closes[tails] = cut[tails]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    row = np.searchsorted(c.at, start, side="right") - 1
-    flat = np.stack([start - c.at[row], end - c.at[row] + 1], axis=1).ravel()
-    return flat.astype(np.int32), 2 * np.bincount(row, minlength=len(c.count))
-
-
 def _kept_texts(c: Chunk, cut: np.ndarray) -> list[str]:
     """The words of each row that aren't cut, joined by one space."""
     kept = np.flatnonzero(~cut)
@@ -201,68 +185,54 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]), values
 
 
-_DOC = "doc long, sub long, text string"
-_OPEN = "windows array<struct<anchor: long, whole: long, pos: int>>"
+def _settled(c: Chunk, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and ``again`` of the marks of a chunk's rows."""
+    a, b = c.first, c.first + len(c.count)
+    row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+    mark = marks[offsets[a] : offsets[b]].astype(np.int64)
+    return row, c.at[row] + mark // 2, mark % 2 == 1
 
 
-def _extend(window: int, k: int) -> Callable:
-    """doc, sub, text, marks -> doc, sub, text, ``cut`` spans that are sure, and the windows still to be asked for."""
+def _open_windows(window: int, k: int) -> Callable:
+    """doc, sub, text, marks -> rows of _SEEN for each window whose anchor was first in one of several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             offsets, marks = _lists(batch.column(3))
-            spans, sizes, asked_for, asks = [], [], [], []
+            parts = []
             for c in chunks(batch.column(2)):
-                a, b = c.first, c.first + len(c.count)
-                row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
-                mark = marks[offsets[a] : offsets[b]].astype(np.int64)
-                at, again = c.at[row] + mark // 2, mark % 2 == 1
-                first, last = np.maximum(at - (window - k), c.at[row]), np.minimum(at + window, c.at[row + 1])
-                flat, size = _spans(c, _cover(len(c.start), first[again], last[again]))
-                spans.append(flat)
-                sizes.append(size)
-                asked, n = np.zeros(len(c.start), bool), np.zeros(b - a, np.int64)
+                _, at, again = _settled(c, offsets, marks)
+                asked = np.zeros(len(c.start), bool)
                 asked[at[~again]] = True
                 if asked.any():
                     h = c.word_hashes()
                     start, anchor, grams = _winnow(c, h, window, k)
                     start, anchor = start[asked[anchor]], anchor[asked[anchor]]
                     row = np.searchsorted(c.at, start, side="right") - 1
-                    n = np.bincount(row, minlength=b - a)
                     whole = word_span_hashes(h, start, start + window)
-                    asked_for.append((grams[anchor].view(np.int64), whole.view(np.int64), (start - c.at[row]).astype(np.int32)))
-                asks.append(n)
-            ends = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *x]))]).astype(np.int32))
-            cut = pa.ListArray.from_arrays(ends(sizes), pa.array(np.concatenate([np.zeros(0, np.int32), *spans])))
-            fields = [pa.array(np.concatenate([np.zeros(0, t), *(x[i] for x in asked_for)])) for i, t in enumerate((np.int64, np.int64, np.int32))]
-            windows = pa.ListArray.from_arrays(ends(asks), pa.StructArray.from_arrays(fields, ["anchor", "whole", "pos"]))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), cut, windows], ["doc", "sub", "text", "cut", "windows"])
+                    parts.append((grams[anchor], whole, docs[c.first + row], subs[c.first + row], start - c.at[row]))
+            if parts:
+                yield _batch(*map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
 
-def _seen_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two, doc, sub, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        yield _batch(one.view(np.uint64), two.view(np.uint64), doc, sub, pos.astype(np.int64))
-
-
-def _finish(window: int) -> Callable:
-    """doc, sub, text, cut, marks of windows -> doc, n_words, n_removed, kept_text."""
+def _finish(window: int, k: int) -> Callable:
+    """doc, sub, text, marks of blocks, marks of windows -> doc, n_words, n_removed, kept_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            span_at, spans = _lists(batch.column(3))
-            mark_at, marks = _lists(batch.column(4))
+            blocks, windows = _lists(batch.column(3)), _lists(batch.column(4))
             for c in chunks(batch.column(2)):
-                a, b = c.first, c.first + len(c.count)
-                flat = spans[span_at[a] : span_at[b]].reshape(-1, 2).astype(np.int64)
-                base = c.at[np.repeat(np.arange(b - a), np.diff(span_at[a : b + 1]) // 2)]
-                mark = marks[mark_at[a] : mark_at[b]].astype(np.int64)
-                start = (c.at[np.repeat(np.arange(b - a), np.diff(mark_at[a : b + 1]))] + mark // 2)[mark % 2 == 1]
-                cut = _cover(len(c.start), np.concatenate([flat[:, 0] + base, start]), np.concatenate([flat[:, 1] + base, start + window]))
+                row, at, again = _settled(c, *blocks)
+                first, last = np.maximum(at - (window - k), c.at[row])[again], np.minimum(at + window, c.at[row + 1])[again]
+                _, start, again = _settled(c, *windows)
+                start = start[again]
+                cut = _cover(len(c.start), np.concatenate([first, start]), np.concatenate([last, start + window]))
                 removed = np.bincount(c.row_of_word(), cut, len(c.count)).astype(np.int64)
-                columns = [batch.column(0).slice(a, b - a), pa.array(c.count), pa.array(removed), pa.array(_kept_texts(c, cut), pa.string())]
+                ids = batch.column(0).slice(c.first, len(c.count))
+                columns = [ids, pa.array(c.count), pa.array(removed), pa.array(_kept_texts(c, cut), pa.string())]
                 yield pa.record_batch(columns, ["doc", "n_words", "n_removed", "kept_text"])
 
     return run
@@ -284,15 +254,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     least = F.lit(-(1 << 63)).cast("long")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("doc"), sub.alias("sub"), text.alias("text"))
 
-    marks = _found(keyed.mapInArrow(_seen_anchors(window, gram), _SEEN))
-    step = keyed.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "marks")
-    step = written(step.mapInArrow(_extend(window, gram), f"{_DOC}, cut array<int>, {_OPEN}"), "extended")
-    asked = step.where(F.size("windows") > 0)
-    windows = asked.select("doc", "sub", F.explode("windows").alias("w")).select("w.anchor", "w.whole", "doc", "sub", "w.pos")
-    again = _found(windows.mapInArrow(_seen_windows, _SEEN))
-    closed = step.where(F.size("windows") == 0).select("doc", "sub", "text", "cut", F.lit(None).cast("array<bigint>").alias("marks"))
-    settled = closed.unionByName(asked.join(again, ["doc", "sub"], "left").select("doc", "sub", "text", "cut", "marks"))
-    done = settled.mapInArrow(_finish(window), "doc long, n_words long, n_removed long, kept_text string")
+    # both joins below read the texts from one shuffle by document
+    marks = written(_found(keyed.mapInArrow(_seen_anchors(window, gram), _SEEN)), "anchors")
+    texts = keyed.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "marks")
+    asked = _found(texts.mapInArrow(_open_windows(window, gram), _SEEN)).withColumnRenamed("marks", "asked")
+    settled = texts.join(asked, ["doc", "sub"], "left").select("doc", "sub", "text", "marks", "asked")
+    done = settled.mapInArrow(_finish(window, gram), "doc long, n_words long, n_removed long, kept_text string")
     kind = docs.schema[id_col].dataType
     return done.select(F.nullif("doc", least).cast(kind).alias(id_col), "n_words", "n_removed", "kept_text")
 
