@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, simhash, substring, topk
+from factloom.llm import mixing, quality, simhash, substring, topk, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,20 @@ def op4_topk_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urlfilter.filter_urls(_table(spark, folder, "pages"), rules)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -39,6 +53,7 @@ QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_topk_uniform_threshold": op4_topk_uniform_threshold,
+    "op6_url_rules": op6_url_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -57,4 +72,21 @@ ORACLES: dict[str, str] = {
             FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op6_url_rules": """
+        WITH parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+            FROM pages
+        ), rules(rule_host, rule_path, verdict) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                   ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), fits AS (
+            SELECT p.*, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
+            FROM parts p LEFT JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
 }
