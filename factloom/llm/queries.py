@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, simhash, substring, topk, urlfilter
+from factloom.llm import mixing, quality, simhash, substring, tokenfile, topk, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_topk_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op5_addressable_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokenfile.dataset_folder(spark, "tokens")
+    tokenfile.write_tokens(_table(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read_documents(spark.read.parquet(files))
+
+
 URL_RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -53,6 +61,7 @@ QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_topk_uniform_threshold": op4_topk_uniform_threshold,
+    "op5_addressable_tokens": op5_addressable_tokens,
     "op6_url_rules": op6_url_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
