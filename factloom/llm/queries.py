@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, simhash, substring, tokenfile, topk, urlfilter
+from factloom.llm import chat, mixing, packing, quality, shards, simhash, substring, tokenfile, topk, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,25 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, folder, "pages"), rules)
 
 
+def op7_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(_table(spark, folder, "conversations"))
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+def op9_tiered_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents arrive in eight batches, are appended, compacted after each and read back from the last version."""
+    docs = _table(spark, folder, "documents")
+    store = shards.Shards(spark, tokenfile.dataset_folder(spark, "shards"))
+    for batch in shards.arrivals(docs, "doc_id", 8):
+        store.append(batch)
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -63,10 +82,39 @@ QUERIES = {
     "op4_topk_uniform_threshold": op4_topk_uniform_threshold,
     "op5_addressable_tokens": op5_addressable_tokens,
     "op6_url_rules": op6_url_rules,
+    "op7_perspective_rotation": op7_perspective_rotation,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_tiered_shards": op9_tiered_shards,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_perspective_rotation": """
+        WITH rows AS (
+            SELECT conv_id, turn, CASE WHEN trim(role) = '' OR role IS NULL THEN 'unknown' ELSE role END AS s, coalesce(text, '') AS x
+            FROM conversations
+        ), people AS (
+            SELECT DISTINCT conv_id, s AS perspective FROM rows WHERE s <> 'system'
+        ), seen AS (
+            SELECT r.conv_id, perspective, turn, s, x,
+                   CASE WHEN s = 'system' THEN 'system' WHEN s = perspective THEN 'assistant' ELSE 'user' END AS role
+            FROM rows r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+        ), told AS (
+            SELECT *, CASE WHEN role = 'user' THEN s END AS name,
+                   '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || s ELSE '' END || chr(10) AS head
+            FROM seen
+        ), placed AS (
+            SELECT *, head || x || '<|im_end|>' || chr(10) AS segment,
+                   sum(length(head || x || '<|im_end|>' || chr(10)))
+                       OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, s, x ROWS UNBOUNDED PRECEDING) AS e
+            FROM told
+        )
+        SELECT conv_id, perspective, turn, role, name, segment,
+               CAST(e - length(segment) AS BIGINT) AS char_start, CAST(e AS BIGINT) AS char_end,
+               CASE WHEN role = 'assistant' THEN CAST(e - length(segment) + length(head) AS BIGINT) END AS loss_start,
+               CASE WHEN role = 'assistant' THEN CAST(e - 1 AS BIGINT) END AS loss_end
+        FROM placed""",
+    "op9_tiered_shards": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     "op4_topk_uniform_threshold": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
