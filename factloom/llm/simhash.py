@@ -202,3 +202,21 @@ def near_duplicates(
         "component_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the first by id, then text. Rows are unchanged.
+
+    Rows without an id, and rows that share one, are told apart by their text.
+    """
+    keyed = docs.withColumn("_print_of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    ids = keyed.select(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_print_of").alias("p")).alias("_key"), text_col)
+    found = near_duplicates(ids, shingle_words, max_bits, "_key", text_col)
+    # copies under one key count once, and the row chosen is the first of its component
+    first = found.select("component_id").distinct().select(
+        F.col("component_id.known").alias("_known"), F.coalesce("component_id.id", F.lit(0)).alias("_id"), F.col("component_id.p").alias("_p")
+    )
+    rows = keyed.withColumn("_known", F.col(id_col).isNotNull()).withColumn("_id", F.coalesce(F.col(id_col), F.lit(0)))
+    kept = rows.join(first.withColumnRenamed("_p", "_print_of"), ["_known", "_id", "_print_of"], "left_semi")
+    # rows equal in id and text
+    return kept.dropDuplicates(["_known", "_id", "_print_of"]).select(docs.columns)

@@ -263,3 +263,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     kind = docs.schema[id_col].dataType
     return done.select(F.nullif("doc", least).cast(kind).alias(id_col), "n_words", "n_removed", "kept_text")
 
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from the texts; rows that lose nothing are unchanged.
+
+    A changed text is its kept words joined by one space, and ``n_chars``, if there is one, its length. For
+    rows that share an id and differ in text use ``remove_repeats``.
+    """
+    found = remove_repeats(docs, window, gram, id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("_id"), "kept_text")
+    rows = docs.join(found.dropDuplicates(["_id"]), docs[id_col].eqNullSafe(F.col("_id")), "left")
+    changed = F.col("kept_text").isNotNull()
+    new = {text_col: F.coalesce("kept_text", F.col(text_col))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumns(new).select(docs.columns)
