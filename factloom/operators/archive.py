@@ -122,7 +122,8 @@ def show_runs(runs: DataFrame, reports: DataFrame, findings: DataFrame, sources:
     rows = runs.join(told, "run_id", "left").join(count(findings, "n_findings"), "run_id", "left").join(count(sources, "n_sources"), "run_id", "left")
     own = F.col("report_length") if "report_length" in runs.columns else F.lit(None).cast("int")
     length = F.coalesce("_length", own, F.lit(0))
-    return rows.drop("_length", "report_length").withColumn("report_length", length).fillna(0, ["n_findings", "n_sources"])
+    rows = rows.withColumn("report_length", length).drop("_length")
+    return rows.fillna(0, ["n_findings", "n_sources"])
 
 
 def list_run_sources(sources: DataFrame, limit: int = 50) -> DataFrame:

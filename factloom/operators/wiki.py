@@ -223,12 +223,12 @@ def missing_manifest_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
 
 def lint_wiki(pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """``severity``, ``code``, ``path`` and ``detail`` of what is wrong: missing URLs, topics without sources, broken links, missing pages."""
-    front = read_frontmatter(pages)
+    front = read_frontmatter(pages).select("path", F.struct(F.col("fields")["type"].alias("type"), F.col("fields")["url"].alias("url")).alias("fields"), F.size(F.col("lists")["sources"]).alias("n_sources"))
     kind = F.col("fields")["type"]
     issue = lambda df, severity, code, detail: df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "path", detail.alias("detail"))
     none = F.lit(None).cast("string")
     no_url = front.where((kind == "source") & F.coalesce(blank(F.col("fields")["url"]), F.lit(True)))
-    no_sources = front.where((kind == "topic") & (F.coalesce(F.size(F.col("lists")["sources"]), F.lit(0)) <= 0))
+    no_sources = front.where((kind == "topic") & (F.coalesce("n_sources", F.lit(0)) <= 0))
     checked = pages.where(~F.col("path").startswith("Lint/") & ~F.col("path").startswith("Templates/"))
     broken = resolve_links(extract_links(checked), pages).where(~F.col("exists"))
     out = issue(no_url, "warn", "missing_url", none).unionByName(issue(no_sources, "warn", "topic_no_sources", none))

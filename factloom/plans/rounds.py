@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from factloom.functions.text import block_of, clipped, evidence, filled, ordered, trimmed
 from factloom.operators.pages import retrieve
 from factloom.operators.sources import clean_questions, dedupe_sources, last_sources, union_rounds
+from factloom.sources.scratch import written
 
 NO_SOURCES = "No sources were found."
 
@@ -261,7 +262,7 @@ def _iterative(context: Callable[[DataFrame], DataFrame]) -> Strategy:
                 ahead = last.groupBy("run_id").agg(F.max("finding_index").alias("_ahead"))
                 shift = lambda df, ahead=ahead: df.join(ahead, "run_id", "left").withColumn("finding_index", F.col("finding_index") + F.coalesce("_ahead", F.lit(0))).drop("_ahead")
                 findings, sources = shift(findings), shift(sources)
-            findings, sources = findings.checkpoint(), sources.checkpoint()
+            findings, sources = written(findings, "findings"), written(sources, "sources")
             rounds.append(findings)
             found = sources if found is None else found.unionByName(sources)
         return union_rounds(rounds), found
