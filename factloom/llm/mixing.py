@@ -56,33 +56,51 @@ def _uniform(id_col: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) + 0.5) / float(1 << 53)
 
 
-def pareto_sample(
-    items: DataFrame, sources: DataFrame, max_copies: float = 3.0, seed: int = 1, weight_col: str | None = None
-) -> DataFrame:
-    """``items`` (doc_id, source, size) with ``source_size``, ``target``, ``copies`` and ``taken`` = copies * size.
+def _key(source: Column) -> Column:
+    """A source as a join key; null is a source like any other."""
+    return F.struct(source.isNull(), F.coalesce(source, F.lit("")))
 
-    ``sources`` has source (null is a source like any other), source_size and target. With ``weight_col``
-    expected copies are in proportion to it within a source (null or negative: 0), up to ``max_copies``,
-    above which they are cut; without, they are equal. Items of size zero or null are never taken. Ties go
-    by id, then size; equal rows are interchangeable.
-    """
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    items = items.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), weight.alias("w"))
-    keyed = lambda df: df.withColumn("k", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
-    mass = items.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("mass"), F.count("*").alias("n"))
-    per = keyed(sources.select("source", "source_size", "target")).join(keyed(mass).drop("source"), "k")
-    per = cut(per.withColumn("ratio", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0)))
-    grid = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n").cast("double"))))
 
-    # expected copies, the certain ones, and the rank of the rest
-    rows = small_join(keyed(items), per.drop("source", "mass"), ["k"])
-    rows = rows.withColumn("e", F.when(F.col("size") > 0, F.least(F.lit(float(max_copies)), F.col("ratio") * F.col("w"))).otherwise(0.0))
-    rows = rows.withColumn("whole", F.floor(F.col("e") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("e") - F.col("whole")))
+def _ranked(rows: DataFrame, max_copies: float, seed: int) -> DataFrame:
+    """``rows`` (doc_id, size, w, and the source's ratio and grid) with certain copies, rank of the rest and its slot."""
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(max_copies)), F.col("ratio") * F.col("w"))).otherwise(0.0)
+    rows = rows.withColumn("e", expected).withColumn("whole", F.floor(F.col("e") + 1e-9))
+    rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("e") - F.col("whole")))
     u = _uniform(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("rank", F.when(F.col("p") > 1e-12, odds / (1 + odds)))  # in (0, 1), in the order of the odds
-    rows = rows.withColumn("slot", F.floor(F.col("rank") * grid).cast("long"))
-    rows = written(rows.select("doc_id", "source", "size", "k", "whole", "rank", "slot"), "mixing")
+    return rows.withColumn("slot", F.floor(F.col("rank") * F.col("grid")).cast("long")).drop("e", "p")
+
+
+def _place() -> Column:
+    return F.struct("rank", F.col("doc_id").isNotNull(), "doc_id", "size")
+
+
+def _copies() -> Column:
+    """Of a ranked row with its source's cut: the certain copies, and one more up to the cut."""
+    inside = (F.col("slot") < F.col("at")) | ((F.col("slot") == F.col("at")) & (_place() <= F.col("bound")))
+    return F.col("whole") + F.coalesce(inside, F.lit(False)).cast("long")
+
+
+def _weight(weight_col: str | None) -> Column:
+    return F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+
+
+def cuts(items: DataFrame, sources: DataFrame, max_copies: float = 3.0, seed: int = 1) -> DataFrame:
+    """One row for each source: its key ``k``, source_size, target, ratio, grid, and where its sample ends (``at``, ``bound``).
+
+    ``items`` has doc_id, source, size and w; ``sources`` has source, source_size and target.
+    """
+    mass = items.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("mass"), F.count("*").alias("n"))
+    per = sources.select(_key(F.col("source")).alias("k"), "source_size", "target").join(
+        mass.select(_key(F.col("source")).alias("k"), "mass", "n"), "k"
+    )
+    ratio = F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0)
+    grid = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n").cast("double"))))
+    per = cut(per.select("k", "source_size", "target", ratio.alias("ratio"), grid.alias("grid")))
+    keyed = items.withColumn("k", _key(F.col("source")))
+    rows = _ranked(small_join(keyed, per.select("k", "ratio", "grid"), ["k"]), max_copies, seed)
+    rows = written(rows.select("doc_id", "size", "k", "whole", "rank", "slot"), "mixing")
 
     # what is left of each target once the certain copies are given, and the slot that holds the cut
     slots = rows.groupBy("k", "slot").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("whole")).alias("whole"))
@@ -90,26 +108,30 @@ def pareto_sample(
     rest = rest.select("k", F.greatest(F.lit(0.0), F.col("target") - F.col("whole")).alias("rest"))
     before = F.sum("size").over(Window.partitionBy("k").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     held = slots.where("slot is not null").withColumn("before", F.coalesce(before, F.lit(0))).join(rest, "k")
-    last = Window.partitionBy("k")
-    held = held.where("before < rest").withColumn("at", F.max("slot").over(last)).where("slot = at")
-    cuts = cut(rest.join(held.select("k", "at", "before"), "k", "left"))
+    held = held.where("before < rest").withColumn("at", F.max("slot").over(Window.partitionBy("k"))).where("slot = at")
+    ends = cut(rest.join(held.select("k", "at", "before"), "k", "left"))
 
     # inside that slot, the head whose sizes come nearest to the rest
-    edge = small_join(rows.where("slot is not null"), cuts.where("at is not null"), ["k"]).where("slot = at")
+    edge = small_join(rows.where("slot is not null"), ends.where("at is not null"), ["k"]).where("slot = at")
     order = Window.partitionBy("k").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.where(F.abs(F.col("sum") + F.col("size") - F.col("rest")) < F.abs(F.col("sum") - F.col("rest")))
-    bound = edge.groupBy("k").agg(F.max(F.struct("rank", F.col("doc_id").isNotNull(), "doc_id", "size")).alias("bound"))
-    cuts = cut(cuts.join(bound, "k", "left").join(per.select("k", "source_size", "target"), "k"))
+    bound = edge.groupBy("k").agg(F.max(_place()).alias("bound"))
+    return cut(per.join(ends.select("k", "at"), "k").join(bound, "k", "left"))
 
-    inside = (F.col("slot") < F.col("at")) | (
-        (F.col("slot") == F.col("at")) & (F.struct("rank", F.col("doc_id").isNotNull(), "doc_id", "size") <= F.col("bound"))
-    )
-    out = small_join(rows, cuts.drop("before", "rest"), ["k"])
-    copies = F.col("whole") + F.coalesce(inside, F.lit(False)).cast("long")
-    return out.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+
+def _planned(docs: DataFrame, weights: DataFrame | None, max_copies: float, seed: int, weight_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """Sizes of whole ``docs``, and the cuts of their sources."""
+    size = word_count(F.col("text").cast("string"))
+    picked = ["doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _weight(weight_col).alias("w")]
+    items = written(docs.select(*picked), "sizes")
+    sources = cut(items.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if weights is None:
+        weighted = repeating_weights(sources)
+    else:
+        told = weights.select(F.col("source").alias("name"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighted = sources.join(told, F.col("source").eqNullSafe(F.col("name")), "left").drop("name").fillna(0.0, ["weight"])
+    return items, cuts(items, targets(weighted, max_copies), max_copies, seed)
 
 
 def repeating_weights(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
@@ -125,21 +147,27 @@ def mix(
     """The mix of whole ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies and taken.
 
     Sizes are words; null texts have none. ``weights`` has source and weight (sources it lacks weigh 0); by
-    default 5, 2 and 1 repeat over the sources in order. Names of other columns don't matter. An empty
-    table gives an empty mix.
+    default 5, 2 and 1 repeat over the sources in order; a null source is one of them, the last. With
+    ``weight_col`` expected copies are in proportion to it within a source (null or negative: 0), and cut at
+    ``max_copies``. Documents without words are never taken. Ties go by id, then size; rows equal in id,
+    source and size fare alike. Other columns don't matter. An empty table gives an empty mix.
     """
-    size = word_count(F.col("text").cast("string"))
-    picked = [F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")]
-    items = written(docs.select(*picked, *([weight_col] if weight_col else [])), "sizes")
-    sources = cut(items.groupBy("source").agg(F.sum("size").alias("source_size")))
-    weighted = repeating_weights(sources) if weights is None else sources.join(
-        weights.select(F.col("source").alias("name"), F.coalesce("weight", F.lit(0.0)).alias("weight")), F.col("source").eqNullSafe(F.col("name")), "left"
-    ).drop("name").fillna(0.0, ["weight"])
-    return pareto_sample(items, targets(weighted, max_copies), max_copies, seed, weight_col)
+    items, ends = _planned(docs, weights, max_copies, seed, weight_col)
+    rows = _ranked(small_join(items.withColumn("k", _key(F.col("source"))), ends, ["k"]), max_copies, seed)
+    return rows.withColumn("copies", _copies()).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
-def copied(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each document as often as ``mixed`` (doc_id, copies) takes it."""
-    counts = mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    often = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return docs.join(counts, "doc_id").withColumn("copy", often).select(docs.columns)
+def mixed_documents(
+    docs: DataFrame, weights: DataFrame | None = None, max_copies: float = 3.0, seed: int = 1, weight_col: str | None = None
+) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it; rows are otherwise unchanged. Texts aren't shuffled."""
+    _, ends = _planned(docs, weights, max_copies, seed, weight_col)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"),
+        word_count(F.col("text").cast("string")).alias("size"), _weight(weight_col).alias("w"),
+    )
+    rows = _ranked(small_join(rows.withColumn("k", _key(F.col("source"))), ends, ["k"]), max_copies, seed)
+    often = rows.withColumn("copies", _copies()).where("copies > 0")
+    return often.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -16,7 +16,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import SEPARATORS, cut, small_join, written
+from factloom.llm.shared import SEPARATORS, cut, written
 
 #: Start and bounds of the estimates: documents that are good, good ones called good, bad ones called bad.
 START = {"prior": (0.85, 0.5, 0.98), "on_good": (0.995, 0.9, 0.999), "on_bad": (0.2, 0.1, 0.9)}
@@ -136,7 +136,19 @@ def judge(docs: DataFrame, threshold: float = 0.8, least_words: int = 50, keep:
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
-def good_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, as they are. Rows with one id are kept if any of them is."""
-    ids = judge(docs, keep=(id_col,)).where("kept").select(id_col).distinct()
-    return small_join(docs, ids, [id_col], "left_semi")
+def good_documents(docs: DataFrame, threshold: float = 0.8, least_words: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, as they are.
+
+    The model is fitted on the votes of all rows; a second pass counts again and judges each row where it
+    is, so texts are neither shuffled nor written.
+    """
+    rules = rule_votes()
+    text = F.col(text_col).cast("string")
+    model = fit(written(_measured(docs, text, []), "quality").withColumns(rules), list(rules))
+    rows = _measured(docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_in")), F.col("_in"), ["_row"])
+    # a condition on a column like this one isn't moved below it, where all counts would be written out in it
+    rows = rows.withColumn("_n", F.monotonically_increasing_id())
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return rows.withColumns(rules).where(
+        ~failed & (_posterior(list(rules), *model) >= threshold) & (F.col("_n") >= 0)
+    ).select("_row.*")

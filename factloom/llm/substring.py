@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import written
@@ -194,12 +194,12 @@ def _settled(c: Chunk, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarr
 
 
 def _open_windows(window: int, k: int) -> Callable:
-    """doc, sub, text, marks -> rows of _SEEN for each window whose anchor was first in one of several blocks."""
+    """doc, sub, text, rest, marks -> rows of _SEEN for each window whose anchor was first in one of several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            offsets, marks = _lists(batch.column(3))
+            offsets, marks = _lists(batch.column(4))
             parts = []
             for c in chunks(batch.column(2)):
                 _, at, again = _settled(c, offsets, marks)
@@ -219,11 +219,11 @@ def _open_windows(window: int, k: int) -> Callable:
 
 
 def _finish(window: int, k: int) -> Callable:
-    """doc, sub, text, marks of blocks, marks of windows -> doc, n_words, n_removed, kept_text."""
+    """doc, sub, text, rest, marks of blocks, marks of windows -> rest, text, n_words, n_removed, kept_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, windows = _lists(batch.column(3)), _lists(batch.column(4))
+            blocks, windows = _lists(batch.column(4)), _lists(batch.column(5))
             for c in chunks(batch.column(2)):
                 row, at, again = _settled(c, *blocks)
                 first, last = np.maximum(at - (window - k), c.at[row])[again], np.minimum(at + window, c.at[row + 1])[again]
@@ -231,50 +231,55 @@ def _finish(window: int, k: int) -> Callable:
                 start = start[again]
                 cut = _cover(len(c.start), np.concatenate([first, start]), np.concatenate([last, start + window]))
                 removed = np.bincount(c.row_of_word(), cut, len(c.count)).astype(np.int64)
-                ids = batch.column(0).slice(c.first, len(c.count))
-                columns = [ids, pa.array(c.count), pa.array(removed), pa.array(_kept_texts(c, cut), pa.string())]
-                yield pa.record_batch(columns, ["doc", "n_words", "n_removed", "kept_text"])
+                rest, text = (batch.column(i).slice(c.first, len(c.count)) for i in (3, 2))
+                columns = [rest, text, pa.array(c.count), pa.array(removed), pa.array(_kept_texts(c, cut), pa.string())]
+                yield pa.record_batch(columns, ["rest", "text", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) for each row.
-
-    Null and empty texts have no words. Null ids come before all others. Rows with one id and different
-    texts are ordered by a hash of the text; rows that are equal in both are one document and get equal
-    results. Texts shorter than a window, and an empty table, come out whole. Other columns are ignored.
-    """
+def _judged(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str, rest: Column) -> DataFrame:
+    """``rest``, ``text`` (null as ''), n_words, n_removed and kept_text of each row."""
     if not 0 < gram < window:
         raise ValueError("a gram must be shorter than the window")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    unique = ids.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+    number = F.col(id_col).cast("long")
+    unique = docs.select(number.alias("id")).groupBy("id").count().where("count > 1 or id is null").isEmpty()
     sub = F.lit(0).cast("long") if unique else F.xxhash64(text)
     least = F.lit(-(1 << 63)).cast("long")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("doc"), sub.alias("sub"), text.alias("text"))
+    keyed = docs.select(F.coalesce(number, least).alias("doc"), sub.alias("sub"), text.alias("text"), rest.alias("rest"))
 
     # both joins below read the texts from one shuffle by document
-    marks = written(_found(keyed.mapInArrow(_seen_anchors(window, gram), _SEEN)), "anchors")
-    texts = keyed.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "marks")
+    marks = written(_found(keyed.select("doc", "sub", "text").mapInArrow(_seen_anchors(window, gram), _SEEN)), "anchors")
+    texts = keyed.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "marks")
     asked = _found(texts.mapInArrow(_open_windows(window, gram), _SEEN)).withColumnRenamed("marks", "asked")
-    settled = texts.join(asked, ["doc", "sub"], "left").select("doc", "sub", "text", "marks", "asked")
-    done = settled.mapInArrow(_finish(window, gram), "doc long, n_words long, n_removed long, kept_text string")
-    kind = docs.schema[id_col].dataType
-    return done.select(F.nullif("doc", least).cast(kind).alias(id_col), "n_words", "n_removed", "kept_text")
+    settled = texts.join(asked, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "marks", "asked")
+    kind = keyed.schema["rest"].dataType.simpleString()
+    return settled.mapInArrow(_finish(window, gram), f"rest {kind}, text string, n_words long, n_removed long, kept_text string")
+
 
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) for each row.
+
+    Null and empty texts have no words. Null ids come before all others. Rows with one id and different
+    texts are ordered by a hash of the text; rows that are equal in both are one document and get equal
+    results. Texts shorter than a window, and an empty table, come out whole. Other columns are ignored.
+    """
+    rows = _judged(docs, window, gram, id_col, text_col, F.struct(F.col(id_col).alias("id")))
+    return rows.select(F.col("rest.id").alias(id_col), "n_words", "n_removed", "kept_text")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from the texts; rows that lose nothing are unchanged.
 
-    A changed text is its kept words joined by one space, and ``n_chars``, if there is one, its length. For
-    rows that share an id and differ in text use ``remove_repeats``.
+    A changed text is its kept words joined by one space, and ``n_chars``, if there is one, its length.
     """
-    found = remove_repeats(docs, window, gram, id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("_id"), "kept_text")
-    rows = docs.join(found.dropDuplicates(["_id"]), docs[id_col].eqNullSafe(F.col("_id")), "left")
-    changed = F.col("kept_text").isNotNull()
-    new = {text_col: F.coalesce("kept_text", F.col(text_col))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumns(new).select(docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*others, F.col(text_col).isNull().alias("_null"))
+    rows = _judged(docs, window, gram, id_col, text_col, rest)
+    changed = F.col("n_removed") > 0
+    new = {c: F.col(f"rest.{c}") for c in others} | {text_col: F.when(changed, F.col("kept_text")).when(~F.col("rest._null"), F.col("text"))}
+    if "n_chars" in others:
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(F.col("rest.n_chars"))
+    return rows.select(*[new[c].alias(c) for c in docs.columns])
