@@ -4,20 +4,21 @@ Each rule says good (1), bad (-1) or nothing (0) about a document. The model: a
 probability ``prior``; a rule that speaks is right about good documents with one accuracy and about bad
 ones with another, apart from other rules (a rule that knows one kind of junk is nearly always right about
 good documents and seldom about bad ones). All are estimated by expectation-maximisation. Votes are counted
-by pattern first (3**rules patterns at most, so a corpus of any size is a small table), and each round is
-one aggregate over that table that returns one row. Estimates stay within the bounds below, so a bad vote
-can't turn into praise and no rule is beyond doubt. Everything is DataFrame operations.
+by pattern (3**rules patterns at most, so a corpus of any size is a table of fixed size), and the rounds run
+over those counts. Estimates stay within the bounds below, so a bad vote can't turn into praise and no rule
+is beyond doubt. Everything that touches rows is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import SEPARATORS, cut, written
+from factloom.llm.shared import SEPARATORS, written
 
+MOST_PATTERNS = 3**10
 #: Start and bounds of the estimates: documents that are good, good ones called good, bad ones called bad.
 START = {"prior": (0.85, 0.5, 0.98), "on_good": (0.995, 0.9, 0.999), "on_bad": (0.2, 0.1, 0.9)}
 
@@ -85,35 +86,48 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def _posterior(rules: list[str], prior: float, on_good: list[float], on_bad: list[float]) -> Column:
-    """Probability of good: the prior's log odds and each vote's, added."""
-    score = F.lit(log(prior / (1 - prior)))
-    for name, g, b in zip(rules, on_good, on_bad, strict=True):
-        score = score + F.when(F.col(name) == 1, log(g / (1 - b))).when(F.col(name) == -1, log((1 - g) / b)).otherwise(0.0)
+def _odds(prior: float, on_good: list[float], on_bad: list[float]) -> list[float]:
+    """Log odds of good: of the prior, and of each rule's good and bad vote."""
+    return [log(prior / (1 - prior))] + [log(g / (1 - b)) for g, b in zip(on_good, on_bad, strict=True)] + [log((1 - g) / b) for g, b in zip(on_good, on_bad, strict=True)]
+
+
+def _posterior(rules: list[str], odds: list[Column]) -> Column:
+    """Probability of good: the log odds of the prior and of each vote, added."""
+    score = odds[0]
+    for i, name in enumerate(rules, 1):
+        score = score + F.when(F.col(name) == 1, odds[i]).when(F.col(name) == -1, odds[i + len(rules)]).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
 def fit(votes: DataFrame, rules: list[str], rounds: int = 30, settled: float = 1e-4) -> tuple[float, list[float], list[float]]:
     """The prior and each rule's accuracy on good and on bad documents, from ``votes`` with -1, 0 or 1 for each rule.
 
-    Stops after ``rounds`` or when nothing moves by ``settled``. With no rows it returns the start; a rule
-    that never speaks keeps its start.
+    Votes are counted by pattern; the rounds run over those counts, 3**rules rows at most whatever the
+    corpus. Stops after ``rounds`` or when nothing moves by ``settled``. With no rows it returns the start; a
+    rule that never speaks keeps its start.
     """
-    patterns = cut(votes.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1))
+    if 3 ** len(rules) > MOST_PATTERNS:
+        raise ValueError("too many rules for one table of patterns")
+    counts = votes.groupBy(*rules).agg(F.count("*").alias("_n")).orderBy(*rules).collect()
     m = len(rules)
     kinds = ["prior"] + ["on_good"] * m + ["on_bad"] * m
     estimate = [START[kind][0] for kind in kinds]
     for _ in range(rounds):
-        good = patterns.withColumn("good", F.col("n") * _posterior(rules, estimate[0], estimate[1 : m + 1], estimate[m + 1 :]))
-        bad, vote = F.col("n") - F.col("good"), {r: F.col(r) for r in rules}
-        right = [F.col("good")] + [F.when(vote[r] == 1, F.col("good")) for r in rules] + [F.when(vote[r] == -1, bad) for r in rules]
-        asked = [F.col("n")] + [F.when(vote[r] != 0, F.col("good")) for r in rules] + [F.when(vote[r] != 0, bad) for r in rules]
-        row = good.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(right + asked)]).first()
-        moved = 0.0
-        for i, kind in enumerate(kinds):
-            if row[len(kinds) + i]:
-                new = min(max((row[i] or 0.0) / row[len(kinds) + i], START[kind][1]), START[kind][2])
-                moved, estimate[i] = max(moved, abs(new - estimate[i])), new
+        odds = _odds(estimate[0], estimate[1 : m + 1], estimate[m + 1 :])
+        right, asked = [0.0] * len(kinds), [0.0] * len(kinds)
+        for *vote, n in counts:
+            score = odds[0] + sum(odds[i + 1] if v == 1 else odds[i + 1 + m] for i, v in enumerate(vote) if v)
+            good = n / (1 + exp(-score))
+            right[0], asked[0] = right[0] + good, asked[0] + n
+            for i, v in enumerate(vote, 1):
+                if v:
+                    right[i], asked[i] = right[i] + good * (v == 1), asked[i] + good
+                    right[i + m], asked[i + m] = right[i + m] + (n - good) * (v == -1), asked[i + m] + n - good
+        new = [
+            min(max(r / a, START[kind][1]), START[kind][2]) if a > 0 else old
+            for r, a, kind, old in zip(right, asked, kinds, estimate, strict=True)
+        ]
+        moved, estimate = max(abs(x - y) for x, y in zip(new, estimate, strict=True)), new
         if moved < settled:
             break
     return estimate[0], estimate[1 : m + 1], estimate[m + 1 :]
@@ -132,7 +146,7 @@ def judge(docs: DataFrame, threshold: float = 0.8, least_words: int = 50, keep:
     model = fit(voted, list(rules))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.select(
-        "*", failed.alias("base_failed"), _posterior(list(rules), *model).alias("quality")
+        "*", failed.alias("base_failed"), _posterior(list(rules), [F.lit(x) for x in _odds(*model)]).alias("quality")
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
@@ -150,5 +164,5 @@ def good_documents(docs: DataFrame, threshold: float = 0.8, least_words: int = 5
     rows = rows.withColumn("_n", F.monotonically_increasing_id())
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumns(rules).where(
-        ~failed & (_posterior(list(rules), *model) >= threshold) & (F.col("_n") >= 0)
+        ~failed & (_posterior(list(rules), [F.lit(x) for x in _odds(*model)]) >= threshold) & (F.col("_n") >= 0)
     ).select("_row.*")
