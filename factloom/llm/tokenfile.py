@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import running_totals, shared_dir, small_join
 from factloom.llm.wordbytes import LOWER, Chunk, chunks, span_hashes
 
-MAGIC, SEGMENT_TOKENS, WORDS_KEPT = b"DAC1", 1 << 20, 2_000_000
+MAGIC, SEGMENT_TOKENS, WORDS_KEPT = b"DAC1", 1 << 20, 1_000_000
 _ENDING = np.zeros(256, bool)
 _ENDING[list(b".,!?;:")] = True
 _PLAIN = np.zeros(256, bool)
