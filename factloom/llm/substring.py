@@ -76,11 +76,11 @@ def _first_here(one: np.ndarray, two: np.ndarray, *place: np.ndarray) -> np.ndar
     return first
 
 
-def _batch(one, two, doc, sub, pos) -> pa.RecordBatch:
-    """Rows of _SEEN. What has an earlier equal in this batch is settled and stays out of its hash's task."""
+def _batch(one, two, doc, sub, pos, route) -> pa.RecordBatch:
+    """Rows of _SEEN, dealt by ``route``. What has an earlier equal in this batch is settled and stays out of that task."""
     first = _first_here(one, two, doc, sub, pos)
     spread = mixed(doc.view(np.uint64) ^ mixed(pos.astype(np.uint64)))
-    columns = [np.where(first, one, spread).view(np.int64), one.view(np.int64), two.view(np.int64), doc, sub, pos.astype(np.int32), ~first]
+    columns = [np.where(first, route, spread).view(np.int64), one.view(np.int64), two.view(np.int64), doc, sub, pos.astype(np.int32), ~first]
     return pa.record_batch([pa.array(x) for x in columns], ["route", "anchor", "block", "doc", "sub", "pos", "settled"])
 
 
@@ -94,7 +94,8 @@ def _seen_anchors(window: int, k: int) -> Callable:
                 row = np.searchsorted(c.at, at, side="right") - 1
                 parts.append((anchor, block, docs[c.first + row], subs[c.first + row], at - c.at[row]))
             if parts:
-                yield _batch(*map(np.concatenate, zip(*parts, strict=True)))
+                found = list(map(np.concatenate, zip(*parts, strict=True)))
+                yield _batch(*found, route=found[0])  # all blocks of an anchor meet
 
     return run
 
@@ -213,7 +214,8 @@ def _open_windows(window: int, k: int) -> Callable:
                     whole = word_span_hashes(h, start, start + window)
                     parts.append((grams[anchor], whole, docs[c.first + row], subs[c.first + row], start - c.at[row]))
             if parts:
-                yield _batch(*map(np.concatenate, zip(*parts, strict=True)))
+                found = list(map(np.concatenate, zip(*parts, strict=True)))
+                yield _batch(*found, route=mixed(found[0] ^ mixed(found[1])))  # only equal windows need to meet
 
     return run
 
