@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import filled, percent, rate
 from factloom.operators import claims as C
+from factloom.sources.scratch import written
 
 
 def findings_health(findings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -79,9 +80,12 @@ def risk_examples(judged: DataFrame, n: int = 10) -> DataFrame:
 def evaluate_runs(
     reports: DataFrame, findings: DataFrame, sources: DataFrame, verdicts: DataFrame | None = None, platform: str | None = None
 ) -> dict[str, DataFrame]:
-    """From raw reports: claims with scores and verdicts, metrics, health and risk examples."""
-    claims = C.extract_claims(reports)
-    resolved = C.resolve_citations(C.parse_citations(claims), sources)
+    """From raw reports: claims with scores and verdicts, metrics, health and risk examples.
+
+    Claims and their citations are written once, as four results read them.
+    """
+    claims = written(C.extract_claims(reports), "claims")
+    resolved = written(C.resolve_citations(C.parse_citations(claims), sources), "citations")
     judged = C.judge_claims(C.score_claims(claims, resolved, platform), verdicts)
     health = findings_health(findings, sources)
     return {"claims": judged, "health": health, "metrics": benchmark_metrics(judged, health), "risks": risk_examples(judged)}
