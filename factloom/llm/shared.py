@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Separators of words: space and \t \n \v \f \r, and nothing else.
-SEPARATORS = r"[\x20\x09-\x0D]+"
+from factloom.sources.scratch import shared_dir, written
 
+__all__ = ["SEPARATORS", "cut", "positions", "running_totals", "shared_dir", "small_join", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    return context.getCheckpointDir().rstrip("/")
+#: Separators of words: space and \t \n \v \f \r, and nothing else.
+SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,18 +20,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for larger tables: lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/factloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def words(text: Column) -> Column:
-    """The words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
-
-
 def running_totals(parts: DataFrame, part: str, value: str, out: str) -> DataFrame:
     """``part`` and the sum of ``value`` over smaller parts. ``parts`` has a row for each partition of a job, no more."""
     ahead = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
