@@ -19,6 +19,7 @@ Candidates meet in an equi-join whose condition counts the differing bits, so on
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -209,9 +210,14 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, id_c
 
     Rows without an id, and rows that share one, are told apart by their text.
     """
+    return first_of_each(docs, lambda ids: near_duplicates(ids, shingle_words, max_bits, "_key", text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the first row of each component that ``find`` tells (``component_id``) of rows of ``_key`` and text."""
     keyed = docs.withColumn("_print_of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     ids = keyed.select(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_print_of").alias("p")).alias("_key"), text_col)
-    found = near_duplicates(ids, shingle_words, max_bits, "_key", text_col)
+    found = find(ids)
     # copies under one key count once, and the row chosen is the first of its component
     first = found.select("component_id").distinct().select(
         F.col("component_id.known").alias("_known"), F.coalesce("component_id.id", F.lit(0)).alias("_id"), F.col("component_id.p").alias("_p")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, mixing, packing, quality, shards, simhash, substring, tokenfile, topk, urlfilter
+from factloom.llm import chat, mixing, packing, quality, shards, shinglesets, simhash, substring, tokenfile, topk, urlfilter
 from factloom.llm.components import components
 from tests.llm.odd import ROWS, no_docs, odd_docs, words
 
@@ -420,6 +420,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(no_docs(spark)).count() == 0 and simhash.one_of_each(no_docs(spark)).count() == 0
 
 
+def test_near_copies_match_brute_force(spark):
+    """The pipeline's stage: all pairs of documents at 0.8 and over are linked, and none below."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for n in (3, 5, 6, 9, 13, 14, 29, 60, 200):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6):
+            text = list(base)
+            for _ in range(edits):
+                text[rng.randrange(n)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(text).upper() if edits == 1 else " ".join(text), "", "", 0))
+            rows.append((len(rows), " ".join(text[: max(1, n - edits)]), "", "", 0))
+    common = " ".join(f"common{i}" for i in range(12))
+    rows += [(1000 + i, f"{common} own{i} of{i} this{i} text{i} here{i} and{i}", "", "", 0) for i in range(40)]
+    rows += ROWS
+    rng.shuffle(rows)
+
+    def shingles(text):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+
+    sets = {s: s for s in (shingles(r[1]) for r in rows)}
+
+    def find(s):
+        while sets[s] != s:
+            s = sets[s]
+        return s
+
+    linked = 0
+    for a, b in combinations(list(sets), 2):
+        if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            linked += 1
+            sets[find(a)] = find(b)
+    assert linked > 40
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    first = {}
+    for r in rows:
+        s = find(shingles(r[1]))
+        first[s] = min(order(r), first.get(s, order(r)))
+    for stage in (lambda d: shinglesets.one_of_each(d), lambda d: corpus_pipeline.near_dedup(spark, d, "")):
+        kept = stage(odd_docs(spark, rows))
+        assert sorted(order(r) for r in kept.collect()) == sorted(first.values()) and kept.columns == odd_docs(spark).columns
+    assert shinglesets.one_of_each(no_docs(spark)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
