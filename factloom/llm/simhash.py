@@ -57,10 +57,16 @@ def _fingerprints(column: pa.Array, shingle_words: int) -> np.ndarray:
         last = np.minimum(first + shingle_words, c.at[1:][row]) - 1
         spans = zip(start[first].tolist(), end[last].tolist(), strict=True)
         hashes = np.array([digest(raw[a:b], SEED) for a, b in spans], np.uint64)
-        has = np.flatnonzero(n)
-        if len(has):
-            ones = _bit_counts(hashes, n[has])
-            out[c.first + has] = np.packbits(2 * ones > n[has][:, None], axis=1).view(">u8").ravel()
+        out[c.first : c.first + len(n)] = fingerprint_of(hashes, n)
+    return out
+
+
+def fingerprint_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``sizes`` hashes; zero of an empty one."""
+    out, has = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(has):
+        ones = _bit_counts(hashes, sizes[has])
+        out[has] = np.packbits(2 * ones > sizes[has][:, None], axis=1).view(">u8").ravel()
     return out
 
 
@@ -206,23 +212,23 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the first by id, then text. Rows are unchanged.
-
-    Rows without an id, and rows that share one, are told apart by their text.
-    """
+    """``docs`` with one row of each component, as ``first_of_each`` chooses it. Rows are unchanged."""
     return first_of_each(docs, lambda ids: near_duplicates(ids, shingle_words, max_bits, "_key", text_col), id_col, text_col)
 
 
 def first_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the first row of each component that ``find`` tells (``component_id``) of rows of ``_key`` and text."""
-    keyed = docs.withColumn("_print_of", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    ids = keyed.select(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_print_of").alias("p")).alias("_key"), text_col)
-    found = find(ids)
-    # copies under one key count once, and the row chosen is the first of its component
-    first = found.select("component_id").distinct().select(
-        F.col("component_id.known").alias("_known"), F.coalesce("component_id.id", F.lit(0)).alias("_id"), F.col("component_id.p").alias("_p")
-    )
-    rows = keyed.withColumn("_known", F.col(id_col).isNotNull()).withColumn("_id", F.coalesce(F.col(id_col), F.lit(0)))
-    kept = rows.join(first.withColumnRenamed("_p", "_print_of"), ["_known", "_id", "_print_of"], "left_semi")
-    # rows equal in id and text
-    return kept.dropDuplicates(["_known", "_id", "_print_of"]).select(docs.columns)
+    """``docs`` with the first row of each component that ``find`` tells (``component_id``) of rows of ``_key`` and text.
+
+    The first is the one with the smallest id (null before all others), then the least hash of its text, then
+    the least JSON of the whole row; so reruns choose alike, and rows that differ in nothing count once. The
+    names of other columns don't matter.
+    """
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("p"))
+    found = find(docs.select(key.alias("_key"), text.alias(text_col)))
+    # a hash of the key in the join: it may hold a null, and a struct of a few rows is no cheaper to compare
+    first = found.select("component_id").distinct().select(F.xxhash64("component_id").alias("k"), F.col("component_id").alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("own")).withColumn("k", F.xxhash64("own"))
+    kept = rows.join(first, "k").where(F.col("own").eqNullSafe(F.col("key")))
+    one = kept.groupBy("own").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
+    return one.select("row.*")
