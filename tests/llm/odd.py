@@ -20,7 +20,7 @@ ROWS = [
     (-9, "x x x x x x x x x x x x x x x x x x x x x x x x x x x x x x", "en", "b", 5),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ("k", "rank", "slot", "size", "w", "fp", "key", "side", "a", "b", "doc", "sub", "marks", "rest", "n_words", "cluster", "id", "copies", "_n", "quality", "e", "p")
+CLASHING = ("_id", "_known", "_print_of", "_null", "_row", "_key", "_words", "row", "own", "k", "rank", "slot", "size", "w", "fp", "key", "side", "a", "b", "doc", "sub", "marks", "rest", "n_words", "cluster", "id", "copies", "_n", "quality", "e", "p")
 
 
 def odd_docs(spark, rows=ROWS, clashing=True):

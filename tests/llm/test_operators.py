@@ -50,6 +50,48 @@ def test_mix_targets_copies_and_reruns(spark):
         assert abs(taken[s] - target[s]) <= 60
 
 
+def test_mix_takes_the_head_of_the_pareto_order(spark):
+    """Copies of every row against the order of odds(u) / odds(p), worked out in Python."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 300)), None, rng.choice("aaab"), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source string, weight double")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights).collect()}
+    items = mixing._items(docs, None, 100.0, F.col("doc_id"))
+    drawn = items.select("doc_id", "source", "size", "w", mixing._uniform(F.col("key"), F.lit(0).cast("long"), F.lit(1)).alias("u")).collect()
+    for source in "ab":
+        mine = [r for r in drawn if r.source == source]
+        goal = got[mine[0].doc_id].target
+        low, high = 0.0, 1e6
+        for _ in range(200):  # the ratio at which expected words are the target
+            ratio = (low + high) / 2
+            low, high = (ratio, high) if sum(r.size * min(3.0, ratio * r.w) for r in mine) < goal else (low, ratio)
+        ranked, copies = [], {}
+        for r in mine:
+            e = min(3.0, ratio * r.w)
+            copies[r.doc_id] = int(e + 1e-6)
+            p = e - copies[r.doc_id]
+            if p > 1e-6:
+                ranked.append(((r.u / (1 - r.u)) / (p / (1 - p)), r.doc_id, r.size))
+        rest = goal - sum(got[i].size * n for i, n in copies.items())
+        assert len({round(e, 6) for e, *_ in ranked}) > 50
+        for _, i, size in sorted(ranked):
+            if size / 2 >= rest:
+                break
+            copies[i], rest = copies[i] + 1, rest - size
+        assert {i: got[i].copies for i in copies} == copies
+
+
+def test_repeated_rows_and_null_ids_draw_apart(spark):
+    rows = [(None, "one two three four five six seven eight nine ten", None, "a", 0)] * 300
+    rows += [(None, f"{i} two three four five six seven eight nine ten", None, "b", 0) for i in range(300)]
+    weights = spark.createDataFrame([("a", 2.0), ("b", 5.0)], "source string, weight double")
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(7), weights).groupBy("source").agg(F.sum("taken"), F.max("target"), F.countDistinct("copies")).collect()
+    assert len(got) == 2
+    for _, taken, target, kinds in got:
+        assert abs(taken - target) <= 10 and kinds == 2
+
+
 def test_inclusion_follows_the_weights(spark):
     rows = [(i, "x y", None, "a" if i < 400 else "b", 0) for i in range(1200)]
     docs = odd_docs(spark, rows, clashing=False).withColumn("weight", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0))
