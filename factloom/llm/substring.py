@@ -15,7 +15,11 @@ edges of passages, edits in near copies) are extended window by window, in the s
 
 Adjacent repeated windows add up to maximal repeats, whose words are cut from the text. Occurrences that
 repeat within one batch are settled there, so a passage in very many documents, or a third of all rows
-being copies, sends a few rows for each batch to the task of its anchor. Equality is by 128 bits of hash.
+being copies, sends a few rows for each batch to the task of its anchor. An anchor that stands in very many
+different blocks (a notice or a stock phrase) is found in a bounded sample; it is known to have several
+blocks, so these needn't meet and are dealt out each by itself. Which anchors those are only balances work.
+
+Words are equal if their 64-bit hashes are; blocks and windows if two 64-bit hashes over those are.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from factloom.llm.shared import written
 from factloom.llm.wordbytes import Chunk, chunks, mixed, word_span_hashes
 
 WINDOW, GRAM = 20, 6
+HOT_SAMPLE, HOT_LEAST = 20_000, 8
 _INDEX = np.uint64((1 << 28) - 1)  # of words in a chunk
 _SEEN = "route long, anchor long, block long, doc long, sub long, pos int, settled boolean"
 
@@ -84,7 +89,31 @@ def _batch(one, two, doc, sub, pos, route) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x) for x in columns], ["route", "anchor", "block", "doc", "sub", "pos", "settled"])
 
 
-def _seen_anchors(window: int, k: int) -> Callable:
+def _hot_anchors(keyed: DataFrame, window: int, k: int, sample: int, least: int) -> np.ndarray:
+    """Sorted: anchors with two blocks or more that occur ``least`` times in about ``sample`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(0)):
+                _, anchor, block = _anchors(c, window, k)
+                yield pa.record_batch([pa.array(x.view(np.int64)) for x in (anchor, block)], ["anchor", "block"])
+
+    n = keyed.count()
+    some = keyed.select("text").sample(min(1.0, sample / n), seed=7) if n else keyed.select("text")
+    per = some.mapInArrow(run, "anchor long, block long").groupBy("anchor")
+    hot = per.agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where((F.col("n") >= least) & (F.col("low") < F.col("high")))
+    return np.sort(hot.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+
+
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is among the values."""
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return sorted_values[at] == x
+
+
+def _seen_anchors(window: int, k: int, hot: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -95,17 +124,23 @@ def _seen_anchors(window: int, k: int) -> Callable:
                 parts.append((anchor, block, docs[c.first + row], subs[c.first + row], at - c.at[row]))
             if parts:
                 found = list(map(np.concatenate, zip(*parts, strict=True)))
-                yield _batch(*found, route=found[0])  # all blocks of an anchor meet
+                anchor, block = found[:2]
+                # all blocks of an anchor meet, but for one that is known to have several
+                yield _batch(*found, route=np.where(_member(hot, anchor), mixed(anchor ^ mixed(block)), anchor))
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(hot: np.ndarray) -> Callable:
     """Rows sorted by anchor, block and place -> ``doc``, ``sub``, ``pos``, ``again``.
 
     ``again``: an earlier equal block exists. Other rows that come out are first in their block, and their
     anchor has other blocks too. Constant memory: the first row of an anchor waits for the next block.
     """
+    return lambda batches: _again(batches, hot)
+
+
+def _again(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     anchor = block = None  # of the row before
     first = None  # place of that row's block's first row
     waiting = None  # place of the anchor's only block so far
@@ -131,24 +166,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # first rows of blocks; an anchor's first block counts once a second one is seen
             heads = np.flatnonzero(new_b)
             if len(heads):
-                starts = new_a[heads]
+                starts, known = new_a[heads], _member(hot, a[heads].view(np.uint64))
                 follows = np.zeros(len(heads), bool)
                 follows[:-1] = ~starts[1:]  # the next block has the same anchor
                 if waiting is not None and not starts[0]:
                     out.append(tuple(np.array([x]) for x in waiting) + (np.zeros(1, bool),))
-                several = heads[~starts | follows]
+                several = heads[~starts | follows | known]
                 out.append((doc[several], sub[several], pos[several], np.zeros(len(several), bool)))
                 last = heads[-1]
                 first = (doc[last], sub[last], pos[last])
-                waiting = first if starts[-1] else None
+                waiting = first if starts[-1] and not (follows[-1] | known[-1]) else None
             anchor, block = a[-1], b[-1]
         yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "sub", "pos", "again"])
 
 
-def _found(seen: DataFrame) -> DataFrame:
+def _found(seen: DataFrame, hot: np.ndarray) -> DataFrame:
     """What ``_repeats`` says of rows of _SEEN, as one array for each document."""
     dealt = seen.repartition("route").sortWithinPartitions("anchor", "block", "doc", "sub", "pos")
-    rows = dealt.mapInArrow(_repeats, "doc long, sub long, pos int, again boolean")
+    rows = dealt.mapInArrow(_repeats(hot), "doc long, sub long, pos int, again boolean")
     mark = F.col("pos").cast("long") * 2 + F.col("again").cast("long")
     return rows.groupBy("doc", "sub").agg(F.collect_list(mark).alias("marks"))
 
@@ -251,10 +286,11 @@ def _judged(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str,
     least = F.lit(-(1 << 63)).cast("long")
     keyed = docs.select(F.coalesce(number, least).alias("doc"), sub.alias("sub"), text.alias("text"), rest.alias("rest"))
 
+    hot, none = _hot_anchors(keyed, window, gram, HOT_SAMPLE, HOT_LEAST), np.zeros(0, np.uint64)
     # both joins below read the texts from one shuffle by document
-    marks = written(_found(keyed.select("doc", "sub", "text").mapInArrow(_seen_anchors(window, gram), _SEEN)), "anchors")
+    marks = written(_found(keyed.select("doc", "sub", "text").mapInArrow(_seen_anchors(window, gram, hot), _SEEN), hot), "anchors")
     texts = keyed.join(marks, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "marks")
-    asked = _found(texts.mapInArrow(_open_windows(window, gram), _SEEN)).withColumnRenamed("marks", "asked")
+    asked = _found(texts.mapInArrow(_open_windows(window, gram), _SEEN), none).withColumnRenamed("marks", "asked")
     settled = texts.join(asked, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "marks", "asked")
     kind = keyed.schema["rest"].dataType.simpleString()
     return settled.mapInArrow(_finish(window, gram), f"rest {kind}, text string, n_words long, n_removed long, kept_text string")
@@ -277,11 +313,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     A changed text is its kept words joined by one space, and ``n_chars``, if there is one, its length.
     """
     others = [c for c in docs.columns if c != text_col]
-    rest = F.struct(*others, F.col(text_col).isNull().alias("_null"))
+    rest = F.struct(F.struct(*others).alias("row"), F.col(text_col).isNull().alias("empty"))
     rows = _judged(docs, window, gram, id_col, text_col, rest)
     changed = F.col("n_removed") > 0
-    new = {c: F.col(f"rest.{c}") for c in others} | {text_col: F.when(changed, F.col("kept_text")).when(~F.col("rest._null"), F.col("text"))}
+    new = {c: F.col("rest.row")[c] for c in others} | {text_col: F.when(changed, F.col("kept_text")).when(~F.col("rest.empty"), F.col("text"))}
     if "n_chars" in others:
         length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(changed, length).otherwise(F.col("rest.n_chars"))
+        new["n_chars"] = F.when(changed, length).otherwise(F.col("rest.row.n_chars"))
     return rows.select(*[new[c].alias(c) for c in docs.columns])
