@@ -1,7 +1,7 @@
 """URL rules by a sort-merge range join over reversed-host keys.
 
-A host's key is its labels from last to first, each closed by ``CLOSE``, a character below all that hosts
-hold; so the keys of a host and its subdomains are one interval, and intervals are nested or apart. Rules
+A host's key is its labels from last to first, each closed by ``CLOSE``, a character below all that labels
+hold (lower ones are escaped); so the keys of a host and its subdomains are one interval, and intervals are nested or apart. Rules
 and URLs are dealt out by ranges of keys and sorted; a sweep keeps a stack of the rules' hosts whose
 intervals are open, and asks them for the longest rule whose path the URL's path begins with.
 
@@ -35,7 +35,11 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    labels = F.reverse(F.split(host, r"\."))
+    """Characters up to U+0003 in a host are written as U+0003 and a digit, so none of them reads as ``CLOSE`` or ``AFTER``."""
+    plain = host
+    for digit, char in (("3", "\x03"), ("0", "\x00"), ("1", CLOSE), ("2", AFTER)):
+        plain = F.replace(plain, F.lit(char), F.lit("\x03" + digit))
+    labels = F.reverse(F.split(F.when(host.rlike(r"[\x00-\x03]"), plain).otherwise(host), r"\."))
     return F.concat(F.array_join(labels, CLOSE), F.lit(CLOSE))
 
 
