@@ -4,7 +4,8 @@ Every turn comes out once for each participant of its dialogue, as a rendered se
 rendering and the span that counts for the loss. Segments in order of ``char_start`` make the whole text.
 
 A dialogue is never gathered: its turns are cut into chunks by number, about the root of the longest
-dialogue's turns in each. Sums of chunks give each chunk's start; a window inside a chunk gives the rest.
+dialogue's turns in each, and turns without a number by speaker and the beginning of their text, which is
+their order. Sums of chunks give each chunk's start; a window inside a chunk gives the rest.
 Texts are shuffled once. Everything is DataFrame operations.
 """
 
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BEGIN, CLOSE = "<|im_start|>", "<|im_end|>"
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _header(role: Column | str, name: Column | None = None) -> Column:
@@ -38,13 +38,16 @@ def rotate(
     speaker = F.col(speaker_col).cast("string")
     speaker = F.when(F.trim(speaker) == "", None).otherwise(speaker)
     rows = turns.select(
-        F.coalesce(F.col(conv_col).cast("long"), F.lit(LEAST)).alias("c"),
-        F.coalesce(F.col(turn_col).cast("long"), F.lit(MOST)).alias("t"),
+        F.struct(F.col(conv_col).isNull().alias("none"), F.coalesce(F.col(conv_col).cast("long"), F.lit(0)).alias("id")).alias("c"),
+        F.struct(F.col(turn_col).isNull().alias("none"), F.coalesce(F.col(turn_col).cast("long"), F.lit(0)).alias("n")).alias("t"),
         F.coalesce(speaker, F.lit("unknown")).alias("s"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"),
     )
     longest = rows.groupBy("c").count().agg(F.max("count")).first()[0] or 1
-    rows = rows.withColumn("chunk", F.floor(F.col("t") / F.lit(max(16, int(longest**0.5)))))
+    none = F.col("t.none")
+    numbered = F.floor(F.col("t.n") / F.lit(max(16, int(longest**0.5))))
+    unnumbered = [F.when(none, x).otherwise("") for x in (F.col("s"), F.substring("x", 1, 12))]
+    rows = rows.withColumn("chunk", F.struct(none, numbered, *unnumbered))
 
     # lengths of a segment as an assistant's and as another's
     is_system = F.col("s") == system
@@ -70,9 +73,9 @@ def rotate(
     seen = seen.withColumn("char_start", start.cast("long")).withColumn("char_end", (F.col("char_start") + F.length("segment")).cast("long"))
     loss = F.col("role") == "assistant"
     return seen.select(
-        F.nullif("c", F.lit(LEAST)).alias(conv_col),
+        F.when(~F.col("c.none"), F.col("c.id")).alias(conv_col),
         "perspective",
-        F.nullif("t", F.lit(MOST)).alias(turn_col),
+        F.when(~F.col("t.none"), F.col("t.n")).alias(turn_col),
         "role",
         "name",
         "segment",
