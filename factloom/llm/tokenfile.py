@@ -12,12 +12,14 @@ documents. A payload is one segment of whole documents, little-endian:
     for each level: entries u64, chunks u8 x entries, and unless it is the last:
         bitmap u8 x 64 * ceil(entries / 512), directory u64 x ceil(entries / 512)
 
-Texts are encoded a distinct word at a time: this tokenizer's parts never span white space, so a word's ids
-are the same wherever it stands, and words seen before are looked up.
+Where a tokenizer's normalizer and pre-tokenizer are those of ``WORDWISE``, its parts never span white space,
+so a word's ids are the same wherever it stands, and texts are encoded a distinct word at a time: words seen
+before are looked up by a 64-bit hash. With any other tokenizer whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -33,6 +35,25 @@ from factloom.llm.shared import running_totals, shared_dir, small_join
 from factloom.llm.wordbytes import LOWER, Chunk, chunks, span_hashes
 
 MAGIC, SEGMENT_TOKENS, WORDS_KEPT = b"DAC1", 1 << 20, 1_000_000
+#: The parts of a tokenizer file under which words can be encoded apart.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ENDING = np.zeros(256, bool)
 _ENDING[list(b".,!?;:")] = True
 _PLAIN = np.zeros(256, bool)
@@ -136,6 +157,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_word = all(told[part] == WORDWISE[part] for part in WORDWISE) and told["post_processor"] is None
         self._forget()
 
     @classmethod
@@ -161,11 +184,20 @@ class Encoder:
                 self.start[k], self.size[k], self.known[h] = self.used, len(new), k
                 self.used += len(new)
 
-    def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each row of a chunk one after the other, and how many each has."""
+    def encode(self, c: Chunk, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each row of a chunk (of these texts) one after the other, and how many each has."""
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), np.array([len(x) for x in found], np.int64)
         special = b"<|" in c.data.tobytes()  # special tokens are told apart by case
-        data = c.data if special else LOWER[c.data]
-        start, end, row = c.start, c.end, c.row_of_word()
+        data, start, end, row = c.data, c.start, c.end, c.row_of_word()
+        if not special:
+            # copies of a word in another case share its ids; with other letters case and composition can meet
+            data = LOWER[data]
+            beyond = np.concatenate([[0], np.cumsum(data > 127)])
+            other = np.flatnonzero(beyond[end] > beyond[start])
+            where = _ranges(start[other], end[other] - start[other])
+            data[where] = c.data[where]
         if not special and len(start):
             # "then," is "then" and ",": the tokenizer parts letters and digits from punctuation
             tail = end.copy()
@@ -213,7 +245,7 @@ def _write(path: str, end_id: int, segment_tokens: int) -> Callable:
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for c in chunks(batch.column(1)):
-                flat, n = encoder.encode(c)
+                flat, n = encoder.encode(c, batch.column(1).slice(c.first, len(c.count)))
                 row = np.repeat(np.arange(len(n)), n)
                 out = np.full(len(flat) + len(n), end_id, np.int64)
                 out[np.arange(len(flat)) + row] = flat
@@ -232,13 +264,16 @@ def _write(path: str, end_id: int, segment_tokens: int) -> Callable:
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, segment_tokens: int = SEGMENT_TOKENS, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Encodes whole texts in ascending order of ids (null first; ties by text) into ``folder``.
+    """Encodes whole texts in ascending order of ids (null first; ties by a hash of the text) into ``folder``.
 
-    Null and empty texts are the end id alone. Repeated rows are documents of their own. The folder must not
-    exist; Spark commits it as a whole. An empty table makes an empty dataset.
+    Null and empty texts are the end id alone. Repeated rows are documents of their own; rows of one id, and
+    rows equal in all, can lie in several parts. The folder must not exist; Spark commits it as a whole. An
+    empty table makes an empty dataset.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = ["id", "hash", "row"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     schema = "part int, segment long, start long, n_tokens long, payload binary"
     dealt.mapInArrow(_write(tokenizer_path, end_id, segment_tokens), schema).write.option("compression", "none").parquet(folder)
 
@@ -261,6 +296,31 @@ def read_documents(folder_rows: DataFrame) -> DataFrame:
     return small_join(rows, ahead, ["part"]).select("doc_id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def tokens_at(folder_rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """``position`` and ``token`` for each different ``position`` (from 0 over the whole dataset) that there is.
+
+    A segment is joined once with all that is asked of it, by cells as wide as segments are at least (but for
+    the last of a part), and each token is read in place.
+    """
+    parts = folder_rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    placed = small_join(folder_rows, running_totals(parts, "part", "n", "ahead"), ["part"])
+    placed = placed.select("part", "segment", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens")
+    cell = lambda x: F.floor(x / F.lit(SEGMENT_TOKENS))
+    cells = placed.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("n_tokens") - 1))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").distinct().withColumn("cell", cell(F.col("position")))
+    found = asked.join(cells, "cell").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")))
+    per = found.groupBy("part", "segment", "start").agg(F.collect_list("position").alias("positions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, start, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                s = Segment(payload)
+                yield pa.record_batch([pa.array(wanted, pa.int64()), pa.array([s.token(p - start) for p in wanted], pa.int64())], ["position", "token"])
+
+    rows = folder_rows.select("part", "segment", "payload").join(per, ["part", "segment"]).select("payload", "start", "positions")
+    return rows.mapInArrow(run, "position long, token long")
+
+
 def dataset_folder(spark, label: str) -> str:
     import uuid
 
