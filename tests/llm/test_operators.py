@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import chat, mixing, packing, quality, shards, shinglesets, simhash, substring, tokenfile, topk, urlfilter
 from factloom.llm.components import components
-from tests.llm.odd import ROWS, no_docs, odd_docs, words
+from tests.llm.odd import ROWS, SCHEMA, no_docs, odd_docs, words
 
 
 def rows_of(df, *cols):
@@ -242,6 +242,13 @@ def test_top_k_matches_brute_force(spark):
     assert set(rows_of(got, "query_id", "rank", "vec_id", "score")) == want
 
 
+def test_top_k_of_a_row_repeated_often(spark):
+    """The query's own row occurs more often than k; others with its vector still come."""
+    rows = [(0, [3, 4])] * 12 + [(7, [3, 4]), (9, [3, 4]), (8, [0, 1])] + [(i, [1, 0]) for i in range(20, 40)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") == 0, k=3)
+    assert set(rows_of(got, "query_id", "rank", "vec_id", "score")) == {(0, 1, 7, 25), (0, 2, 9, 25), (0, 3, 8, 4)}
+
+
 def test_top_k_of_few_rows(spark):
     rows = spark.createDataFrame([(0, [1, 2]), (0, [1, 2]), (7, [3]), (None, [1, 1]), (9, None)], "vec_id long, v array<bigint>")
     got = set(rows_of(topk.top_k(rows, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score"))
@@ -259,21 +266,40 @@ def test_token_files_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     rows = [(20, "Hello, World... can't DON'T. éÉ <|endoftext|>. <|ENDOFTEXT|> a...,, x!? 3.14, foo*. İstanbul ΣΑΣ. 'tis", "", "", 0), (21, "Σ. ﬁ, ½, 中文。 x.é!", "", "", 0)]
+    rows += [(22, "J\u030cX H\u0331. T\u0308, W\u030aA Y\u030a É E\u0301A", "", "", 0)]  # composed in one case only
     docs = odd_docs(spark, [*ROWS, *rows])
     folder = tokenfile.dataset_folder(spark, "test")
     tokenfile.write_tokens(docs, folder, path, segment_tokens=500)
     files = spark.read.parquet(folder)
     got = sorted(rows_of(tokenfile.read_documents(files), "start", "doc_id", "n_tokens", "ids_crc32"))
-    order = sorted([*ROWS, *rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    digest = dict(rows_of(docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).distinct(), "*"))
+    order = sorted([*ROWS, *rows], key=lambda r: (r[0] is not None, r[0] or 0, digest[r[1]]))
     at = 0
     for r, g in zip(order, got, strict=True):
         ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 1]
         assert g == (at, r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    stream = [i for r in order for i in [*plain.encode(r[1] or "", add_special_tokens=False).ids, 1]]
+    asked = spark.createDataFrame([(p,) for p in (0, 1, len(stream) // 2, len(stream) - 1, len(stream), -1, None, 1)], "position long")
+    assert dict(rows_of(tokenfile.tokens_at(files, asked), "position", "token")) == {p: stream[p] for p in (0, 1, len(stream) // 2, len(stream) - 1)}
     s = tokenfile.Segment(files.first().payload)
     assert [s.token(i) for i in range(s.n_tokens)] == s.tokens().tolist()
 
 
+def test_other_tokenizers_take_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(i, t, "", "", 0) for i, t in enumerate(["Hello  World\n\nIt's 3.14", " a b", "", None, "tabs\tand lines\n"])]
+    folder = tokenfile.dataset_folder(spark, "test")
+    tokenfile.write_tokens(odd_docs(spark, rows), folder, path)
+    got = dict(rows_of(tokenfile.read_documents(spark.read.parquet(folder)), "doc_id", "ids_crc32"))
+    for i, text, *_ in rows:
+        assert got[i] == zlib.crc32(np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
 def test_codes_of_any_width():
     ids = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1] * 300)
     s = tokenfile.Segment(tokenfile.pack([5, None], np.array([7, len(ids) - 7]), ids))
@@ -290,6 +316,7 @@ def test_url_rules_match_brute_force(spark):
     paths = ["", "/", "/en/", "/en/7", "/e"]
     rules = [(rng.choice(hosts).lower(), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(14)] + [(None, "/", "block")]
     urls = [None, "", "no scheme", "http://", "http://a.com", "ftp://B.A.com/en/7?x#y", "x://y://z/en/"]
+    urls += ["http://com\x01evil/en/", "http://a.com\x02/en/", "http://\x01.com/en/7", "http://com\x03\x031/en/"]
     urls += [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=://e', '#f', '8/z'])}" for _ in range(200)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x"))
     unique = {}
@@ -314,6 +341,8 @@ def test_url_rules_match_brute_force(spark):
 def test_rotation_matches_brute_force(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, " ", "tie"), (1, None, "ann", "last"), (None, 0, "ann", "x"), (None, 0, "ann", "x"), (2, 0, "system", "alone")]
     rows += [(3, i, ["ann", "bob", "cid"][i % 3], f"t{i}") for i in range(500)]
+    rows += [(-(1 << 63), (1 << 63) - 1, "ann", "far"), (-(1 << 63), None, "bob", "farther"), (4, 1, "ann", "first")]
+    rows += [(4, None, ["ann", "bob"][i % 2], f"unnumbered text {i % 7}") for i in range(60)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash")).repartition(4)
     got = defaultdict(list)
     for r in chat.rotate(df).collect():
@@ -403,9 +432,24 @@ def test_shards_compact_and_commit(spark):
 def test_two_writers_cannot_make_one_version(spark):
     store = shards.Shards(spark, tokenfile.dataset_folder(spark, "shards"))
     store.append(odd_docs(spark))
+    # both have looked and found version 1; the second may not replace what the first makes
+    assert store._publish(2, store._changes(1)) and not store._publish(2, []) and store.version() == 2
+    assert store.read().count() == len(ROWS)
+    store.append(odd_docs(spark))  # on top of it
+    assert store.version() == 3 and store.read().count() == 2 * len(ROWS)
+    runs = [r.run for r in store.manifest().collect()]
+    store._new_run(odd_docs(spark), store.manifest(), runs)
     with pytest.raises(RuntimeError, match="another writer"):
-        store._commit(store.manifest(), 1)
+        store._new_run(odd_docs(spark), store.manifest(3), runs)
     assert store.read().count() == len(ROWS)
+    # data of a writer that hasn't committed stays, unless it died long ago
+    odd_docs(spark).write.parquet(f"{store.root}/data/underway")
+    store._fs.create(store._path(f"{store.root}/pending/underway"), False).close()
+    assert store.vacuum() == 2 and "underway" in store._listed("data")
+    assert store.vacuum(grace_hours=0) == 2 and set(store._listed("data")) == {r.run for r in store.manifest().collect()}
+    for _ in range(20):  # past the point where changes become a base
+        store.append(odd_docs(spark))
+    assert store.read().count() == 21 * len(ROWS) and len(store._changes(store.version())) <= shards.CHANGES
     empty = shards.Shards(spark, tokenfile.dataset_folder(spark, "shards"))
     empty.append(no_docs(spark))
     assert empty.manifest().agg(F.sum("rows")).first()[0] in (0, None)
