@@ -153,16 +153,14 @@ def judge(docs: DataFrame, threshold: float = 0.8, least_words: int = 50, keep:
 def good_documents(docs: DataFrame, threshold: float = 0.8, least_words: int = 50, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, as they are.
 
-    The model is fitted on the votes of all rows; a second pass counts again and judges each row where it
-    is, so texts are neither shuffled nor written.
+    Texts are counted once: each row is written with its votes (a byte for each rule), the model is fitted on
+    all votes, and a second pass over that table keeps or drops each row. Texts aren't shuffled, and the names
+    of other columns don't matter.
     """
-    rules = rule_votes()
+    rules = list(rule_votes())
     text = F.col(text_col).cast("string")
-    model = fit(written(_measured(docs, text, []), "quality").withColumns(rules), list(rules))
     rows = _measured(docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_in")), F.col("_in"), ["_row"])
-    # a condition on a column like this one isn't moved below it, where all counts would be written out in it
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns(rules).where(
-        ~failed & (_posterior(list(rules), [F.lit(x) for x in _odds(*model)]) >= threshold) & (F.col("_n") >= 0)
-    ).select("_row.*")
+    voted = written(rows.withColumns(rule_votes()).select("_row", failed.alias("_failed"), *rules), "votes")
+    good = _posterior(rules, [F.lit(x) for x in _odds(*fit(voted, rules))]) >= threshold
+    return voted.where(~F.col("_failed") & good).select("_row.*")
