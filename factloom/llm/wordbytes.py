@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
 _MIX_1, _MIX_2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
