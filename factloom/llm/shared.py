@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.sources.scratch import shared_dir, written
+from factloom.sources.scratch import listed, remove, shared_dir, written
 
-__all__ = ["SEPARATORS", "cut", "positions", "running_totals", "shared_dir", "small_join", "written"]
+__all__ = ["SEPARATORS", "cut", "listed", "positions", "remove", "running_totals", "shared_dir", "small_join", "written"]
 
 #: Separators of words: space and \t \n \v \f \r, and nothing else.
 SEPARATORS = r"[\x20\x09-\x0D]+"

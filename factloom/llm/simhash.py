@@ -24,7 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
@@ -220,15 +220,21 @@ def first_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame], id_co
     """``docs`` with the first row of each component that ``find`` tells (``component_id``) of rows of ``_key`` and text.
 
     The first is the one with the smallest id (null before all others), then the least hash of its text, then
-    the least JSON of the whole row; so reruns choose alike, and rows that differ in nothing count once. The
+    the least JSON of its other columns; so reruns choose alike, and rows that differ in nothing count once. The
     names of other columns don't matter.
     """
     text = F.col(text_col).cast("string")
     key = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("p"))
     found = find(docs.select(key.alias("_key"), text.alias(text_col)))
-    # a hash of the key in the join: it may hold a null, and a struct of a few rows is no cheaper to compare
-    first = found.select("component_id").distinct().select(F.xxhash64("component_id").alias("k"), F.col("component_id").alias("key"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("own")).withColumn("k", F.xxhash64("own"))
-    kept = rows.join(first, "k").where(F.col("own").eqNullSafe(F.col("key")))
-    one = kept.groupBy("own").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
-    return one.select("row.*")
+    # as one text: a struct would be cast for the join, and rows then shuffled again for the groups
+    plain = lambda k: F.concat_ws(":", k["known"].cast("string"), F.coalesce(k["id"].cast("string"), F.lit("")), k["p"].cast("string"))
+    first = found.select(plain(F.col("component_id")).alias("k")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), plain(key).alias("k"))
+    # rows of one key lie together after the join
+    return rows.join(first, "k").groupBy("k").agg(F.min_by("row", F.to_json(_without(docs, text_col))).alias("row")).select("row.*")
+
+
+def _without(docs: DataFrame, text_col: str) -> Column:
+    """Of ``row`` all but its text, and whether that is null."""
+    fields = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return F.struct(F.col("row")[text_col].isNull().alias("empty"), *fields)
