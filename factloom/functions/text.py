@@ -87,11 +87,11 @@ def plain(c: Column | str) -> Column:
 
 
 def yaml_scalar(c: Column | str) -> Column:
-    """Quoted where YAML would read something else than the text."""
+    """Quoted where it holds one of YAML's marks or a new line."""
     value = F.coalesce(col(c), F.lit(""))
-    odd = value.rlike(r"""[:#\[\]{}",'&*!|>%@`\n]|^[\s-]|\s$""") | (value == "") | F.lower(value).isin("true", "false", "null", "yes", "no")
+    odd = value.rlike(r"""[:#\[\]{}&*!|>'"%@`\n]""")
     quoted = F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(odd | value.rlike(r"^-?\d+(\.\d+)?$"), quoted).otherwise(value)
+    return F.when(odd, quoted).otherwise(value)
 
 
 def positive(c: Column | str, default: int) -> Column:

@@ -14,8 +14,8 @@ LIST_SECTIONS = ("key findings", "findings", "evidence", "关键发现", "核心
 SKIPPED_SECTIONS = ("sources", "source list", "主要来源", "参考文献", "引用来源")
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were")
 VERDICTS = ("supported", "partially_supported", "unsupported", "unverifiable")
+#: A citation and the start of a list item.
 CITATION = r"\[(\d+)\.(\d+)(?:-(\d+)\.(\d+))?\]"
-LONGEST_RANGE = 10_000
 ITEM = rf"^{SPACE}*(?:[-*]|\d+\.){SPACE}+"
 BY_RUN = ("run_id", "claim_index")
 
@@ -89,32 +89,22 @@ def extract_bullet_claims(reports: DataFrame, least: int = 20, most: int = 50) -
     return rows.select("run_id", "claim_index", "section", "text", F.col("text").rlike(r"\[\d+\.\d+\]").alias("has_citation"))
 
 
-def citations_of(text: Column) -> Column:
-    """The citations of a text as an array of (finding_index, source_index), each once, in order.
+def parse_citations(claims: DataFrame) -> DataFrame:
+    """run_id, claim_index, ``position`` (from 1), finding_index and source_index of each citation, each once, in order.
 
-    ``[1.2]`` is one; ``[1.2-1.4]`` a range, ``[1.2-3.4]`` every such pair; reversed ranges give nothing and
-    a range longer than ``LONGEST_RANGE`` is cut there.
+    ``[1.2]`` is one; ``[1.2-1.4]`` a range, ``[1.2-3.4]`` every such pair; reversed ranges give nothing. Ranges
+    of any length are rows from the start, never one array of pairs.
     """
-    parts = [F.regexp_extract_all(text, F.lit(CITATION), F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d"), 1)]
-    none = F.array().cast("array<bigint>")
-
-    def span(start: Column, end: Column) -> Column:
-        return F.when(end >= start, F.sequence(start, F.least(end, start + LONGEST_RANGE - 1))).otherwise(none)
-
-    def pairs(m: Column) -> Column:
-        a, b = m["a"].try_cast("bigint"), m["b"].try_cast("bigint")
-        single = m["c"] == ""
-        c, d = F.when(single, a).otherwise(m["c"].try_cast("bigint")), F.when(single, b).otherwise(m["d"].try_cast("bigint"))
-        pair = lambda i, j: F.struct(i.alias("finding_index"), j.alias("source_index"))
-        return F.coalesce(F.flatten(F.transform(span(a, c), lambda i: F.transform(span(b, d), lambda j: pair(i, j)))), F.array().cast("array<struct<finding_index: bigint, source_index: bigint>>"))
-
-    return F.array_distinct(F.flatten(F.transform(F.arrays_zip(*parts), pairs)))
-
-
-def parse_citations(claims: DataFrame) -> DataFrame:
-    """run_id, claim_index, ``position`` (from 1), finding_index and source_index of each citation."""
-    found = claims.select(*BY_RUN, F.posexplode(citations_of(F.col("text"))).alias("position", "c"))
-    return found.select(*BY_RUN, (F.col("position") + 1).alias("position"), "c.finding_index", "c.source_index")
+    parts = [F.regexp_extract_all("text", F.lit(CITATION), F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d"), 1)]
+    found = claims.select(*BY_RUN, F.posexplode(F.arrays_zip(*parts)).alias("place", "m"))
+    whole = lambda x: F.col(f"m.{x}").try_cast("bigint")
+    single = F.col("m.c") == ""
+    found = found.select(*BY_RUN, "place", whole("a").alias("a"), whole("b").alias("b"), F.when(single, whole("a")).otherwise(whole("c")).alias("c"), F.when(single, whole("b")).otherwise(whole("d")).alias("d"))
+    found = found.where("a <= c and b <= d").select(*BY_RUN, "place", "b", "d", F.explode(F.sequence("a", "c")).alias("finding_index"))
+    found = found.select(*BY_RUN, "place", "finding_index", F.explode(F.sequence("b", "d")).alias("source_index"))
+    first = found.groupBy(*BY_RUN, "finding_index", "source_index").agg(F.min("place").alias("place"))
+    order = Window.partitionBy(*BY_RUN).orderBy("place", "finding_index", "source_index")
+    return first.select(*BY_RUN, F.row_number().over(order).alias("position"), "finding_index", "source_index")
 
 
 def complete(title: Column | str = "title", url: Column | str = "url", proof: Column | str = "evidence") -> Column:
@@ -140,16 +130,30 @@ def tokens(text: Column) -> Column:
     return F.array_except(found, F.array(*map(F.lit, STOP_WORDS)))
 
 
+def shared_words(claims: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``shared`` of each claim with a resolved citation: how many of its words stand in cited titles and evidence.
+
+    A claim's few words go to its citations; of a source's text only the words they share go on.
+    """
+    said = claims.select(*BY_RUN, tokens(F.col("text")).alias("said"))
+    heard = tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit(""))))
+    rows = resolved.where("resolved").join(said, list(BY_RUN)).select(*BY_RUN, F.array_intersect("said", heard).alias("hits"))
+    return rows.groupBy(*BY_RUN).agg(F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("shared"))
+
+
+def keyword_overlap(claims: DataFrame, resolved: DataFrame) -> DataFrame:
+    """run_id, claim_index and ``overlap``: the share of a claim's words that stand in its cited sources; 0 without any."""
+    rows = claims.select(*BY_RUN, F.size(tokens(F.col("text"))).alias("n")).join(shared_words(claims, resolved), list(BY_RUN), "left")
+    return rows.select(*BY_RUN, F.when(F.col("n") > 0, F.coalesce("shared", F.lit(0)) / F.col("n")).otherwise(0.0).alias("overlap"))
+
+
 def score_claims(claims: DataFrame, resolved: DataFrame, platform: str | None = None, least_overlap: float = 0.08) -> DataFrame:
     """Each claim with its citation keys, unresolved ones, rule flags and ``overlap``.
 
     ``overlap`` is the share of the claim's words among those of its cited sources' titles and evidence; with
     ``platform`` every resolved source must be of that engine.
     """
-    word = F.explode(tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit("")))))
-    said = claims.select(*BY_RUN, F.explode(tokens(F.col("text"))).alias("word"))
-    heard = resolved.where("resolved").select(*BY_RUN, word.alias("word")).distinct()
-    shared = said.join(heard, [*BY_RUN, "word"], "left_semi").groupBy(*BY_RUN).agg(F.count("*").alias("shared"))
+    shared = shared_words(claims, resolved)
     key = F.struct("position", "key", "resolved")
     per = resolved.groupBy(*BY_RUN).agg(
         F.array_sort(F.collect_list(key)).alias("keys"),
@@ -164,13 +168,13 @@ def score_claims(claims: DataFrame, resolved: DataFrame, platform: str | None =
     words = F.size(tokens(F.col("text")))
     rows = rows.withColumn("overlap", F.when(words > 0, n("shared") / words).otherwise(0.0))
     rows = rows.withColumn("has_citations", F.size("keys") > 0)
-    rows = rows.withColumn("citations_resolved", F.col("has_citations") & (n("n_resolved") == F.size("keys")))
-    rows = rows.withColumn("sources_complete", (n("n_resolved") > 0) & (n("n_complete") == n("n_resolved")))
+    rows = rows.withColumn("citations_resolved", n("n_resolved") == F.size("keys"))
+    rows = rows.withColumn("sources_complete", n("n_complete") == n("n_resolved"))
     rows = rows.withColumn("platform_match", (n("n_foreign") == 0) if platform else F.lit(True))
     flags = {
         "no_citation": ~F.col("has_citations"),
-        "citation_unresolved": F.col("has_citations") & ~F.col("citations_resolved"),
-        "missing_source_fields": (n("n_resolved") > 0) & ~F.col("sources_complete"),
+        "citation_unresolved": ~F.col("citations_resolved"),
+        "missing_source_fields": ~F.col("sources_complete"),
         "platform_mismatch": ~F.col("platform_match"),
         "low_keyword_overlap": F.col("has_citations") & (F.col("overlap") < least_overlap),
     }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.text import SPACE, collapsed, filled, trimmed
+from factloom.functions.text import SPACE, blank, collapsed, filled, trimmed
 
 #: Entities in the order they are decoded, and the order of page groups.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -94,7 +96,7 @@ def page_titles(pages: DataFrame) -> DataFrame:
     """``path`` and ``title``: from the front matter, else the file's name without ``.md`` and its source number."""
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?i)\.md$", "")
     told = read_frontmatter(pages).select("path", F.col("fields")["title"].alias("title"))
-    return told.select("path", filled("title", F.regexp_replace(name, r"^Source \d+ - ", "")).alias("title"))
+    return told.select("path", filled("title", F.regexp_replace(name, r"^Source \d{3} - ", "")).alias("title"))
 
 
 def filter_pages(pages: DataFrame, text: str | None) -> DataFrame:
@@ -114,23 +116,66 @@ def page_groups(pages: DataFrame) -> DataFrame:
     return grouped.withColumn("place", F.when(known > 0, known).otherwise(len(GROUPS) + 1)).orderBy("place", "segment")
 
 
-def retrieve(questions: DataFrame, pages: DataFrame, k: int = 5, excerpt: int = 400, block: int = 128) -> DataFrame:
+def retrieve(questions: DataFrame, pages: DataFrame, k: int = 5, excerpt: int = 400, question_block: int = 2000, page_block: int = 2000) -> DataFrame:
     """``question_id``, ``rank``, ``path``, ``score`` and ``excerpt`` of each question's best k pages with a score.
 
     A page scores 1 for each word of the question longer than two characters that it contains anywhere (a
-    repeated word counts again), and 5 for the whole question; ties go by path. The question set meets all
-    pages in blocks of ``block`` questions, so a page is read once for each block.
+    repeated word counts again), and 5 for the whole question, spaces at its ends included; ties go by path.
+    Blank questions have no result.
+
+    Questions and pages meet in blocks. In a block every page is read once for all different words, scores are
+    a product of two small matrices, and each question's best k pages leave it.
     """
-    lowered = F.lower(trimmed("question"))
+    lowered = F.lower("question")
     words = F.filter(F.split(lowered, f"{SPACE}+"), lambda w: F.length(w) > 2)
-    asked = questions.select(F.col("question_id").alias("id"), lowered.alias("q"), words.alias("words"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-questions.count() // block)))).alias("b")).agg(F.collect_list(F.struct("id", "q", "words")).alias("asked"))
-    rows = pages.select("path", F.lower("content").alias("text"), "content").crossJoin(F.broadcast(blocks))
-    hits = lambda x: F.size(F.filter(x["words"], lambda w: F.contains(F.col("text"), w)))
-    whole = lambda x: F.when((x["q"] != "") & F.contains(F.col("text"), x["q"]), 5).otherwise(0)
-    scored = rows.select("path", F.substring("content", 1, excerpt).alias("excerpt"), F.explode(
-        F.filter(F.transform("asked", lambda x: F.struct(x["id"].alias("question_id"), (hits(x) + whole(x)).alias("score"))), lambda s: s["score"] > 0)
-    ).alias("s"))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "path")
-    found = scored.select("s.question_id", "path", F.col("s.score").cast("long").alias("score"), "excerpt").withColumn("rank", F.row_number().over(best))
-    return found.where(F.col("rank") <= k)
+    asked = questions.where(~blank("question")).select(F.col("question_id").alias("id"), lowered.alias("q"), words.alias("words"))
+    texts = pages.select("path", F.coalesce(F.lower("content"), F.lit("")).alias("text"), F.substring("content", 1, excerpt).alias("excerpt"))
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((asked, question_block), (texts, page_block)))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, copies: int, by: str):
+        placed = df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(blocks)))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).groupBy("qb", "pb")
+
+    kind = questions.schema["question_id"].dataType.simpleString()
+    schema = f"question_id {kind}, path string, score long, excerpt string"
+    best = dealt(asked, "qb", n, "pb", m, "id").cogroup(dealt(texts, "pb", m, "qb", n, "path")).applyInArrow(_best_pages(k), schema)
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "path")
+    found = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("question_id", "path", "score", "excerpt", "rank")
+
+
+def _best_pages(k: int):
+    def run(asked: pa.Table, texts: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        texts = texts.sort_by("path")
+        word_lists, whole, bodies = asked["words"].to_pylist(), asked["q"].to_pylist(), texts["text"].to_pylist()
+        number = {w: i for i, w in enumerate(sorted({w for words in word_lists for w in words}))}
+        wanted = np.zeros((len(number), len(whole)), np.float32)
+        for j, words in enumerate(word_lists):
+            for w in words:
+                wanted[number[w], j] += 1
+        finder = ahocorasick.Automaton()
+        for w, i in number.items():
+            finder.add_word(w, i)
+        if number:
+            finder.make_automaton()
+        holds = np.zeros((len(bodies), len(number)), np.float32)
+        for i, body in enumerate(bodies):
+            if number:
+                holds[i, list({w for _, w in finder.iter(body)})] = 1
+        scores = np.rint(holds @ wanted).astype(np.int64) if len(bodies) and len(whole) else np.zeros((len(bodies), len(whole)), np.int64)
+        # a page that holds the whole question holds all its words
+        for i, j in zip(*np.nonzero(scores == wanted.sum(axis=0).astype(np.int64)), strict=True):
+            if whole[j] in bodies[i]:
+                scores[i, j] += 5
+        page = np.arange(len(bodies))
+        pick = np.argsort(-(scores * (len(bodies) + 1) - page[:, None]), axis=0)[:k]
+        at, j = pick.T.ravel(), np.repeat(np.arange(len(whole)), len(pick))
+        good = scores[at, j] > 0
+        at, j = pa.array(at[good], pa.int64()), pa.array(j[good], pa.int64())
+        score = pa.array(scores[at.to_numpy(), j.to_numpy()], pa.int64())
+        columns = [asked["id"].take(j), texts["path"].take(at), pa.chunked_array([score]), texts["excerpt"].take(at)]
+        return pa.table(columns, ["question_id", "path", "score", "excerpt"])
+
+    return run

@@ -36,21 +36,21 @@ def run_reports(runs: DataFrame, reports: DataFrame, files: DataFrame | None = N
 
 
 def normalize_wiki_sources(sources: DataFrame) -> DataFrame:
-    """Every field of a wiki source with its default; id = run/source-NNN."""
+    """Every field of a wiki source with its default; id = run/source-NNN. A given ``has_content`` or ``content_length`` holds."""
     rows = sources
     kinds = {"title": "string", "url": "string", "snippet": "string", "content": "string", "summary": "string", "query": "string", "engine": "string"}
-    for name, kind in (kinds | {"strategy": "string", "fetch_status": "string", "tags": "array<string>", "artifact_paths": "map<string,string>", "observed_at": "timestamp"}).items():
+    for name, kind in (kinds | {"kind": "string", "strategy": "string", "fetch_status": "string", "fetch_error": "string", "has_content": "boolean", "content_length": "int", "tags": "array<string>", "artifact_paths": "map<string,string>", "observed_at": "timestamp"}).items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     text = lambda c: F.coalesce(c, F.lit(""))
     content = F.coalesce("content", "summary", F.lit(""))
     index = F.col("source_index").cast("int")
     return rows.select(
-        F.format_string("%s/source-%03d", F.col("run_id").cast("string"), index).alias("id"),
+        F.format_string("%s/source-%03d", F.col("run_id").cast("string"), index).alias("id"), F.coalesce("kind", F.lit("research-source")).alias("kind"),
         "run_id", index.alias("source_index"), text("title").alias("title"), text("url").alias("url"), text("snippet").alias("snippet"),
-        content.alias("content"), text("query").alias("query"), "strategy", "engine", "fetch_status",
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("artifact_paths", F.create_map().cast("map<string,string>")).alias("artifact_paths"),
-        "observed_at", (F.length(trimmed(content)) > 0).alias("has_content"), F.length(trimmed(content)).alias("content_length"),
+        content.alias("content"), text("query").alias("query"), text("strategy").alias("strategy"), text("engine").alias("engine"), "fetch_status", "fetch_error",
+        F.coalesce("tags", F.array(F.lit("source"))).alias("tags"), F.coalesce("artifact_paths", F.create_map().cast("map<string,string>")).alias("artifact_paths"),
+        "observed_at", F.coalesce("has_content", trimmed(content) != "").alias("has_content"), F.coalesce(F.col("content_length").cast("int"), F.length(content)).alias("content_length"),
     )
 
 
@@ -78,7 +78,7 @@ def topic_of(query: Column, run_id: Column) -> Column:
 
 
 def source_path(run_id: Column, index: Column, title: Column) -> Column:
-    name = F.concat(F.lit("Source "), F.lpad(index.cast("string"), 3, "0"), F.lit(" - "), filled(title, F.lit("Untitled")))
+    name = F.concat(F.format_string("Source %03d - ", index.cast("int")), filled(title, F.lit("Untitled")))
     return F.concat(F.lit("Sources/"), file_name(run_id.cast("string"), 80), F.lit("/"), file_name(name, 100), F.lit(".md"))
 
 
@@ -91,11 +91,14 @@ def claims_path(topic: Column) -> Column:
 
 
 def page(front: dict[str, Column], body: Column) -> Column:
-    """Front matter (text, or arrays as lists) and body."""
+    """Front matter (text, or arrays as lists; missing values are ``null``) and body."""
     lines = []
     for name, value in front.items():
-        shown = F.when(F.size(value) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(value, lambda x: F.concat(F.lit("  - "), yaml_scalar(x))), "\n"))) if name in LISTS else F.concat(F.lit(f"{name}: "), yaml_scalar(value))
-        lines.append(F.when(value.isNotNull(), shown))
+        if name in LISTS:
+            items = F.transform(value, lambda x: F.concat(F.lit("\n  - "), yaml_scalar(x)))
+            lines.append(F.concat(F.lit(f"{name}:"), F.array_join(items, "")))
+        else:
+            lines.append(F.concat(F.lit(f"{name}: "), F.when(value.isNull(), "null").otherwise(yaml_scalar(value))))
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), trimmed(body), F.lit("\n"))
 
 
@@ -223,19 +226,20 @@ def missing_manifest_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
 
 def lint_wiki(pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """``severity``, ``code``, ``path`` and ``detail`` of what is wrong: missing URLs, topics without sources, broken links, missing pages."""
-    front = read_frontmatter(pages).select("path", F.struct(F.col("fields")["type"].alias("type"), F.col("fields")["url"].alias("url")).alias("fields"), F.size(F.col("lists")["sources"]).alias("n_sources"))
-    kind = F.col("fields")["type"]
+    fields = F.col("fields")
+    front = read_frontmatter(pages).select("path", fields["type"].alias("kind"), fields["url"].alias("url"), fields["sources"].alias("told"), F.size(F.col("lists")["sources"]).alias("n_sources"))
     issue = lambda df, severity, code, detail: df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "path", detail.alias("detail"))
     none = F.lit(None).cast("string")
-    no_url = front.where((kind == "source") & F.coalesce(blank(F.col("fields")["url"]), F.lit(True)))
-    no_sources = front.where((kind == "topic") & (F.coalesce("n_sources", F.lit(0)) <= 0))
+    no_url = front.where(F.col("path").startswith("Sources/") & (F.col("kind") == "source") & F.coalesce(filled("url"), F.lit("null")).isin("null"))
+    listed = (F.coalesce("n_sources", F.lit(0)) > 0) | (F.coalesce(filled("told"), F.lit("[]")) != "[]")
+    no_sources = front.where(F.col("path").startswith("Topics/") & (F.col("kind") == "topic") & ~listed)
     checked = pages.where(~F.col("path").startswith("Lint/") & ~F.col("path").startswith("Templates/"))
     broken = resolve_links(extract_links(checked), pages).where(~F.col("exists"))
     out = issue(no_url, "warn", "missing_url", none).unionByName(issue(no_sources, "warn", "topic_no_sources", none))
     out = out.unionByName(issue(broken, "error", "broken_wikilink", F.col("target")))
     if manifest is None:
         spark = pages.sparkSession
-        return out.unionByName(spark.sql("SELECT 'warn' AS severity, 'missing_manifest' AS code, CAST(NULL AS STRING) AS path, CAST(NULL AS STRING) AS detail"))
+        return out.unionByName(spark.sql("SELECT 'warn' AS severity, 'missing_manifest' AS code, 'manifest.json' AS path, CAST(NULL AS STRING) AS detail"))
     return out.unionByName(issue(missing_manifest_pages(manifest, pages), "error", "manifest_missing_page", F.col("source_id")))
 
 

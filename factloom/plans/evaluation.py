@@ -11,8 +11,11 @@ from factloom.operators import claims as C
 from factloom.sources.scratch import written
 
 
-def findings_health(findings: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per run: findings, errors, sources, what could be read, rates and flags. Evidence of spaces counts here."""
+def findings_health(findings: DataFrame, sources: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Per run: findings, errors, sources, what could be read, rates and flags. Evidence of spaces counts here.
+
+    Every status of a source is an attempt to read it. With ``runs`` those without findings have a row too.
+    """
     told = sources.withColumn("_e", filled("summary", "content", "snippet").isNotNull())
     per = told.groupBy("run_id").agg(
         F.count("*").alias("n_sources"),
@@ -21,10 +24,13 @@ def findings_health(findings: DataFrame, sources: DataFrame) -> DataFrame:
         F.count_if(F.col("fetch_status") == "ok").alias("n_ok"),
         F.count_if(F.col("fetch_status") == "failed").alias("n_failed"),
         F.countDistinct("finding_index").alias("n_with_sources"),
+        F.count(filled("fetch_status")).alias("n_attempted"),
     )
-    runs = findings.groupBy("run_id").agg(F.count("*").alias("n_findings"), F.count("error").alias("n_errors"))
-    rows = runs.join(per, "run_id", "left").fillna(0)
-    rows = rows.withColumn("n_attempted", F.col("n_ok") + F.col("n_failed"))
+    rows = findings.groupBy("run_id").agg(F.count("*").alias("n_findings"), F.count("error").alias("n_errors"))
+    if runs is not None:
+        rows = runs.select("run_id").join(rows, "run_id", "left")
+    rows = rows.join(per, "run_id", "left")
+    rows = rows.fillna(0, [c for c in rows.columns if c != "run_id"])
     flags = {
         "empty_sources": F.col("n_sources") == 0,
         "all_findings_failed": (F.col("n_findings") > 0) & (F.col("n_errors") == F.col("n_findings")),
@@ -40,8 +46,11 @@ def findings_health(findings: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_metrics(judged: DataFrame, health: DataFrame | None = None) -> DataFrame:
-    """Per run: claims and rates of citation, resolution, complete sources, platform and verdicts (of those not skipped)."""
+def benchmark_metrics(judged: DataFrame, health: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Per run: claims and rates of citation, resolution, complete sources, platform and verdicts (of those not skipped).
+
+    With ``runs`` those without claims have a row of zeros.
+    """
     spoken = ~F.col("skipped")
     verdict = lambda v: F.count_if(spoken & (F.col("verdict") == v))
     sums = judged.groupBy("run_id").agg(
@@ -54,6 +63,9 @@ def benchmark_metrics(judged: DataFrame, health: DataFrame | None = None) -> Dat
         F.count_if(spoken).alias("judged"),
         *[verdict(v).alias(v) for v in C.VERDICTS],
     )
+    if runs is not None:
+        sums = runs.select("run_id").join(sums, "run_id", "left")
+        sums = sums.fillna(0, [c for c in sums.columns if c != "run_id"])
     c = F.col
     out = sums.select(
         "run_id",
@@ -78,17 +90,19 @@ def risk_examples(judged: DataFrame, n: int = 10) -> DataFrame:
 
 
 def evaluate_runs(
-    reports: DataFrame, findings: DataFrame, sources: DataFrame, verdicts: DataFrame | None = None, platform: str | None = None
+    reports: DataFrame, findings: DataFrame, sources: DataFrame, verdicts: DataFrame | None = None, platform: str | None = None, runs: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """From raw reports: claims with scores and verdicts, metrics, health and risk examples.
 
-    Claims and their citations are written once, as four results read them.
+    Every run has metrics and health: those in ``runs``, by default those with a report or a finding. Claims and their citations are written once, as four results read them.
     """
     claims = written(C.extract_claims(reports), "claims")
     resolved = written(C.resolve_citations(C.parse_citations(claims), sources), "citations")
     judged = C.judge_claims(C.score_claims(claims, resolved, platform), verdicts)
-    health = findings_health(findings, sources)
-    return {"claims": judged, "health": health, "metrics": benchmark_metrics(judged, health), "risks": risk_examples(judged)}
+    if runs is None:
+        runs = reports.select("run_id").union(findings.select("run_id")).distinct()
+    health = findings_health(findings, sources, runs)
+    return {"claims": judged, "health": health, "metrics": benchmark_metrics(judged, health, runs), "risks": risk_examples(judged)}
 
 
 def benchmark_summary(metrics: DataFrame, judged: DataFrame) -> DataFrame:

@@ -107,14 +107,15 @@ def parse_relevance(responses: DataFrame) -> DataFrame:
 def filter_by_relevance(sources: DataFrame, decisions: DataFrame, max_sources: int = 30) -> DataFrame:
     """Sources whose URL is among the run's ``max_sources`` best, with ``keep``, ``score`` and ``reason``; those without URL go.
 
-    ``decisions`` has run_id, url, keep, score and reason. A URL without a decision is kept at 0.5.
+    ``decisions`` has run_id, url, keep, score and reason. A source without a decision is kept at 0.5; one
+    without URL takes a place among the best all the same.
     """
-    unique = dedupe_sources(sources.where(filled("url").isNotNull()))
+    unique = dedupe_sources(sources)
     rows = unique.join(decisions.select("run_id", "url", "keep", "score", "reason"), ["run_id", "url"], "left")
     rows = rows.withColumns({"keep": F.coalesce("keep", F.lit(True)), "score": F.coalesce("score", F.lit(0.5)), "reason": F.coalesce("reason", F.lit(""))})
     best = Window.partitionBy("run_id").orderBy(F.desc("score"), "finding_index", "source_index")
     kept = rows.where("keep").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= max_sources)
-    return sources.join(kept.select("run_id", "url", "keep", "score", "reason"), ["run_id", "url"])
+    return sources.join(kept.where(filled("url").isNotNull()).select("run_id", "url", "keep", "score", "reason"), ["run_id", "url"])
 
 
 def findings_left(findings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,8 +130,13 @@ def enrich_sources(sources: DataFrame, page_text: DataFrame, mode: str = "conten
 
     A page that was read gives content, and the title where there is none; mode ``summary`` gives its summary
     too, or the snippet. A failed one leaves status and error. ``chosen`` names a column: a URL is enriched in
-    a finding where one of its sources is chosen.
+    a finding where one of its sources is chosen. Of several pages with one URL the first by status (ok before
+    failed), title and content counts. Rows that aren't enriched stay as they are.
     """
+    best = Window.partitionBy("url").orderBy(F.col("status") != "ok", "status", "title", "content")
+    page_text = page_text.withColumn("_place", F.row_number().over(best)).where("_place = 1")
+    if "fetch_error" not in sources.columns:
+        sources = sources.withColumn("fetch_error", F.lit(None).cast("string"))
     told = page_text.select("url", *[F.col(c).alias(f"_{c}") for c in ("title", "content", "status", "error")], *([F.col("summary").alias("_summary")] if "summary" in page_text.columns else []))
     rows = sources
     if chosen:
@@ -145,12 +151,12 @@ def enrich_sources(sources: DataFrame, page_text: DataFrame, mode: str = "conten
         "title": F.when(ok, filled("title", "_title")).otherwise(F.col("title")),
         "content": F.when(ok, F.col("_content")).otherwise(F.col("content")),
         "fetch_status": F.when(asked, F.col("_status")).otherwise(F.col("fetch_status")),
-        "fetch_error": F.when(asked & ~ok, F.col("_error")),
+        "fetch_error": F.when(asked, F.when(~ok, F.col("_error"))).otherwise(F.col("fetch_error")),
     }
     if mode == "summary":
         summary = F.col("_summary") if "_summary" in rows.columns else F.lit(None).cast("string")
         new["summary"] = F.when(ok, filled(summary, "snippet")).otherwise(F.col("summary"))
-    return rows.withColumns(new).drop("_asked", *[c for c in rows.columns if c.startswith("_")])
+    return rows.withColumns(new).drop("_asked", "_title", "_content", "_status", "_error", "_summary")
 
 
 def resolve_content(urls: DataFrame, backends: list[DataFrame], mode: str = "auto") -> DataFrame:

@@ -125,12 +125,12 @@ SCORES = rf"""{CITES}, heard AS (
 HEALTH = """
     health AS (
         SELECT run_id, n_findings, n_errors, coalesce(n_sources, 0) AS n_sources, coalesce(n_evidence, 0) AS n_evidence, coalesce(n_content, 0) AS n_content,
-               coalesce(n_ok, 0) AS n_ok, coalesce(n_failed, 0) AS n_failed, coalesce(n_with_sources, 0) AS n_with_sources
+               coalesce(n_ok, 0) AS n_ok, coalesce(n_failed, 0) AS n_failed, coalesce(n_with_sources, 0) AS n_with_sources, coalesce(n_attempted, 0) AS n_attempted
         FROM (SELECT run_id, count(*) AS n_findings, count(error) AS n_errors FROM f_findings GROUP BY run_id)
         LEFT JOIN (
             SELECT run_id, count(*) AS n_sources, count(coalesce(nullif(summary, ''), nullif(content, ''), nullif(snippet, ''))) AS n_evidence,
                    count(nullif(content, '')) AS n_content, count(*) FILTER (fetch_status = 'ok') AS n_ok, count(*) FILTER (fetch_status = 'failed') AS n_failed,
-                   count(DISTINCT finding_index) AS n_with_sources
+                   count(DISTINCT finding_index) AS n_with_sources, count(nullif(fetch_status, '')) AS n_attempted
             FROM f_sources GROUP BY run_id) USING (run_id)
     )"""
 RATE = lambda a, b: f"CASE WHEN coalesce({b}, 0) = 0 THEN 0.0 ELSE round(CAST({a} AS DOUBLE) / ({b}), 4) END"
@@ -163,16 +163,23 @@ def _(v):
     return rows.select("run_id", "claim_index", "position", "key", "resolved", "complete", "url")
 
 
-@query("t5_score_claims", f"WITH {LINE_CLAIMS}, {SCORES} SELECT run_id, claim_index, citation_keys, n_resolved, n_complete, round(overlap, 6) AS overlap, flags FROM flagged")
+@query("t5_score_claims", f"WITH {LINE_CLAIMS}, {SCORES} SELECT run_id, claim_index, citation_keys, n_resolved, n_complete, round(overlap, 6) AS overlap, flags, n_keys > 0 AS has_citations, n_resolved = n_keys AS citations_resolved, n_complete = n_resolved AS sources_complete, true AS platform_match FROM flagged")
 def _(v):
     resolved = claims.resolve_citations(claims.parse_citations(line_claims(v)), v["f_sources"])
     rows = claims.score_claims(line_claims(v), resolved)
     return rows.select(
         "run_id", "claim_index", F.array_join("citation_keys", ",").alias("citation_keys"), "n_resolved", "n_complete", F.round("overlap", 6).alias("overlap"),
-        F.array_join("flags", ",").alias("flags"),
+        F.array_join("flags", ",").alias("flags"), "has_citations", "citations_resolved", "sources_complete", "platform_match",
     )
 
 
+@query("t4_keyword_overlap", f"WITH {CLAIMS}, {SCORES} SELECT run_id, claim_index, round(overlap, 6) AS overlap FROM scored")
+def _(v):
+    told = written(claims.extract_claims(v["f_reports"]), "claims")
+    rows = claims.keyword_overlap(told, claims.resolve_citations(claims.parse_citations(told), v["f_sources"]))
+    return rows.select("run_id", "claim_index", F.round("overlap", 6).alias("overlap"))
+
+
 @query("w7_number_lines", f"WITH {LINES} SELECT run_id, line_no, line, heading, section FROM sectioned")
 def _(v):
     return claims.number_lines(v["f_reports"])
@@ -183,30 +190,50 @@ def _(v):
     return claims.extract_claims(v["f_reports"])
 
 
-@query("t2_bullet_claims")
+@query("t2_bullet_claims", rf"""
+    WITH split_lines AS (
+        SELECT run_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT run_id, string_split(report, chr(10)) AS ls FROM f_reports)
+    ), headed AS (
+        SELECT *, nullif({TRIM(rf"regexp_extract(line, '^##{SPACE}+(.+)$', 1)")}, '') AS heading, {TRIM("line")} AS bare FROM split_lines
+    ), sectioned AS (
+        SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS section FROM headed
+    ), bullets AS (
+        SELECT run_id, line_no, section, {TRIM(f"regexp_replace(bare, '^[-*]{SPACE}+', '')")} AS text FROM sectioned
+        WHERE heading IS NULL AND (starts_with(bare, '-') OR starts_with(bare, '*'))
+    ), numbered AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS INTEGER) AS claim_index FROM bullets WHERE length(text) >= 20
+    )
+    SELECT run_id, claim_index, section, text, regexp_matches(text, '\[\d+\.\d+\]') AS has_citation FROM numbered WHERE claim_index <= 50""")
 def _(v):
     return claims.extract_bullet_claims(v["f_reports"])
 
 
 @query("a1_findings_health", f"""
-    WITH {HEALTH} SELECT *, n_ok + n_failed AS n_attempted, {RATE("n_evidence", "n_sources")} AS evidence_rate, {RATE("n_content", "n_sources")} AS content_rate,
-        {RATE("n_ok", "n_ok + n_failed")} AS ok_rate,
+    WITH {HEALTH} SELECT *, {RATE("n_evidence", "n_sources")} AS evidence_rate, {RATE("n_content", "n_sources")} AS content_rate,
+        {RATE("n_ok", "n_attempted")} AS ok_rate,
         array_to_string(list_filter([CASE WHEN n_sources = 0 THEN 'empty_sources' END, CASE WHEN n_errors = n_findings THEN 'all_findings_failed' END,
-            CASE WHEN n_with_sources = 0 THEN 'no_finding_sources' END, CASE WHEN n_ok + n_failed > 0 AND n_ok = 0 THEN 'enrichment_all_failed' END],
+            CASE WHEN n_with_sources = 0 THEN 'no_finding_sources' END, CASE WHEN n_attempted > 0 AND n_ok = 0 THEN 'enrichment_all_failed' END],
             lambda f: f IS NOT NULL), ',') AS flags
     FROM health""")
 def _(v):
     return evaluation.findings_health(v["f_findings"], v["f_sources"])
 
 
-METRICS = f"""
-    WITH {CLAIMS}, {SCORES}, {HEALTH}, rates AS (
+RATES = f"""
+    rates AS (
         SELECT run_id, count(*) AS claim_count, {RATE("count(*) FILTER (n_keys > 0)", "count(*)")} AS claims_with_citations_rate,
                {RATE("sum(n_resolved)", "sum(n_keys)")} AS citation_resolution_rate, {RATE("sum(n_complete)", "sum(n_resolved)")} AS source_presence_rate
-        FROM flagged GROUP BY run_id)
-    SELECT r.*, 1.0::DOUBLE AS platform_match_rate, 0.0::DOUBLE AS supported_rate, 0.0::DOUBLE AS partially_supported_rate, 0.0::DOUBLE AS unsupported_rate,
-           0.0::DOUBLE AS unverifiable_rate, {RATE("n_ok", "n_ok + n_failed")} AS enrich_ok_rate, {RATE("n_content", "n_sources")} AS content_presence_rate
-    FROM rates r JOIN health USING (run_id)"""
+        FROM flagged GROUP BY run_id
+    ), all_rates AS (
+        SELECT run_id, coalesce(claim_count, 0) AS claim_count, coalesce(claims_with_citations_rate, 0.0) AS claims_with_citations_rate,
+               coalesce(citation_resolution_rate, 0.0) AS citation_resolution_rate, coalesce(source_presence_rate, 0.0) AS source_presence_rate,
+               CASE WHEN claim_count > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS platform_match_rate, {RATE("n_ok", "n_attempted")} AS enrich_ok_rate,
+               {RATE("n_content", "n_sources")} AS content_presence_rate
+        FROM health LEFT JOIN rates USING (run_id)
+    )"""
+METRICS = f"""
+    WITH {CLAIMS}, {SCORES}, {HEALTH}, {RATES}
+    SELECT *, 0.0::DOUBLE AS supported_rate, 0.0::DOUBLE AS partially_supported_rate, 0.0::DOUBLE AS unsupported_rate, 0.0::DOUBLE AS unverifiable_rate FROM all_rates"""
 
 
 @query("l3_evaluate_runs", METRICS)
@@ -223,13 +250,28 @@ def _(v):
     return rows.select("run_id", "claim_index", "rank", F.array_join("flags", ",").alias("flags"))
 
 
-@query("a2_benchmark_metrics")
+VERDICT_RATE = lambda x: RATE(f"count(*) FILTER (verdict = '{x}')", "count(*) FILTER (verdict IS NOT NULL)")
+
+
+@query("a2_benchmark_metrics", rf"""
+    WITH {CLAIMS}, {SCORES}, {HEALTH}, {RATES}, told AS (
+        SELECT doc_id AS run_id, trim(CAST(regexp_extract(response, '(?s)\{{.*\}}') AS JSON)->>'verdict') AS verdict FROM f_verdicts
+    ), judged AS (
+        SELECT f.run_id, CASE WHEN n_resolved = 0 THEN 'unverifiable' WHEN claim_index = 1 THEN verdict END AS verdict FROM flagged f LEFT JOIN told USING (run_id)
+    ), verdicts AS (
+        SELECT run_id, {VERDICT_RATE("supported")} AS supported_rate, {VERDICT_RATE("partially_supported")} AS partially_supported_rate,
+               {VERDICT_RATE("unsupported")} AS unsupported_rate, {VERDICT_RATE("unverifiable")} AS unverifiable_rate FROM judged GROUP BY run_id
+    )
+    SELECT a.*, coalesce(supported_rate, 0.0) AS supported_rate, coalesce(partially_supported_rate, 0.0) AS partially_supported_rate,
+           coalesce(unsupported_rate, 0.0) AS unsupported_rate, coalesce(unverifiable_rate, 0.0) AS unverifiable_rate
+    FROM all_rates a LEFT JOIN verdicts v ON v.run_id = a.run_id""")
 def _(v):
-    """With recorded verdicts: every claim takes the one of the label whose id is its run's."""
+    """With recorded verdicts: the first claim of a run takes the one of the label whose id is the run's."""
     scored = evaluation.evaluate_runs(v["f_reports"], v["f_findings"], v["f_sources"])["claims"]
     told = claims.parse_verdicts(v["f_verdicts"]).select(F.col("doc_id").alias("run_id"), F.lit(1).alias("claim_index"), "verdict", "confidence", "reason")
     plain = scored.drop("verdict", "confidence", "reason", "skipped")
-    return evaluation.benchmark_metrics(claims.judge_claims(plain, told))
+    health = evaluation.findings_health(v["f_findings"], v["f_sources"], v["f_runs"])
+    return evaluation.benchmark_metrics(claims.judge_claims(plain, told), health, v["f_runs"])
 
 
 @query("t10_parse_verdicts", r"""
@@ -240,7 +282,13 @@ def _(v):
     return claims.parse_verdicts(v["f_verdicts"]).drop("response")
 
 
-@query("a11_claim_prompts")
+@query("a11_claim_prompts", f"""
+    WITH {LINE_CLAIMS}, {CITES}, shown AS (
+        SELECT run_id, claim_index, string_agg('[' || key || ']' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'URL: ' || coalesce(url, '') || chr(10)
+                   || 'Evidence: ' || evidence || chr(10) || 'Engine: ' || coalesce(engine, ''), chr(10) || chr(10) ORDER BY position) AS sources
+        FROM cited WHERE resolved GROUP BY ALL)
+    SELECT t.run_id, t.claim_index, 'Claim:' || chr(10) || text || chr(10) || chr(10) || 'Cited sources:' || chr(10) || coalesce(sources, '(none)') AS prompt
+    FROM told_claims t LEFT JOIN shown s ON s.run_id = t.run_id AND s.claim_index = t.claim_index""")
 def _(v):
     return claims.claim_prompts(line_claims(v), claims.resolve_citations(claims.parse_citations(line_claims(v)), v["f_sources"]))
 
@@ -410,8 +458,9 @@ ASKED = f"""SELECT conv_id * 1000 + turn AS question_id, lower({TRIM("text")}) A
     WITH asked AS ({ASKED}), words AS (
         SELECT question_id, unnest(regexp_split_to_array(q, '{SPACE}+')) AS w FROM asked
     ), texts AS (SELECT 'docs/' || doc_id AS path, lower(text) AS t FROM documents),
+    asked_whole AS (SELECT conv_id * 1000 + turn AS question_id, lower(text) AS q FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
     hits AS (SELECT question_id, path, count(*) AS n FROM words JOIN texts ON length(w) > 2 AND contains(t, w) GROUP BY ALL),
-    whole AS (SELECT question_id, path FROM asked JOIN texts ON q <> '' AND contains(t, q)),
+    whole AS (SELECT question_id, path FROM asked_whole JOIN texts ON trim(q) <> '' AND contains(t, q)),
     ranked AS (
         SELECT question_id, path, coalesce(n, 0) + CASE WHEN w.path IS NULL THEN 0 ELSE 5 END AS score
         FROM hits h FULL JOIN whole w USING (question_id, path)
@@ -513,9 +562,10 @@ def _(v):
 
 @query("p10_normalize_wiki_sources", f"""
     SELECT run_id || '/source-' || lpad(CAST(finding_index * 1000 + source_index AS VARCHAR), CAST(greatest(3, length(CAST(finding_index * 1000 + source_index AS VARCHAR))) AS INTEGER), '0') AS id,
-           run_id, title, url, coalesce(content, summary, '') AS content, length({TRIM("coalesce(content, summary, '')")}) AS content_length FROM f_sources""")
+           run_id, title, url, coalesce(content, summary, '') AS content, length(coalesce(content, summary, '')) AS content_length,
+           {TRIM("coalesce(content, summary, '')")} <> '' AS has_content, 'research-source' AS kind FROM f_sources""")
 def _(v):
-    return wiki_inputs(v)[0].select("id", "run_id", "title", "url", "content", F.col("content_length").cast("bigint").alias("content_length"))
+    return wiki_inputs(v)[0].select("id", "run_id", "title", "url", "content", F.col("content_length").cast("bigint").alias("content_length"), "has_content", "kind")
 
 
 @query("a5_group_sources", "SELECT run_id, count(*) AS n_sources FROM f_sources GROUP BY run_id")
@@ -647,7 +697,20 @@ def _prompts(v: Views) -> DataFrame:
     return rounds.batch_prompts(v["f_sources"], v["f_runs"])
 
 
-@query("a10_batch_prompts")
+PROMPTS = f"""
+    prompts AS (
+        SELECT run_id, batch, count(*) AS n_items, 'Research query: ' || any_value(query) || chr(10) || chr(10) || 'Rate source relevance:' || chr(10)
+               || string_agg(i || '. ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || 'Evidence: ' || e, chr(10) || chr(10) ORDER BY i) AS prompt
+        FROM (
+            SELECT s.*, {EVIDENCE("s.")} AS e, CAST(floor((n - 1) / 10) AS INTEGER) AS batch, (n - 1) % 10 + 1 AS i FROM (
+                SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY finding_index, source_index) AS n FROM (
+                    SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(nullif(url, ''), coalesce(title, '') || ':' || coalesce(snippet, ''))
+                                                 ORDER BY finding_index, source_index) AS again FROM f_sources) WHERE again = 1) s) b
+        JOIN f_runs USING (run_id) GROUP BY run_id, batch
+    )"""
+
+
+@query("a10_batch_prompts", f"WITH {PROMPTS} SELECT run_id, batch, n_items, prompt FROM prompts")
 def _(v):
     return _prompts(v)
 
@@ -657,11 +720,13 @@ DECISIONS = "SELECT run_id, url, min(doc_id) % 7 <> 0 AS keep, (min(doc_id) % 10
 
 @query("j3_filter_by_relevance", f"""
     WITH decided AS ({DECISIONS}), firsts AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY finding_index, source_index) AS n FROM f_sources WHERE url <> '') WHERE n = 1
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(nullif(url, ''), coalesce(title, '') || ':' || coalesce(snippet, ''))
+                                                    ORDER BY finding_index, source_index) AS n FROM f_sources) WHERE n = 1
     ), kept AS (
         SELECT run_id, url, score FROM (
-            SELECT run_id, url, score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, finding_index, source_index) AS place
-            FROM firsts JOIN decided USING (run_id, url) WHERE keep) WHERE place <= 4)
+            SELECT f.run_id, f.url, coalesce(score, 0.5) AS score,
+                   row_number() OVER (PARTITION BY f.run_id ORDER BY coalesce(score, 0.5) DESC, finding_index, source_index) AS place
+            FROM firsts f LEFT JOIN decided d ON d.run_id = f.run_id AND d.url = f.url WHERE coalesce(keep, true)) WHERE place <= 4 AND url <> '')
     SELECT run_id, finding_index, source_index, CAST(score AS DOUBLE) AS score FROM f_sources JOIN kept USING (run_id, url)""")
 def _(v):
     told = v["f_sources"].where("url <> ''").groupBy("run_id", "url").agg(F.min("doc_id").alias("d"))
@@ -687,7 +752,9 @@ def _(v):
     return rounds.resolve_content(urls, [_page_text(v), handler]).select("url", "status")
 
 
-@query("u1_complete_prompts")
+@query("u1_complete_prompts", f"""
+    WITH {PROMPTS} SELECT run_id || '-' || batch AS prompt_id, '[' || ((length(prompt) - length(replace(prompt, 'URL: ', ''))) // 5) || ']' AS response,
+        CAST(NULL AS VARCHAR) AS error FROM prompts""")
 def _(v):
     """Every batch prompt answered by a callable on the executors."""
     named = _prompts(v).select(F.concat_ws("-", "run_id", "batch").alias("prompt_id"), "prompt")

@@ -1,7 +1,7 @@
 """Research records drawn from the given tables, whole, in SQL that Spark and DuckDB both read.
 
-Every user turn of a conversation is a finding; every document is a source of some finding, with the page
-whose id it shares by counting round; every error and label gives a report, a log row or a verdict.
+Every user turn of a conversation is a finding; a document is a source of the finding whose number it shares by
+counting round, unless that finding failed, with the page it shares in the same way; every error and label gives a report, a log row or a verdict.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ VIEWS = {
                CASE WHEN d.doc_id % 4 < 2 THEN d.text END AS content,
                CASE WHEN d.doc_id % 8 = 0 THEN split_part(d.text, chr(10), 2) END AS summary,
                d.source AS engine,
-               CASE d.doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'failed' END AS fetch_status,
+               CASE d.doc_id % 8 WHEN 2 THEN 'failed' WHEN 6 THEN 'failed' WHEN 3 THEN 'skipped' WHEN 7 THEN NULL ELSE 'ok' END AS fetch_status,
                p.page_id, d.doc_id
         FROM (SELECT x.*, doc_id % n_runs AS run, doc_id % n_pages AS page FROM {documents} x CROSS JOIN {f_sizes}) d
         JOIN (SELECT run_id, max(finding_index) AS last FROM {f_findings} GROUP BY run_id) r ON r.run_id = d.run

@@ -32,9 +32,9 @@ def test_web_results_slice_then_drop(spark):
 def test_platform_items(spark):
     raw = {"result": {"tweets": [{"name": "n", "link": "l", "desc": " d ", "author": {"name": "A", "username": "b"}, "score": 3}, {}]}}
     top = {"items": [{"title": "t", "url": "u", "snippet": "s", "engine": "e"}, {"title": "x", "excerpt": "y"}]}
-    df = frame(spark, [("js-x-ops", json.dumps(raw)), ("some-reddit", json.dumps(top))], "skill string, payload string")
+    df = frame(spark, [("demo-x-ops", json.dumps(raw)), ("some-reddit", json.dumps(top))], "skill string, payload string")
     got = {(r.skill, r.source_index): (r.title, r.url, r.snippet, r.engine) for r in sources.normalize_platform_items(df).collect()}
-    assert got[("js-x-ops", 1)] == ("n", "l", "d\nAuthor: A b\nScore: 3", "skill:x")
+    assert got[("demo-x-ops", 1)] == ("n", "l", "d\nAuthor: A b\nScore: 3", "skill:x")
     assert got[("some-reddit", 1)] == ("t", "u", "s", "e") and got[("some-reddit", 2)] == ("x", "", "y", "skill:reddit")
     assert sources.normalize_unified_items(df.where("skill = 'some-reddit'")).count() == 2
     assert sources.label_engine(df).select("engine").distinct().count() == 2
