@@ -144,6 +144,11 @@ def retrieve(questions: DataFrame, pages: DataFrame, k: int = 5, excerpt: int =
     return found.select("question_id", "path", "score", "excerpt", "rank")
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """A struct's type with fields that may be null, as Spark's declared schema has them."""
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def _best_pages(k: int):
     def run(asked: pa.Table, texts: pa.Table) -> pa.Table:
         import ahocorasick
@@ -175,7 +180,8 @@ def _best_pages(k: int):
         good = scores[at, j] > 0
         at, j = pa.array(at[good], pa.int64()), pa.array(j[good], pa.int64())
         score = pa.array(scores[at.to_numpy(), j.to_numpy()], pa.int64())
-        columns = [asked["id"].take(j), texts["path"].take(at), pa.chunked_array([score]), texts["excerpt"].take(at)]
+        ids = asked["id"].take(j)
+        columns = [ids.cast(_nullable(ids.type)), texts["path"].take(at), pa.chunked_array([score]), texts["excerpt"].take(at)]
         return pa.table(columns, ["question_id", "path", "score", "excerpt"])
 
     return run
