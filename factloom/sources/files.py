@@ -47,13 +47,13 @@ def read_sessions(spark: SparkSession, root: str, strategy: str | None = None) -
 
 
 def write_sessions(runs: DataFrame, findings: DataFrame, sources: DataFrame, reports: DataFrame, root: str) -> None:
-    """Each table as JSON under root/<table>/strategy=/session_ts=, by the run's strategy and time in UTC."""
+    """Each table as JSON under root/<table>/strategy=/session_ts=, by the run's strategy and time in UTC; other sessions stay."""
     stamp = F.date_format("created_at", "yyyy-MM-dd_HHmmss").alias("session_ts")
     where = runs.select("run_id", "strategy", stamp)
     tables = {"meta": runs.drop("strategy"), "findings": findings, "sources": sources, "report": reports}
     for name, df in tables.items():
         rows = df.join(where, "run_id")
-        rows.write.mode("overwrite").partitionBy("strategy", "session_ts").json(f"{root}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "session_ts").json(f"{root}/{name}")
 
 
 def read_archive(spark: SparkSession, base: str) -> dict[str, DataFrame]:
