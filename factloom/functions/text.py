@@ -59,7 +59,9 @@ def file_name(c: Column | str, most: int = 120) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    return F.initcap(collapsed(c))
+    """Each word's first letter in upper case (``ß`` as ``SS``), the others in lower case; single spaces."""
+    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    return F.array_join(F.transform(F.split(collapsed(c), " "), word), " ")
 
 
 def page_link(path: Column, label: Column | None = None) -> Column:

@@ -190,20 +190,21 @@ def _(v):
     return claims.extract_claims(v["f_reports"])
 
 
-@query("t2_bullet_claims", rf"""
-    WITH split_lines AS (
+BULLETS = rf"""bullet_lines AS (
         SELECT run_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT run_id, string_split(report, chr(10)) AS ls FROM f_reports)
-    ), headed AS (
-        SELECT *, nullif({TRIM(rf"regexp_extract(line, '^##{SPACE}+(.+)$', 1)")}, '') AS heading, {TRIM("line")} AS bare FROM split_lines
-    ), sectioned AS (
-        SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS section FROM headed
+    ), bullet_heads AS (
+        SELECT *, nullif({TRIM(rf"regexp_extract(line, '^##{SPACE}+(.+)$', 1)")}, '') AS heading, {TRIM("line")} AS bare FROM bullet_lines
+    ), bullet_sections AS (
+        SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS section FROM bullet_heads
     ), bullets AS (
-        SELECT run_id, line_no, section, {TRIM(f"regexp_replace(bare, '^[-*]{SPACE}+', '')")} AS text FROM sectioned
+        SELECT run_id, line_no, section, {TRIM(f"regexp_replace(bare, '^[-*]{SPACE}+', '')")} AS text FROM bullet_sections
         WHERE heading IS NULL AND (starts_with(bare, '-') OR starts_with(bare, '*'))
     ), numbered AS (
         SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS INTEGER) AS claim_index FROM bullets WHERE length(text) >= 20
-    )
-    SELECT run_id, claim_index, section, text, regexp_matches(text, '\[\d+\.\d+\]') AS has_citation FROM numbered WHERE claim_index <= 50""")
+    )"""
+
+
+@query("t2_bullet_claims", rf"WITH {BULLETS} SELECT run_id, claim_index, section, text, regexp_matches(text, '\[\d+\.\d+\]') AS has_citation FROM numbered WHERE claim_index <= 50")
 def _(v):
     return claims.extract_bullet_claims(v["f_reports"])
 
@@ -293,10 +294,23 @@ def _(v):
     return claims.claim_prompts(line_claims(v), claims.resolve_citations(claims.parse_citations(line_claims(v)), v["f_sources"]))
 
 
-@query("s7_benchmark_summary")
+SUMMED = ("claims_with_citations", "citation_resolution", "source_presence", "platform_match", "supported", "partially_supported", "unsupported", "unverifiable", "enrich_ok", "content_presence")
+
+
+@query("s7_benchmark_summary", f"""
+    WITH {CLAIMS}, {SCORES}, {HEALTH}, {RATES}, metrics AS (
+        SELECT *, 0.0::DOUBLE AS supported_rate, 0.0::DOUBLE AS partially_supported_rate, 0.0::DOUBLE AS unsupported_rate, 0.0::DOUBLE AS unverifiable_rate FROM all_rates
+    ), nested AS (
+        SELECT f.run_id, string_agg(concat_ws('|', f.claim_index, t.section, t.text, citation_keys, round(overlap, 6), flags), chr(10) ORDER BY f.claim_index) AS claims
+        FROM flagged f JOIN told_claims t ON t.run_id = f.run_id AND t.claim_index = f.claim_index GROUP BY f.run_id)
+    SELECT m.*, {", ".join(f"CAST(round({n}_rate * 100) AS BIGINT) || '%' AS {n}_percent" for n in SUMMED)}, claims
+    FROM metrics m LEFT JOIN nested n ON n.run_id = m.run_id""")
 def _(v):
+    """The nested claims are shown as lines of text."""
     found = evaluation.evaluate_runs(v["f_reports"], v["f_findings"], v["f_sources"])
-    return evaluation.benchmark_summary(found["metrics"], found["claims"])
+    rows = evaluation.benchmark_summary(found["metrics"], found["claims"])
+    line = lambda c: F.concat_ws("|", c["claim_index"], c["section"], c["text"], F.array_join(c["citation_keys"], ","), F.round(c["overlap"], 6), F.array_join(c["flags"], ","))
+    return rows.withColumn("claims", F.array_join(F.transform("claims", line), "\n"))
 
 
 # ---- sources ----
@@ -560,6 +574,99 @@ def _(v):
 # ---- wiki ----
 
 
+FILE = lambda x, n=120: (
+    "(SELECT CASE WHEN length(c) > {n} THEN {cut} ELSE c END FROM (SELECT coalesce(nullif(regexp_replace({clean}, '\\.+$', ''), ''), 'Untitled') AS c))".format(
+        n=n, cut=TRIM(f"substring(c, 1, {n})"), clean=COLLAPSE(rf"""regexp_replace({x}, '[<>:"/\\|?*#^\[\]]', '', 'g')""")
+    )
+)
+YAML = lambda x: rf"""CASE WHEN regexp_matches({x}, '[:#\[\]{{}}&*!|>''"%@`\n]') THEN '"' || replace(replace({x}, '\', '\\'), '"', '\"') || '"' ELSE {x} END"""
+ESCAPED = lambda x: rf"regexp_replace({x}, '\[\[([^\]]+)\]\]', '`[[\1]]`', 'g')"
+N = "chr(10)"
+#: Wiki sources with the paths and names of their pages.
+WIKI = rf"""
+    wiki_told AS (
+        SELECT s.run_id, s.finding_index * 1000 + s.source_index AS i, coalesce(title, '') AS title, coalesce(url, '') AS url, coalesce(snippet, '') AS snippet,
+               coalesce(content, summary, '') AS content, coalesce(query, '') AS query, strategy, coalesce(engine, '') AS engine, status, archived_rank,
+               array_to_string(list_transform(string_split({COLLAPSE("coalesce(nullif(query, ''), CAST(s.run_id AS VARCHAR))")}, ' '), lambda w: replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:])), ' ') AS topic
+        FROM f_sources s JOIN f_runs r ON r.run_id = s.run_id
+    ), wiki_sources AS (
+        SELECT *, run_id || '/source-' || i AS id, 'Sources/' || {FILE("CAST(run_id AS VARCHAR)", 80)} || '/' || {FILE("('Source ' || i || ' - ' || coalesce(nullif(title, ''), 'Untitled'))", 100)} AS page,
+               'Topics/' || {FILE("topic")} AS topic_page, 'Claims/' || {FILE("(topic || ' Claims')")} AS claims_page FROM wiki_told
+    ), source_pages AS (
+        SELECT page || '.md' AS path, 'source' AS type, run_id, id AS source_id, topic, status,
+               '---' || {N} || 'type: source' || {N} || 'title: ' || {YAML("coalesce(nullif(title, ''), 'Source ' || i)")} || {N} || 'researchId: ' || run_id || {N} || 'sourceId: ' || id || {N}
+               || 'url: ' || CASE WHEN url = '' THEN 'null' ELSE {YAML("url")} END || {N} || 'tags:' || {N} || '  - source' || {N} || '  - ' || strategy || {N}
+               || 'topic: ' || {YAML("topic")} || {N} || 'updated: {DAY}' || {N} || '---' || {N} || {N}
+               || {TRIM(f'''concat_ws({N}, '# ' || coalesce(nullif(title, ''), 'Untitled Source'), {N} || '## Metadata' || {N}, '- URL: ' || coalesce(nullif(url, ''), '(none)'),
+                   '- Research: ' || run_id, '- Query: ' || coalesce(nullif(query, ''), '(none)'), '- Engine: ' || nullif(engine, ''), {N} || '## Evidence' || {N},
+                   CASE WHEN snippet = '' THEN '_No snippet._' ELSE '> ' || {ESCAPED("snippet")} END, '',
+                   CASE WHEN content <> '' AND content <> snippet THEN '### Content' || {N} || {N} || {ESCAPED("substring(content, 1, 4000)")} END,
+                   {N} || '## Artifact Paths' || {N}, {N} || '## Related' || {N}, '- Topic: [[' || topic_page || ']]')''')} || {N} AS content
+        FROM wiki_sources
+    ), wiki_runs AS (
+        SELECT run_id, any_value(topic) AS topic, any_value(topic_page) AS topic_page, any_value(claims_page) AS claims_page, any_value(archived_rank) AS archived_rank, count(*) AS n_sources,
+               string_agg('  - ' || id, {N} ORDER BY i) AS ids, string_agg('- [[' || page || '|' || coalesce(nullif(title, ''), 'Source ' || i) || ']]', {N} ORDER BY i) AS links,
+               string_agg('- [[' || page || '|' || coalesce(nullif(title, ''), id) || ']]', {N} ORDER BY i) AS claim_links
+        FROM wiki_sources GROUP BY run_id
+    ), topic_runs AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_page ORDER BY archived_rank DESC, run_id DESC) AS n FROM wiki_runs) WHERE n = 1
+    ), topic_pages AS (
+        SELECT topic_page || '.md' AS path, 'topic' AS type, t.run_id, topic, n_sources,
+               '---' || {N} || 'type: topic' || {N} || 'title: ' || {YAML("topic")} || {N} || 'aliases:' || {N} || '  - ' || {YAML("topic")} || {N} || 'tags:' || {N} || '  - topic'
+               || array_to_string(list_transform(list_filter(string_split(lower(topic), ' '), lambda w: w <> '')[1:3], lambda w: {N} || '  - ' || {YAML("w")}), '') || {N}
+               || 'sources:' || {N} || ids || {N} || 'updated: {DAY}' || {N} || '---' || {N} || {N}
+               || {TRIM(f'''concat_ws({N}, '# ' || topic, {N} || '## Summary' || {N},
+                   coalesce(nullif(substring({TRIM(f"list_filter(string_split(coalesce(report, ''), {N}), lambda l: {TRIM('l')} <> '' AND NOT starts_with(l, '#'))[1]")}, 1, 800), ''), '_Compiled from research sources._'),
+                   {N} || '## Related Sources' || {N}, links, {N} || '## Claims' || {N}, '- [[' || claims_page || '|' || topic || ' Claims]]')''')} || {N} AS content
+        FROM topic_runs t LEFT JOIN f_reports r ON r.run_id = t.run_id
+    ), {BULLETS}, bullets_told AS (
+        SELECT run_id, count(*) AS n, string_agg(claim_index || '. **' || coalesce(nullif(section, ''), 'General') || '**: ' || text
+            || CASE WHEN regexp_matches(text, '\[\d+\.\d+\]') THEN ' _(has citation)_' ELSE ' _(no citation)_' END, {N} ORDER BY claim_index) AS told
+        FROM numbered WHERE claim_index <= 50 GROUP BY run_id
+    ), claim_runs AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claims_page ORDER BY archived_rank DESC, run_id DESC) AS n FROM wiki_runs) WHERE n = 1
+    ), claim_pages AS (
+        SELECT claims_page || '.md' AS path, 'claim' AS type, c.run_id, topic, coalesce(b.n, 0) AS claim_count,
+               '---' || {N} || 'type: claim' || {N} || 'topic: ' || {YAML("topic")} || {N} || 'tags:' || {N} || '  - claim' || {N} || 'claimCount: ' || coalesce(b.n, 0) || {N}
+               || 'updated: {DAY}' || {N} || '---' || {N} || {N}
+               || {TRIM(f'''concat_ws({N}, '# ' || topic || ' Claims', {N} || 'Topic: [[' || topic_page || ']]', {N} || '## Extracted Claims' || {N},
+                   coalesce(told, '_No extractable claims from report._'), {N} || '## Source Index' || {N}, claim_links)''')} || {N} AS content
+        FROM claim_runs c LEFT JOIN bullets_told b ON b.run_id = c.run_id
+    ), index_lines AS (
+        SELECT string_agg('- [[' || t.topic_page || '|' || topic || ']]', {N} ORDER BY topic) AS home,
+               string_agg('### [[' || t.topic_page || '|' || topic || ']]' || {N} || {N} || '- Sources: ' || n_sources || {N} || '- Claims: [[' || claims_page || '|Claims]]' || {N}, {N} ORDER BY topic) AS map
+        FROM topic_runs t
+    ), index_pages AS (
+        SELECT 'Home.md' AS path, 'home' AS type, '---' || {N} || 'type: home' || {N} || 'title: Home' || {N} || 'updated: {DAY}' || {N} || '---' || {N} || {N}
+               || {TRIM(f"'# Home' || {N} || {N} || '- [[Map of Content|Map of Content]]' || {N} || {N} || '## Topics' || {N} || {N} || home")} || {N} AS content FROM index_lines
+        UNION ALL
+        SELECT 'Map of Content.md', 'moc', '---' || {N} || 'type: moc' || {N} || 'title: Map of Content' || {N} || 'updated: {DAY}' || {N} || '---' || {N} || {N}
+               || {TRIM(f"'# Map of Content' || {N} || {N} || '## Topics' || {N} || {N} || map")} || {N} FROM index_lines
+    ), wiki_pages AS (
+        SELECT path, type, content FROM source_pages WHERE status IN ('failed', 'cancelled') UNION ALL SELECT path, type, content FROM topic_pages
+        UNION ALL SELECT path, type, content FROM claim_pages UNION ALL SELECT path, type, content FROM index_pages
+    )"""
+HASH = "sha256(CAST(to_json(struct_pack(title := title, url := url, snippet := snippet, content := content, run_id := CAST(run_id AS VARCHAR), query := query)) AS VARCHAR))"
+LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
+LINT = rf"""{WIKI}, bare_pages AS (
+        SELECT path, regexp_replace(regexp_replace(content, '`[^`]*`', ' ', 'g'), '(?s)```.*?```', ' ', 'g') AS t FROM wiki_pages
+    ), page_links AS (
+        SELECT path, CAST(position AS INTEGER) AS position, {TRIM(f"regexp_extract(m, '{LINK}', 1)")} AS target, nullif({TRIM(f"regexp_extract(m, '{LINK}', 2)")}, '') AS alias
+        FROM (SELECT path, unnest(ms) AS m, generate_subscripts(ms, 1) AS position FROM (SELECT path, regexp_extract_all(t, '{LINK}') AS ms FROM bare_pages))
+    ), resolved_links AS (
+        SELECT l.*, coalesce(a.path, b.path) AS resolved_path, a.path IS NOT NULL OR b.path IS NOT NULL AS exists
+        FROM page_links l LEFT JOIN (SELECT DISTINCT path FROM wiki_pages) a ON a.path = regexp_replace(l.path, '[^/]*$', '') || target || '.md'
+        LEFT JOIN (SELECT DISTINCT path FROM wiki_pages) b ON b.path = target || '.md'
+    ), issues AS (
+        SELECT 'warn' AS severity, 'missing_url' AS code, page || '.md' AS path, CAST(NULL AS VARCHAR) AS detail FROM wiki_sources WHERE status IN ('failed', 'cancelled') AND url = ''
+        UNION ALL SELECT 'error', 'broken_wikilink', path, target FROM resolved_links WHERE NOT exists
+        UNION ALL SELECT 'error', 'manifest_missing_page', page || '.md', id FROM wiki_sources WHERE status <> 'failed' AND page || '.md' NOT IN (SELECT path FROM wiki_pages)
+    ), summed AS (
+        SELECT count(*) AS issue_count, count(*) FILTER (severity = 'error') AS error_count, count(*) FILTER (severity = 'warn') AS warn_count,
+               count(*) FILTER (severity = 'error') = 0 AS ok FROM issues
+    )"""
+
+
 @query("p10_normalize_wiki_sources", f"""
     SELECT run_id || '/source-' || lpad(CAST(finding_index * 1000 + source_index AS VARCHAR), CAST(greatest(3, length(CAST(finding_index * 1000 + source_index AS VARCHAR))) AS INTEGER), '0') AS id,
            run_id, title, url, coalesce(content, summary, '') AS content, length(coalesce(content, summary, '')) AS content_length,
@@ -568,14 +675,17 @@ def _(v):
     return wiki_inputs(v)[0].select("id", "run_id", "title", "url", "content", F.col("content_length").cast("bigint").alias("content_length"), "has_content", "kind")
 
 
-@query("a5_group_sources", "SELECT run_id, count(*) AS n_sources FROM f_sources GROUP BY run_id")
+@query("a5_group_sources", f"""
+    WITH {WIKI} SELECT run_id, count(*) AS n_sources, string_agg(concat_ws('|', i, id, title, url, content), {N} ORDER BY i) AS sources FROM wiki_sources GROUP BY run_id""")
 def _(v):
-    return wiki.group_sources(wiki_inputs(v)[0]).select("run_id", "n_sources")
+    """The nested sources are shown as lines of text."""
+    line = lambda s: F.concat_ws("|", s["source_index"], s["id"], s["title"], s["url"], s["content"])
+    return wiki.group_sources(wiki_inputs(v)[0]).select("run_id", "n_sources", F.array_join(F.transform("sources", line), "\n").alias("sources"))
 
 
-@query("t13_source_hashes", "SELECT count(*) AS n_sources, count(DISTINCT (title, url, snippet, content, run_id)) AS n_hashes FROM (SELECT run_id, title, url, snippet, coalesce(content, summary, '') AS content FROM f_sources)")
+@query("t13_source_hashes", f"WITH {WIKI} SELECT id, {HASH} AS hash FROM wiki_sources")
 def _(v):
-    return wiki.source_hashes(wiki_inputs(v)[0]).agg(F.count("*").alias("n_sources"), F.countDistinct("hash").alias("n_hashes"))
+    return wiki.source_hashes(wiki_inputs(v)[0]).select("id", "hash")
 
 
 def _manifest(v: Views) -> DataFrame:
@@ -586,10 +696,9 @@ def _manifest(v: Views) -> DataFrame:
     return hashed.select(F.col("id").alias("source_id"), old.alias("hash"), F.array(path).alias("pages"), "run_id", F.to_timestamp(F.lit(DAY)).alias("updated_at"))
 
 
-@query("j7_plan_recompile", "SELECT status IN ('failed', 'cancelled') AS recompile, count(*) AS n FROM f_sources JOIN f_runs USING (run_id) GROUP BY 1")
+@query("j7_plan_recompile", f"WITH {WIKI} SELECT id, status IN ('failed', 'cancelled') AS recompile FROM wiki_sources")
 def _(v):
-    planned = wiki.plan_recompile(wiki.source_hashes(wiki_inputs(v)[0]), _manifest(v))
-    return planned.groupBy("recompile").agg(F.count("*").alias("n"))
+    return wiki.plan_recompile(wiki.source_hashes(wiki_inputs(v)[0]), _manifest(v)).select("id", "recompile")
 
 
 def _compiled(v: Views) -> dict[str, DataFrame]:
@@ -598,73 +707,89 @@ def _compiled(v: Views) -> dict[str, DataFrame]:
     return made | {"pages": written(made["pages"], "pages")}
 
 
-@query("k6_compile_wiki")
+@query("k6_compile_wiki", f"""
+    WITH {WIKI} SELECT compiled, skipped, n_topics, compiled + 2 * n_topics + 2 AS n_pages FROM (
+        SELECT count(*) FILTER (status IN ('failed', 'cancelled')) AS compiled, count(*) FILTER (status NOT IN ('failed', 'cancelled')) AS skipped,
+               (SELECT count(*) FROM topic_runs) AS n_topics FROM wiki_sources)""")
 def _(v):
     return _compiled(v)["summary"]
 
 
-@query("k1_source_pages")
+@query("k1_source_pages", f"WITH {WIKI}, hashes AS (SELECT id, {HASH} AS hash FROM wiki_sources) SELECT path, type, run_id, source_id, hash, topic, content FROM source_pages JOIN hashes ON id = source_id")
 def _(v):
     told, _ = wiki_inputs(v)
     return wiki.compile_source_pages(wiki.plan_recompile(wiki.source_hashes(told), _manifest(v), force=True), DAY)
 
 
-@query("k2_topic_pages")
+@query("k2_topic_pages", f"WITH {WIKI} SELECT * FROM topic_pages")
 def _(v):
     return wiki.compile_topic_pages(*wiki_inputs(v), DAY)
 
 
-@query("k3_claim_pages")
+@query("k3_claim_pages", f"WITH {WIKI} SELECT * FROM claim_pages")
 def _(v):
     told, reports = wiki_inputs(v)
     return wiki.compile_claim_pages(reports, told, DAY)
 
 
-@query("k4_index_pages")
+@query("k4_index_pages", f"WITH {WIKI} SELECT * FROM index_pages")
 def _(v):
     return wiki.compile_index_pages(wiki.compile_topic_pages(*wiki_inputs(v), DAY), DAY)
 
 
-@query("k5_update_manifest", "SELECT count(*) AS n, count(DISTINCT run_id) AS n_runs FROM f_sources")
+@query("k5_update_manifest", f"WITH {WIKI} SELECT id AS source_id, {HASH} AS hash, page || '.md' AS pages, run_id FROM wiki_sources")
 def _(v):
-    """After a compile the manifest holds every source once."""
-    return _compiled(v)["manifest"].agg(F.countDistinct("source_id").alias("n"), F.countDistinct("run_id").alias("n_runs"))
+    """After a compile the manifest holds every source once, with its present hash."""
+    return _compiled(v)["manifest"].select("source_id", "hash", F.array_join("pages", "|").alias("pages"), "run_id")
 
 
-@query("k7_lint_wiki")
+@query("k7_lint_wiki", f"WITH {LINT} SELECT * FROM issues")
 def _(v):
     return wiki.lint_wiki(_compiled(v)["pages"], _manifest(v))
 
 
-@query("a4_lint_summary")
+@query("a4_lint_summary", f"WITH {LINT} SELECT * FROM summed")
 def _(v):
     return wiki.lint_summary(wiki.lint_wiki(_compiled(v)["pages"], _manifest(v)))
 
 
-@query("a7_wiki_status")
+@query("a7_wiki_status", f"""
+    WITH {LINT} SELECT (SELECT count(*) FROM wiki_sources WHERE status <> 'failed') AS n_sources, TIMESTAMP '{DAY} 00:00:00' AS compiled_at,
+        (SELECT count(DISTINCT topic) FROM topic_runs) AS n_topics, summed.* FROM summed""")
 def _(v):
     made = _compiled(v)
     return wiki.wiki_status(_manifest(v), made["topics"], wiki.lint_wiki(made["pages"], _manifest(v)))
 
 
-@query("j5_missing_manifest_pages", "SELECT count(*) AS n FROM f_sources JOIN f_runs USING (run_id) WHERE status NOT IN ('failed', 'cancelled')")
+@query("j5_missing_manifest_pages", f"WITH {WIKI} SELECT id AS source_id, page || '.md' AS path FROM wiki_sources WHERE status NOT IN ('failed', 'cancelled')")
 def _(v):
     """Pages that this compile didn't write anew are missing from its own output."""
-    return wiki.missing_manifest_pages(_manifest(v).where("hash <> 'stale'"), _compiled(v)["pages"]).agg(F.count("*").alias("n"))
+    return wiki.missing_manifest_pages(_manifest(v).where("hash <> 'stale'"), _compiled(v)["pages"])
 
 
-@query("t7_j4_links")
+@query("t7_j4_links", f"WITH {LINT} SELECT * FROM resolved_links")
 def _(v):
     made = _compiled(v)["pages"]
     return pages.resolve_links(pages.extract_links(made), made)
 
 
-@query("t8_frontmatter")
+@query("t8_frontmatter", rf"""
+    WITH {WIKI}, fronts AS (SELECT path, regexp_extract(content, '(?s)^---\n(.*?)\n---', 1) AS b FROM wiki_pages)
+    SELECT path, array_to_string(list_transform(regexp_extract_all(b, '(?m)^[a-zA-Z0-9_-]+:[ \t]*\S.*$'), lambda l: regexp_extract(l, '^([a-zA-Z0-9_-]+):', 1) || '='
+        || {TRIM(r"""regexp_replace(regexp_extract(l, '^[a-zA-Z0-9_-]+:[ \t]*(.*)$', 1), '^["'']|["'']$', '', 'g')""")}), chr(10)) AS fields,
+        CAST(len(regexp_extract_all(b, '(?m)^[a-zA-Z0-9_-]+:[ \t]*$')) AS INTEGER) AS n_lists FROM fronts""")
 def _(v):
-    return pages.read_frontmatter(_compiled(v)["pages"]).select("path", F.map_entries("fields").alias("fields"), F.size("lists").alias("n_lists"))
+    """The fields are shown as lines of text."""
+    rows = pages.read_frontmatter(_compiled(v)["pages"])
+    shown = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return rows.select("path", shown.alias("fields"), F.size("lists").alias("n_lists"))
 
 
-@query("t9_page_titles")
+@query("t9_page_titles", rf"""
+    WITH {WIKI}, named AS (
+        SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?i)\.md$', '') AS name, regexp_extract(regexp_extract(content, '(?s)^---\n(.*?)\n---', 1), '(?m)^title: (.*)$', 1) AS title
+        FROM wiki_pages)
+    SELECT path, coalesce(nullif({TRIM(r"""regexp_replace(title, '^["'']|["'']$', '', 'g')""")}, ''), regexp_replace(name, '^Source \d{{3}} - ', '')) AS title FROM named""")
 def _(v):
     return pages.page_titles(_compiled(v)["pages"])
 
@@ -761,7 +886,10 @@ def _(v):
     return rounds.complete_prompts(named, lambda text: f"[{text.count('URL: ')}]").drop("prompt")
 
 
-@query("t11_parse_relevance")
+@query("t11_parse_relevance", f"""
+    WITH {PROMPTS} SELECT run_id, batch, CAST(i AS INTEGER) AS item, i > told OR i % 3 <> 0 AS keep, CASE WHEN i > told THEN 0.5 ELSE CAST(i % 10 AS DOUBLE) / 10 END AS score,
+        '' AS reason, true AS parsed
+    FROM (SELECT run_id, batch, greatest(n_items - 1, 1) AS told, unnest(range(1, n_items + 1)) AS i FROM prompts)""")
 def _(v):
     item = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_items").cast("int") - 1, F.lit(1))), lambda i: F.format_string('{"index": %d, "keep": %s, "score": 0.%d}', i, F.when(i % 3 == 0, "false").otherwise("true"), i % 10))
     told = _prompts(v).withColumn("response", F.concat(F.lit("Here: ["), F.array_join(item, ", "), F.lit("] done")))
@@ -780,7 +908,25 @@ def _corpus(v: Views) -> DataFrame:
     return v.table("documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
 
 
-@query("l1_search_round")
+CLEANED = lambda name, of: f"""{name} AS (
+        SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY position) AS INTEGER) AS finding_index, question FROM (
+            SELECT *, row_number() OVER (PARTITION BY run_id, question ORDER BY position) AS n
+            FROM (SELECT run_id, position, {TRIM("question")} AS question FROM ({of})) WHERE question <> '') WHERE n = 1)"""
+#: The best pages of a round's cleaned questions.
+FOUND = lambda name, asked, k: f"""{name} AS (
+        SELECT run_id, finding_index, CAST(place AS INTEGER) AS source_index, path AS title, path AS url, substring(text, 1, 400) AS snippet FROM (
+            SELECT *, row_number() OVER (PARTITION BY run_id, finding_index ORDER BY score DESC, path) AS place FROM (
+                SELECT run_id, finding_index, path, any_value(text) AS text, sum(points) AS score FROM (
+                    SELECT run_id, finding_index, path, text, 1 AS points
+                    FROM (SELECT run_id, finding_index, unnest(regexp_split_to_array(lower(question), '{SPACE}+')) AS w FROM {asked}) JOIN corpus ON length(w) > 2 AND contains(t, w)
+                    UNION ALL SELECT run_id, finding_index, path, text, 5 FROM {asked} JOIN corpus ON contains(t, lower(question)))
+                GROUP BY ALL)) WHERE place <= {k})"""
+CORPUS = "corpus AS (SELECT 'docs/' || doc_id AS path, text, lower(text) AS t FROM documents)"
+
+
+@query("l1_search_round", f"""
+    WITH {CORPUS}, {CLEANED("asked", "SELECT run_id, finding_index AS position, question FROM f_findings WHERE run_id % 20 = 0")}, {FOUND("found", "asked", 3)}
+    SELECT found.*, question FROM found JOIN asked USING (run_id, finding_index)""")
 def _(v):
     """The query set is every conversation whose id is divisible by 20."""
     asked = v["f_findings"].where("run_id % 20 = 0").select("run_id", F.col("finding_index").alias("position"), "question")
@@ -788,13 +934,33 @@ def _(v):
     return found.join(findings.select("run_id", "finding_index", "question"), ["run_id", "finding_index"])
 
 
-@query("l2_run_rounds")
-def _(v):
-    """One rapid round for the query set of every run whose id is divisible by 20; follow-ups are the run's later questions."""
-    asked = v["f_runs"].where("run_id % 20 = 0").select("run_id", "query")
-    more = v["f_findings"].select("run_id", F.col("finding_index").alias("position"), "question")
-    ask = lambda told, count: more.join(told.select("run_id"), "run_id").where((F.col("position") > 1) & (F.col("position") <= count + 1))
-    return rounds.run_rounds(asked, "rapid", ask, lambda q: rounds.search_round(q, _corpus(v), k=3))[0]
+@query("l2_run_rounds", f"""
+    WITH {CORPUS}, {CLEANED("first_asked", "SELECT run_id, finding_index AS position, question FROM f_findings WHERE run_id % 20 = 0 AND finding_index <= 2")},
+    {FOUND("first_found", "first_asked", 3)},
+    {CLEANED("next_asked", """SELECT f.run_id, f.finding_index AS position, f.question FROM f_findings f JOIN f_runs r ON r.run_id = f.run_id
+        WHERE f.run_id % 20 = 0 AND strategy <> 'rapid' AND f.finding_index = CASE WHEN f.run_id IN (SELECT run_id FROM first_found) THEN 3 ELSE 2 END""")},
+    {FOUND("next_found", "next_asked", 3)}, ahead AS (SELECT run_id, max(finding_index) AS n FROM first_asked GROUP BY run_id)
+    SELECT found.*, question, 1 AS iteration, strategy FROM first_found found JOIN first_asked USING (run_id, finding_index) JOIN f_runs USING (run_id)
+    UNION ALL
+    SELECT found.run_id, found.finding_index + n, source_index, title, url, snippet, question, 2, strategy
+    FROM next_found found JOIN next_asked USING (run_id, finding_index) JOIN ahead USING (run_id) JOIN f_runs USING (run_id)""")
+def _(v):
+    """Two rounds under its own strategy of every run whose id is divisible by 20; once sources give a context, the run's next question follows."""
+    runs = v["f_runs"].where("run_id % 20 = 0")
+    later = v["f_findings"].select("run_id", F.col("finding_index").alias("position"), "question")
+
+    def ask(told: DataFrame, count: int) -> DataFrame:
+        passed = F.when(F.col("context") == "", 1).otherwise(1 + count)
+        rows = later.join(told.select("run_id", "context"), "run_id")
+        return rows.where((F.col("position") > passed) & (F.col("position") <= passed + count)).drop("context")
+
+    out = None
+    for strategy, _ in rounds.list_strategies():
+        asked = runs.where(F.col("strategy") == strategy).select("run_id", "query")
+        findings, found = rounds.run_rounds(asked, strategy, ask, lambda q: rounds.search_round(q, _corpus(v), k=3), count=1)
+        rows = found.join(findings.select("run_id", "finding_index", "question", "iteration"), ["run_id", "finding_index"]).withColumn("strategy", F.lit(strategy))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("d4_union_rounds", "SELECT run_id, finding_index, CASE WHEN iteration = 1 THEN 1 ELSE 2 END AS iteration FROM f_findings")
