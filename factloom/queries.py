@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from factloom.functions.text import SPACE
 from factloom.operators import archive, claims, pages, sources, wiki
 from factloom.plans import evaluation, rounds
-from factloom.sources.scratch import written
+from factloom.sources import files
+from factloom.sources.scratch import shared_dir, written
 from factloom.sources.views import Views, with_views
 from factloom.streaming import feeds
 
@@ -546,9 +548,19 @@ def _(v):
     return archive.delete_runs(v["f_runs"], v["f_logs"], v["f_sources"], gone)["logs"].select("id", "run_id", "message")
 
 
-@query("j12_load_runs")
+@query("j12_load_runs", """
+    SELECT r.run_id, query, strategy, status, archived_rank, report, f.findings, s.sources FROM f_runs r LEFT JOIN f_reports p ON p.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, string_agg(concat_ws('|', finding_index, iteration, question, error), chr(10) ORDER BY finding_index) AS findings FROM f_findings GROUP BY run_id) f
+      ON f.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, string_agg(concat_ws('|', finding_index, source_index, title, url, content, fetch_status), chr(10) ORDER BY finding_index, source_index) AS sources
+               FROM f_sources GROUP BY run_id) s ON s.run_id = r.run_id""")
 def _(v):
-    return archive.load_runs(v["f_runs"], v["f_findings"], v["f_sources"], v["f_reports"])
+    """The nested findings and sources are shown as lines of text."""
+    rows = archive.load_runs(v["f_runs"], v["f_findings"], v["f_sources"], v["f_reports"])
+    lines = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[x[f] for f in fields])), "\n")
+    return rows.withColumn("findings", lines("findings", "finding_index", "iteration", "question", "error")).withColumn(
+        "sources", lines("sources", "finding_index", "source_index", "title", "url", "content", "fetch_status")
+    )
 
 
 @query("s4_archive_runs", f"""
@@ -566,6 +578,50 @@ def _(v):
     return archive.archive_runs(once, *batch)["sources"].select("run_id", "source_index", "dedup_id")
 
 
+def _sessions(v: Views) -> dict[str, DataFrame]:
+    """All runs written as sessions into the shared folder, and read again."""
+    root = f"{shared_dir(v.spark)}/factloom/sessions-{uuid.uuid4().hex}"
+    runs = v["f_runs"].select("run_id", "query", "strategy", F.timestamp_seconds(F.col("run_id")).alias("created_at"))
+    findings = v["f_findings"].select("run_id", F.col("finding_index").alias("seq"), "question", "iteration")
+    flat = v["f_sources"].select("run_id", (F.col("finding_index") * 1000 + F.col("source_index")).alias("source_index"), "title", "url", "snippet", "content", "summary", "engine", F.col("fetch_status").alias("fetchStatus"))
+    files.write_sessions(runs, findings, flat, v["f_reports"], root)
+    return files.read_sessions(v.spark, root)
+
+
+@query("s1_read_sessions", """
+    SELECT CAST(r.run_id AS VARCHAR) AS run_id, query, strategy, strftime(make_timestamp(r.run_id * 1000000), '%Y-%m-%d_%H%M%S') AS session_ts, coalesce(report, '') AS report,
+           questions, n_findings
+    FROM f_runs r LEFT JOIN f_reports p ON p.run_id = r.run_id
+    JOIN (SELECT run_id, count(*) AS n_findings, string_agg(iteration || '|' || question, chr(10) ORDER BY finding_index) AS questions FROM f_findings GROUP BY run_id) f ON f.run_id = r.run_id""")
+def _(v):
+    made = _sessions(v)
+    line = F.struct("seq", F.concat_ws("|", "iteration", "question").alias("text"))
+    asked = made["findings"].groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("questions"), F.count("*").alias("n_findings"))
+    return made["runs"].select("run_id", "query", "strategy", "session_ts").join(made["reports"], "run_id").join(asked, "run_id")
+
+
+@query("s2_write_sessions", """
+    SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY finding_index, source_index) AS INTEGER) AS source_index,
+           title, url, snippet, content, summary, engine, fetch_status FROM f_sources""")
+def _(v):
+    return _sessions(v)["sources"].select("run_id", "source_index", "title", "url", "snippet", "content", "summary", "engine", F.col("fetchStatus").alias("fetch_status"))
+
+
+@query("s3_archive_in_place", f"""
+    SELECT run_id, finding_index * 1000 + source_index AS source_index, title, url, archive_runs FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(nullif({TRIM("url")}, ''), sha256(concat_ws(':', coalesce(title, ''), coalesce(snippet, ''), coalesce(content, ''))))
+                                     ORDER BY finding_index, source_index) AS n, (SELECT count(*) FROM f_runs) AS archive_runs FROM f_sources) WHERE n = 1""")
+def _(v):
+    """Runs with even ids are archived, then all runs into the same archive; its sources and number of runs."""
+    base = f"{shared_dir(v.spark)}/factloom/archive-{uuid.uuid4().hex}"
+    flat = v["f_sources"].withColumn("source_index", F.col("finding_index") * 1000 + F.col("source_index")).drop("finding_index")
+    batch = (_runs(v), v["f_findings"].withColumnRenamed("finding_index", "seq"), flat, v["f_reports"])
+    for some in ([df.where("run_id % 2 = 0") for df in batch], batch):
+        files.write_archive(archive.archive_runs(files.read_archive(v.spark, base), *some), base)
+    kept = files.read_archive(v.spark, base)
+    return kept["sources"].select("run_id", "source_index", "title", "url").crossJoin(kept["runs"].agg(F.count("*").alias("archive_runs")))  # with a single row
+
+
 @query("w9_history_list", "SELECT run_id, status, archived_rank AS created_at FROM f_runs")
 def _(v):
     return archive.history_list(v["f_runs"].select("run_id", "status", F.col("archived_rank").alias("created_at")))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from factloom.sources.scratch import remove
 
 SOURCE = """struct<title: string, url: string, snippet: string, engine: string, content: string, summary: string, fetchStatus: string,
   fetchError: string, relevanceScore: double, relevanceKeep: boolean, relevanceReason: string>"""
@@ -17,13 +22,15 @@ ARCHIVE = ("runs", "findings", "sources", "reports")
 def read_sessions(spark: SparkSession, root: str, strategy: str | None = None) -> dict[str, DataFrame]:
     """``sessions`` under root/strategy/YYYY-MM-DD_HHMMSS, newest first, and runs, findings, sources, reports of the complete ones.
 
-    A session is complete with all four of ``FILES``. Hidden folders and other names are left out.
+    Folders that ``write_sessions`` made are read too. A session is complete with all four of ``FILES``. Hidden
+    folders and other names are left out, files of other names without being read.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(FILES)},part-*}}").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
-    pattern = r"([^/]+)/(\d{4}-\d{2}-\d{2}_\d{6})/([^/]+)$"
+    pattern = r"(?:strategy=)?([^/]+)/(?:session_ts=)?(\d{4}-\d{2}-\d{2}_\d{6})/(?:file=)?([^/]+)(?:/part-[^/]+)?$"
     parts = [F.regexp_extract(path, pattern, i).alias(n) for i, n in enumerate(("strategy", "session_ts", "file"), 1)]
-    rows = files.select(*parts, F.col("value")).where(F.col("file").isin(*FILES) & ~F.col("strategy").startswith("."))
+    text = F.when(path.rlike("/file=[^/]+/part-[^/]+$"), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
+    rows = files.select(*parts, text.alias("value")).where(F.col("file").isin(*FILES) & ~F.col("strategy").startswith("."))
     if strategy:
         rows = rows.where(F.col("strategy") == strategy)
     text = lambda name: F.max(F.when(F.col("file") == name, F.col("value")))
@@ -47,29 +54,64 @@ def read_sessions(spark: SparkSession, root: str, strategy: str | None = None) -
 
 
 def write_sessions(runs: DataFrame, findings: DataFrame, sources: DataFrame, reports: DataFrame, root: str) -> None:
-    """Each table as JSON under root/<table>/strategy=/session_ts=, by the run's strategy and time in UTC; other sessions stay."""
-    stamp = F.date_format("created_at", "yyyy-MM-dd_HHmmss").alias("session_ts")
-    where = runs.select("run_id", "strategy", stamp)
-    tables = {"meta": runs.drop("strategy"), "findings": findings, "sources": sources, "report": reports}
-    for name, df in tables.items():
-        rows = df.join(where, "run_id")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "session_ts").json(f"{root}/{name}")
+    """The four ``FILES`` of each run under root/strategy=/session_ts=/file=, by its strategy and time in UTC, as ``read_sessions`` reads them.
+
+    Tables are those of ``read_sessions``; a run without findings, sources or a report has an empty list or text.
+    Sessions that are written again are replaced, others stay. Two runs of a strategy in one second are an error.
+    """
+    stamp = F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd_HHmmss")
+    twice = F.count("*").over(Window.partitionBy("strategy", "session_ts")) > 1
+    known = [c for c in ("settings",) if c in runs.columns]
+    meta = F.to_json(F.struct("query", "strategy", F.col("run_id").cast("string").alias("researchId"), F.col("created_at").alias("createdAt"), *known))
+    rows = runs.withColumn("session_ts", stamp).withColumn("meta.json", meta)
+    rows = rows.withColumn("strategy", F.when(twice, F.raise_error(F.concat(F.lit("two runs in one second: "), "strategy", F.lit("/"), "session_ts"))).otherwise(F.col("strategy")))
+    rows = rows.select("run_id", "strategy", "session_ts", "`meta.json`")
+
+    def nested(df: DataFrame, order: str, name: str) -> DataFrame:
+        fields = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("run_id", order)])
+        listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.to_json(fields).alias("text"))))
+        told = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["text"]), ","), F.lit("]"))
+        return df.groupBy("run_id").agg(told.alias(name))
+
+    rows = rows.join(nested(findings, "seq", "findings.json"), "run_id", "left").join(nested(sources, "source_index", "sources.json"), "run_id", "left")
+    rows = rows.join(reports.select("run_id", F.col("report").alias("report.md")), "run_id", "left")
+    empty = {"report.md": "", "findings.json": "[]", "sources.json": "[]"}
+    texts = [F.struct(F.lit(name).alias("file"), F.coalesce(F.col(f"`{name}`"), F.lit(empty.get(name))).alias("value")) for name in FILES]
+    out = rows.select("strategy", "session_ts", F.explode(F.array(*texts)).alias("t")).select("strategy", "session_ts", "t.*")
+    out = out.repartition("strategy", "session_ts", "file")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "session_ts", "file").text(root)
+
+
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    """Names of the archive's whole versions, oldest first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/v-*/done/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(f.getPath().getParent().getParent().getName() for f in found or [])
 
 
 def read_archive(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The four tables of an archive."""
-    return {name: spark.read.parquet(f"{base}/{name}") for name in ARCHIVE}
+    """The four tables of an archive's last whole version; none of them where there is no version yet."""
+    there = _versions(spark, base)
+    return {name: spark.read.parquet(f"{base}/{there[-1]}/{name}") for name in ARCHIVE} if there else {}
 
 
 def write_archive(tables: dict[str, DataFrame], base: str) -> None:
-    """The four tables, each replaced as a whole. ``tables`` must not read from ``base``."""
+    """The four tables as the archive's next version, which counts once all of them are there. ``tables`` may read from ``base``.
+
+    Readers keep the version that they opened: the one before stays, older ones are removed. One writer at a time.
+    """
+    spark = tables[ARCHIVE[0]].sparkSession
+    there = _versions(spark, base)
+    folder = f"{base}/v-{int(there[-1].split('-')[1]) + 1 if there else 1:012d}-{uuid.uuid4().hex}"
     for name in ARCHIVE:
-        tables[name].write.mode("overwrite").parquet(f"{base}/{name}")
+        tables[name].write.parquet(f"{folder}/{name}")
+    spark.range(1).write.parquet(f"{folder}/done")
+    remove(spark, [f"{base}/{name}" for name in there[:-1]])
 
 
 def read_vault(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` (below the folder), and ``content`` of each Markdown file, by path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     mark = folder.rstrip("/").split("://")[-1].rsplit("/", 1)[-1] + "/"
     return files.select(F.substring_index(name, mark, -1).alias("path"), F.col("value").alias("content")).orderBy("path")

@@ -2,6 +2,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -95,21 +96,42 @@ def test_sessions_are_read_and_planned(spark, tmp_path):
             (folder / name).write_text(text.get(name, "# r\n\nbody"))
     got = files.read_sessions(spark, str(tmp_path), "rapid")
     assert [(r.session_ts, r.complete) for r in got["sessions"].collect()] == [("2026-01-02_030405", True), ("2026-01-01_000000", False)]
-    assert got["reports"].first().report.endswith("body") and got["sources"].first().title == "t"
+    assert got["reports"].first().report == "# r\n\nbody" and got["sources"].first().title == "t"
     plan = archive.plan_import(got["sessions"].drop("run_id"), frame(spark, [("x",)], "run_id string"))
     assert {r.status for r in plan.collect()} == {"imported", "skipped"}
     dry = archive.import_summary(archive.plan_import(got["sessions"].drop("run_id"), frame(spark, [("x",)], "run_id string"), dry_run=True)).first()
     assert (dry.scanned, dry.imported, dry.skipped) == (2, 1, 1)
 
 
-def test_session_and_archive_round_trip(spark, tmp_path):
-    runs = frame(spark, [("r", "q", "rapid", datetime(2026, 1, 2, 3, 4, 5))], "run_id string, query string, strategy string, created_at timestamp")
-    some = frame(spark, [("r", "x")], "run_id string, value string")
-    files.write_sessions(runs, some, some, some, str(tmp_path / "out"))
-    assert (tmp_path / "out/meta/strategy=rapid/session_ts=2026-01-02_030405").is_dir()
-    tables = {n: some for n in files.ARCHIVE}
-    files.write_archive(tables, str(tmp_path / "arc"))
-    assert {n: d.count() for n, d in files.read_archive(spark, str(tmp_path / "arc")).items()} == dict.fromkeys(files.ARCHIVE, 1)
+def test_sessions_come_back_as_written(spark, tmp_path):
+    schema = "run_id string, query string, strategy string, created_at timestamp"
+    root = str(tmp_path / "out")
+    findings = frame(spark, [("r", 2, "second\nline"), ("r", 1, "first")], "run_id string, seq int, question string")
+    sources = frame(spark, [("r", 1, "t", "u", None), ("r", 2, 'a "b"', "", "x")], "run_id string, source_index int, title string, url string, content string")
+    reports = frame(spark, [("r", "# R\n\nbody\n\n")], "run_id string, report string")
+    for run, second in (("r", 5), ("bare", 6), ("r", 5)):
+        files.write_sessions(frame(spark, [(run, "q", "rapid", datetime(2026, 1, 2, 3, 4, second))], schema), findings, sources, reports, root)
+    got = files.read_sessions(spark, root)
+    assert [(r.run_id, r.session_ts, r.complete) for r in got["sessions"].collect()] == [("bare", "2026-01-02_030406", True), ("r", "2026-01-02_030405", True)]
+    assert {r.run_id: r.report for r in got["reports"].collect()} == {"r": "# R\n\nbody\n\n", "bare": ""}
+    assert [(r.seq, r.question) for r in got["findings"].orderBy("seq").collect()] == [(1, "first"), (2, "second\nline")]
+    assert [(r.title, r.url, r.content) for r in got["sources"].orderBy("source_index").collect()] == [("t", "u", None), ('a "b"', "", "x")]
+    same = frame(spark, [(n, "q", "rapid", datetime(2026, 1, 2, 3, 4, 5)) for n in "ab"], schema)
+    with pytest.raises(Exception, match="two runs in one second"):
+        files.write_sessions(same, findings, sources, reports, root)
+
+
+def test_archive_is_replaced_in_place(spark, tmp_path):
+    base = str(tmp_path / "arc")
+    assert files.read_archive(spark, base) == {}
+    for n in range(1, 5):
+        old = files.read_archive(spark, base)
+        row = frame(spark, [("r", str(n))], "run_id string, value string")
+        files.write_archive({name: old[name].unionByName(row) if old else row for name in files.ARCHIVE}, base)
+        assert {name: df.count() for name, df in files.read_archive(spark, base).items()} == dict.fromkeys(files.ARCHIVE, n)
+    assert len(list((tmp_path / "arc").glob("v-*"))) == 2
+    (tmp_path / "arc" / "v-000000000009-torn" / "runs").mkdir(parents=True)
+    assert files.read_archive(spark, base)["runs"].count() == 4
 
 
 WIKI = "run_id string, source_index int, title string, url string, snippet string, content string, query string"
@@ -140,7 +162,7 @@ def test_wiki_compiles_lints_and_skips(spark, tmp_path):
     for path, text in content.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    assert {r.path for r in files.read_vault(spark, str(tmp_path)).collect()} == set(content)
+    assert {r.path: r.content for r in files.read_vault(spark, str(tmp_path)).collect()} == content
     titles = {r.path: r.title for r in pages.page_titles(kept).collect()}
     assert titles["Sources/r/Source 002 - Second.md"] == "Second"
     assert wiki.wiki_status(manifest, made["topics"], wiki.lint_wiki(kept, manifest)).first().n_sources == 2
