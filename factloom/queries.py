@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import SPACE
@@ -424,6 +424,79 @@ def _(v):
     return archive.add_archive_fields(v["f_sources"]).select("run_id", "finding_index", "source_index", F.col("content_length").cast("bigint").alias("content_length"), "has_content")
 
 
+# ---- search payloads and nested findings ----
+
+
+def _payloads(v: Views, item: dict[str, Column]) -> DataFrame:
+    """``items`` of each finding: its sources as structs of these columns, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("source_index", F.struct(*[c.alias(n) for n, c in item.items()]).alias("item"))))
+    return v["f_sources"].groupBy("run_id", "finding_index").agg(F.transform(listed, lambda x: x["item"]).alias("items"))
+
+
+@query("p1_web_results", """
+    SELECT run_id, finding_index, source_index, coalesce(nullif(title, ''), nullif(url, ''), 'Untitled source') AS title, coalesce(url, '') AS url,
+           coalesce(nullif(content, ''), nullif(snippet, ''), '') AS snippet, 'web' AS engine FROM f_sources
+    WHERE source_index <= 3 AND coalesce(nullif(url, ''), nullif(content, ''), nullif(snippet, '')) IS NOT NULL""")
+def _(v):
+    made = _payloads(v, {n: F.col(n) for n in ("title", "url", "content", "snippet")})
+    return sources.normalize_web_results(made.select("run_id", "finding_index", F.to_json(F.struct(F.col("items").alias("results"))).alias("payload")), 3)
+
+
+@query("p2_platform_items", f"""
+    SELECT run_id, finding_index, skill, CAST(place AS INTEGER) AS source_index, title, url, snippet, engine FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, finding_index ORDER BY source_index) AS place FROM (
+            SELECT run_id, finding_index, source_index, CASE run_id % 3 WHEN 0 THEN 'zhihu-ops' WHEN 1 THEN 'my-Reddit' ELSE 'Plain' END AS skill,
+                   CASE run_id % 3 WHEN 0 THEN 'skill:zhihu' WHEN 1 THEN 'skill:reddit' ELSE 'skill:plain' END AS engine,
+                   coalesce(nullif({TRIM("title")}, ''), 'Untitled source') AS title, coalesce({TRIM("url")}, '') AS url,
+                   concat_ws(chr(10), nullif({TRIM("snippet")}, ''), 'Author: ' || nullif(engine, ''), 'Score: ' || doc_id) AS snippet FROM f_sources)
+        WHERE url <> '' OR snippet <> '') WHERE place <= 4""")
+def _(v):
+    """Items in each of the places where a payload may have them, by skill."""
+    made = _payloads(v, {"name": F.col("title"), "link": F.col("url"), "desc": F.col("snippet"), "author": F.col("engine"), "score": F.col("doc_id").cast("string")})
+    at = F.col("run_id") % 4
+    inner = lambda name: F.to_json(F.struct(F.struct(F.col("items").alias(name)).alias("result")))
+    payload = F.when(at == 0, F.to_json(F.struct("items"))).when(at == 1, inner("items")).when(at == 2, inner("tweets")).otherwise(inner("notes"))
+    skill = F.element_at(F.array(*map(F.lit, ("zhihu-ops", "my-Reddit", "Plain"))), (F.col("run_id") % 3 + 1).cast("int"))
+    return sources.normalize_platform_items(made.select("run_id", "finding_index", skill.alias("skill"), payload.alias("payload")), 4)
+
+
+@query("p3_unified_items", f"""
+    SELECT run_id, finding_index, CAST(place AS INTEGER) AS source_index, title, url, snippet, engine FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, finding_index ORDER BY source_index) AS place FROM (
+            SELECT run_id, finding_index, source_index, coalesce(nullif({TRIM("title")}, ''), nullif({TRIM("url")}, ''), 'Untitled source') AS title, coalesce({TRIM("url")}, '') AS url,
+                   coalesce({TRIM("snippet")}, '') AS snippet, CASE WHEN coalesce(fetch_status, '') = '' THEN 'skill' ELSE 'skill:' || fetch_status END AS engine FROM f_sources)
+        WHERE url <> '' OR snippet <> '') WHERE place <= 4""")
+def _(v):
+    """With the fetch status in the platform's place."""
+    made = _payloads(v, {"title": F.col("title"), "url": F.col("url"), "snippet": F.col("snippet"), "platform": F.col("fetch_status")})
+    return sources.normalize_unified_items(made.select("run_id", "finding_index", F.to_json(F.struct("items")).alias("payload")), 4)
+
+
+def _nested(v: Views) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("finding_index", F.struct("question", "iteration", "error").alias("f"))))
+    return v["f_findings"].groupBy("run_id").agg(F.transform(listed, lambda x: x["f"]).alias("findings"))
+
+
+@query("p6_explode_findings", "SELECT run_id, finding_index AS seq, question, iteration, error FROM f_findings")
+def _(v):
+    return sources.explode_findings(_nested(v)).select("run_id", "seq", "question", "iteration", "error")
+
+
+@query("p7_reconstruct_findings", """
+    SELECT run_id, string_agg(concat_ws('|', question, iteration, error), chr(10) ORDER BY finding_index) AS findings FROM f_findings GROUP BY run_id""")
+def _(v):
+    """Half of the rows by their raw text, half by their columns; shown as lines of text."""
+    rows = sources.explode_findings(_nested(v)).withColumn("raw", F.when(F.col("seq") % 2 == 0, F.col("raw")).otherwise(""))
+    back = sources.reconstruct_findings(rows, "question string, iteration int, error string, sources array<string>")
+    return back.select("run_id", F.array_join(F.transform("findings", lambda f: F.concat_ws("|", f["question"], f["iteration"], f["error"])), "\n").alias("findings"))
+
+
+@query("p8_strip_archive_fields", "SELECT run_id, finding_index, source_index, title, url, snippet, content, summary, engine, fetch_status, page_id, doc_id FROM f_sources")
+def _(v):
+    kept = sources.add_dedup_id(v["f_sources"]).withColumns({"_seq": F.lit(1), "raw": F.lit("{}"), "archived_at": F.current_timestamp()})
+    return archive.strip_archive_fields(kept, wiki=True)
+
+
 # ---- pages ----
 
 
