@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, mixing, packing, quality, shards, simhash, substring, tokenfile, topk, urlfilter
+from factloom.llm import audit, chat, mixing, packing, phrases, quality, shards, simhash, substring, tokenfile, topk, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,14 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.divergence(_table(spark, folder, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_weak_supervision": op2_weak_supervision,
@@ -86,9 +94,82 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_tiered_shards": op9_tiered_shards,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), found AS (
+            SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+        ), v AS (
+            SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), groups AS (
+            SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(w, 0) AS w
+            FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN v USING (lang)
+            LEFT JOIN (SELECT lang, source, sum(n) AS w FROM counts GROUP BY ALL) USING (lang, source)
+        ), shares AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                   1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // (w + 5 * v) AS p
+            FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), wholes AS (
+            SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 5) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+            FROM counts JOIN v USING (lang) GROUP BY lang, term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), placed AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM shares JOIN wholes USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM placed QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang
+        ), begun AS (
+            SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words
+        ), spans AS (
+            SELECT lang, ws, i, unnest(range(1, least(5, len(ws) - i + 1) + 1)) AS m FROM begun
+        ), f AS (
+            SELECT lang, list_slice(ws, i, i + m - 1) AS w, count(*) AS a FROM spans GROUP BY ALL HAVING count(*) >= 100
+        ), longer AS (
+            SELECT lang, w, max(a) AS of FROM (
+                SELECT lang, list_slice(w, 1, len(w) - 1) AS w, a FROM f UNION ALL SELECT lang, list_slice(w, 2, len(w)), a FROM f
+            ) GROUP BY ALL
+        ), whole AS (
+            SELECT f.* FROM f LEFT JOIN longer USING (lang, w) WHERE len(f.w) > 1 AND (of IS NULL OR of < f.a)
+        ), cuts AS (
+            SELECT c.lang, c.w, c.a, k, x.a AS l, y.a AS r, CAST(n AS BIGINT) AS n,
+                   CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS score
+            FROM (SELECT *, unnest(range(1, len(w))) AS k FROM whole) c
+            JOIN f x ON x.lang = c.lang AND x.w = list_slice(c.w, 1, k)
+            JOIN f y ON y.lang = c.lang AND y.w = list_slice(c.w, k + 1, len(c.w))
+            JOIN totals t ON t.lang = c.lang
+        ), lowest AS (
+            SELECT *, array_to_string(w, ' ') AS phrase FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM lowest QUALIFY rank <= 2000""",
     "op7_perspective_rotation": """
         WITH rows AS (
             SELECT conv_id, turn, CASE WHEN trim(role) = '' OR role IS NULL THEN 'unknown' ELSE role END AS s, coalesce(text, '') AS x

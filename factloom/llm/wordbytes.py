@@ -17,8 +17,8 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
 _MIX_1, _MIX_2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -77,8 +77,16 @@ def word_span_hashes(word_hashes: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return span_hashes(word_hashes, _WORD_BASE, starts, ends)
 
 
-def chunks(column: pa.Array, lower: bool = False, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The chunks of a text column; null texts have no words."""
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans of some UTF-8 bytes as a text column."""
+    length = end - start
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    where = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[where])]).cast(pa.string())
+
+
+def chunks(column: pa.Array, lower: bool = False, chunk_bytes: int = CHUNK_BYTES, separator: np.ndarray = SEPARATOR) -> Iterator[Chunk]:
+    """The chunks of a text column; null texts have no words. ``separator`` tells the bytes that no word holds."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
@@ -88,14 +96,14 @@ def chunks(column: pa.Array, lower: bool = False, chunk_bytes: int = CHUNK_BYTES
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk_bytes, side="right")) - 1)
-        yield _chunk(a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield _chunk(a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, separator)
         a = b
 
 
-def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Chunk:
+def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool, separator: np.ndarray) -> Chunk:
     if lower:
         data = LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     begins, ends = inside.copy(), inside.copy()
     if len(data):
         begins[1:] &= ~inside[:-1]
