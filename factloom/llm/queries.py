@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import audit, chat, mixing, packing, phrases, quality, shards, simhash, substring, tokenfile, topk, urlfilter
+from factloom.llm import audit, chat, mixing, neargraph, packing, phrases, quality, shards, simhash, substring, tokenfile, topk, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return audit.divergence(_table(spark, folder, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neargraph.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(_table(spark, folder, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op9_tiered_shards": op9_tiered_shards,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
@@ -136,6 +141,22 @@ ORACLES: dict[str, str] = {
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
                CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
         FROM placed QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+                   embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+            FROM embeddings
+        ), links AS (
+            SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.label = b.label AND a.i <> b.i AND a.usable AND b.usable
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reached(a, b) AS (
+            SELECT i, i FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+        ), component AS (
+            SELECT a AS i, min(vec_id) AS component_id FROM reached JOIN v ON v.i = reached.b GROUP BY a
+        )
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.i) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN component USING (i)""",
     "op13_phrase_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
