@@ -7,8 +7,9 @@ one with a weight. A partition's suffixes are then sorted by three-way quicksort
 below the pivot, equal to it, and above it. The weight of an equal part is the count of the words up to there; any
 part that weighs less than ``least`` is abandoned, as nothing in it can be frequent.
 
-The hottest pairs are dealt over several partitions by whole suffix. Their parts are weighed without abandoning, and
-the weights of one phrase added up. So no partition holds a hot pair whole, however common it is.
+Suffixes under a hot pair are routed by three words, under a hot triple by four, and so on. What is shorter than the
+words that a row was routed by lies in several partitions: its weights are added up; what is longer lies in one. So no
+partition holds a hot pair whole, however common it is.
 
 Words are 64-bit hashes of (lang, word) until candidates are known.
 """
@@ -28,9 +29,9 @@ from factloom.llm.shared import written
 from factloom.llm.wordbytes import Chunk, chunks, mixed, span_hashes, strings
 
 LONGEST = 5
-HOTTEST = 1 << 16  # pairs whose dealing workers know by name
-PAIR_ROWS = 100_000  # of a pair that goes to one partition whole
+HOTTEST = 1 << 16  # prefixes of each length that workers know by name
 PARTITION_ROWS = 1 << 20
+HELD = 1 << 20  # keys that a worker adds up before it hands them on
 BLOOM_BITS = 1 << 25
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -63,10 +64,19 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, np.ndarra
         yield c, h, np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(row)) + 1
 
 
+def _joined(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(prefix * _U(0xD1342543DE82EF95) + word)
+
+
 def _pairs(h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where two words of a piece follow each other, and the hash of each such pair."""
     at = np.flatnonzero(left > 1)
-    return at, mixed(h[at] * _U(0xD1342543DE82EF95) + h[at + 1])
+    return at, _joined(h[at], h[at + 1])
+
+
+def _among(names: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among some sorted ones."""
+    return names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +101,9 @@ def _counts(docs: DataFrame) -> DataFrame:
                     key, n = np.unique(keys, return_counts=True)
                     found[pair][0].append(key)
                     found[pair][1].append(n)
+                    if sum(map(len, found[pair][0])) > HELD:
+                        yield rows(pair, *_added(*found[pair]))
+                        found[pair] = ([], [])
             for pair, (keys, counts) in found.items():
                 if keys:
                     yield rows(pair, *_added(keys, counts))
@@ -131,58 +144,82 @@ def _may_hold(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 _SUFFIX = [f"w{i}" for i in range(LONGEST)]
 
 
+def _hot(counts: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the hottest prefixes: those that more than ``most`` suffixes have."""
+    found = counts.where(F.col("n") > most).orderBy(F.desc("n"), "h").limit(HOTTEST).select("h").toArrow()
+    return np.sort(found["h"].to_numpy().view(_U))
+
+
+def _longer_counts(docs: DataFrame, hot, length: int) -> DataFrame:
+    """``h`` and ``n``: occurrences of prefixes of ``length`` words whose first words are hot."""
+
+    def run(batches):
+        for batch in batches:
+            for _, h, left in _words(batch):
+                at, prefix = _pairs(h, left)
+                for i in range(2, length):
+                    keep = _among(hot.value, prefix) & (left[at] > i) if i == length - 1 else left[at] > i
+                    at = at[keep]
+                    prefix = _joined(prefix[keep], h[at + i])
+                key, n = np.unique(prefix, return_counts=True)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+_SUFFIX = [f"w{i}" for i in range(LONGEST)]
+
+
 def _suffixes(docs: DataFrame, bloom, hot) -> DataFrame:
-    """``route``, ``parted``, w0.. (0 past the piece's end) and ``n``: equal suffixes of a batch under a frequent pair.
+    """``route``, ``by``, w0.. (0 past the piece's end) and ``n``: equal suffixes of a chunk under a frequent pair.
 
-    ``hot`` has hashes of pairs and over how many routes each is dealt.
+    ``hot`` has hashes of pairs, of triples and so on; ``by`` tells how many words the suffix is routed by.
     """
 
     def run(batches):
-        names, parts = hot.value
         for batch in batches:
             for _, h, left in _words(batch):
                 at, pair = _pairs(h, left)
                 likely = _may_hold(bloom.value, pair)
-                at, pair = at[likely], pair[likely]
+                at, route = at[likely], pair[likely]
                 if not len(at):
                     continue
                 padded = np.concatenate([h, np.zeros(LONGEST, _U)])
                 w = np.stack([np.where(left[at] > i, padded[at + i], _U(0)) for i in range(LONGEST)], axis=1)
-                whole = pair.copy()
-                for i in range(2, LONGEST):
-                    whole = mixed(whole * _U(0xD1342543DE82EF95) + w[:, i])
-                order = np.lexsort((*w.T[:1:-1], whole))  # equal suffixes lie together, and words decide where hashes meet
-                w, pair, whole = w[order], pair[order], whole[order]
+                order = np.lexsort((*w.T[:1:-1], route))
+                w, route = w[order], route[order]
                 new = np.ones(len(w), bool)
                 new[1:] = (w[1:] != w[:-1]).any(axis=1)
                 first = np.flatnonzero(new)
-                w, pair, whole, n = w[first], pair[first], whole[first], np.diff(first, append=len(new))
-                place = np.minimum(np.searchsorted(names, pair), max(len(names) - 1, 0))
-                parted = names[place] == pair if len(names) else np.zeros(len(pair), bool)
-                route = pair.copy()
-                route[parted] += whole[parted] % parts[place[parted]] * _U(0x9E3779B97F4A7C15)
-                columns = [pa.array(route.view(np.int64)), pa.array(parted), *(pa.array(x.view(np.int64)) for x in w.T.copy()), pa.array(n)]
-                yield pa.record_batch(columns, ["route", "parted", *_SUFFIX, "n"])
+                w, route, n, by = w[first], route[first], np.diff(first, append=len(new)), np.full(len(first), 2, np.int8)
+                for i, names in enumerate(hot.value, 2):
+                    parted = (by == i) & _among(names, route)
+                    route[parted] = _joined(route[parted], w[parted, i])
+                    by[parted] += 1
+                columns = [pa.array(route.view(np.int64)), pa.array(by), *(pa.array(x.view(np.int64)) for x in w.T.copy()), pa.array(n)]
+                yield pa.record_batch(columns, ["route", "by", *_SUFFIX, "n"])
 
-    return docs.mapInArrow(run, f"route long, parted boolean, {', '.join(f'{w} long' for w in _SUFFIX)}, n long")
+    return docs.mapInArrow(run, f"route long, by byte, {', '.join(f'{w} long' for w in _SUFFIX)}, n long")
 
 
-def frequent_prefixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(row, depth, count) of each prefix of two or more words that weighs ``least`` or more; ``row`` is one that has it.
+def frequent_prefixes(words: np.ndarray, weight: np.ndarray, least: int, by: int = 2) -> Iterator[tuple[int, int, int]]:
+    """(row, length, count) of each prefix of two or more words that weighs ``least`` or more; ``row`` is one that has it.
 
     Multikey three-way quicksort of row pointers: ``words`` has a column for each depth, 0 where a row has ended.
+    Prefixes of fewer than ``by`` words come out whatever they weigh, as there may be more of them elsewhere.
     """
     todo = [(np.arange(len(words)), 0)]
     while todo:
         rows, depth = todo.pop()
-        if not len(rows) or weight[rows].sum() < least:
+        limit = least if depth + 1 >= by else 1
+        if not len(rows) or weight[rows].sum() < limit:
             continue  # abandoned: no prefix in it weighs enough
         value = words[rows, depth]
         pivot = value[len(value) // 2]
         equal = rows[value == pivot]
         todo += [(rows[value < pivot], depth), (rows[value > pivot], depth)]
         count = int(weight[equal].sum())
-        if pivot and count >= least:
+        if pivot and count >= limit:
             if depth:
                 yield int(equal[0]), depth + 1, count
             if depth + 1 < words.shape[1]:
@@ -190,7 +227,7 @@ def frequent_prefixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iter
 
 
 def _prefixes(suffixes: DataFrame, least: int) -> DataFrame:
-    """``w`` (2 to 5 words) and ``a``: counts of the partition's frequent phrases, and of all under parted pairs."""
+    """``w`` (2 to 5 words) and ``a``: counts of the partition's frequent phrases, and of all that lie in more than one."""
 
     def run(batches):
         kept = [b for b in batches if len(b)]
@@ -198,10 +235,10 @@ def _prefixes(suffixes: DataFrame, least: int) -> DataFrame:
             return
         table = pa.Table.from_batches(kept)
         words = np.stack([table[w].to_numpy() for w in _SUFFIX], axis=1)
-        parted, weight = np.asarray(table["parted"].to_pylist(), bool), table["n"].to_numpy()
-        for some, limit in ((~parted, least), (parted, 1)):
-            w, n, out = words[some], weight[some], []
-            for found in frequent_prefixes(w, n, limit):
+        routed, weight = table["by"].to_numpy(), table["n"].to_numpy()
+        for by in np.unique(routed):
+            w, n, out = words[routed == by], weight[routed == by], []
+            for found in frequent_prefixes(w, n, least, int(by)):
                 out.append(found)
                 if len(out) == 100_000:
                     yield rows(w, out)
@@ -209,10 +246,10 @@ def _prefixes(suffixes: DataFrame, least: int) -> DataFrame:
             yield rows(w, out)
 
     def rows(w: np.ndarray, found: list) -> pa.RecordBatch:
-        phrase = pa.array([w[row, :depth].tolist() for row, depth, _ in found], pa.list_(pa.int64()))
+        phrase = pa.array([w[row, :length].tolist() for row, length, _ in found], pa.list_(pa.int64()))
         return pa.record_batch([phrase, pa.array([n for *_, n in found], pa.int64())], ["w", "a"])
 
-    return suffixes.select("parted", *_SUFFIX, "n").mapInArrow(run, "w array<long>, a long")
+    return suffixes.select("by", *_SUFFIX, "n").mapInArrow(run, "w array<long>, a long")
 
 
 def _names(docs: DataFrame, bloom) -> DataFrame:
@@ -232,7 +269,9 @@ def _names(docs: DataFrame, bloom) -> DataFrame:
     return docs.mapInArrow(run, "h long, lang string, word string").groupBy("h").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
 
 
-def collocations(docs: DataFrame, least: int = 100, best: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = 100, best: int = 2000, text_col: str = "text", lang_col: str = "lang", partition_rows: int = PARTITION_ROWS
+) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score``: each lang's ``best`` phrases.
 
     Texts (null: empty) are lower-cased (A-Z only) and cut at ``[.,;:!?\\n-\\r]`` into pieces, those at spaces and
@@ -248,13 +287,13 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, text_col:
     pairs = counted.where("pair").select("h", "n")
     words = counted.where("not pair").select("h", F.col("n").alias("f"))
 
-    hot = pairs.where(F.col("n") > PAIR_ROWS).orderBy(F.desc("n"), "h").limit(HOTTEST).toArrow()
-    names, parts = hot["h"].to_numpy().view(_U), -(-hot["n"].to_numpy() // PAIR_ROWS)
-    order = np.argsort(names)
-    known = spark.sparkContext.broadcast((names[order], parts[order].astype(_U)))
+    hot = [_hot(pairs, partition_rows)]
+    while len(hot[-1]) and len(hot) < LONGEST - 2:  # by all words but the last at most
+        hot.append(_hot(_longer_counts(texts, spark.sparkContext.broadcast(hot[-1]), len(hot) + 2), partition_rows))
+    known = spark.sparkContext.broadcast(hot)
     bloom = spark.sparkContext.broadcast(_bloom(pairs))
     rows = pairs.agg(F.sum("n")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PARTITION_ROWS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / partition_rows))
     routed = _suffixes(texts, bloom, known).repartition(partitions, "route")
     found = _prefixes(routed, least).groupBy("w").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     found = written(found, "phrases")
