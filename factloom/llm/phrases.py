@@ -2,7 +2,8 @@
 
 Every word begins a suffix of up to ``LONGEST`` words of its piece. Suffixes are routed by their two leading words,
 and only where that pair is frequent: a fixed-size Bloom filter over the frequent pairs tells so without a table
-of them on each worker, and what it lets through wrongly is counted and found rare. Equal suffixes of a batch go as
+of them on each worker, and what it lets through wrongly is counted and found rare. Pairs are counted likewise,
+only of words that are frequent. Equal suffixes of a batch go as
 one with a weight. A partition's suffixes are then sorted by three-way quicksort, one word after the other: rows
 below the pivot, equal to it, and above it. The weight of an equal part is the count of the words up to there; any
 part that weighs less than ``least`` is abandoned, as nothing in it can be frequent.
@@ -17,7 +18,7 @@ Words are 64-bit hashes of (lang, word) until candidates are known.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from factloom.llm.wordbytes import Chunk, chunks, mixed, span_hashes, strings
 LONGEST = 5
 HOTTEST = 1 << 16  # prefixes of each length that workers know by name
 PARTITION_ROWS = 1 << 20
-HELD = 1 << 20  # keys that a worker adds up before it hands them on
+HELD = 1 << 19  # keys that a worker adds up before it hands them on
 BLOOM_BITS = 1 << 25
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -79,39 +80,71 @@ def _among(names: np.ndarray, h: np.ndarray) -> np.ndarray:
     return names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``h`` and ``n`` of some keys, each once."""
     key, which = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
+    n = np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
+    for i in range(0, len(key), 1 << 16):
+        yield pa.record_batch([pa.array(key[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """``pair``, ``h`` and ``n``: occurrences of each word and each pair of words; ``lang`` and ``n`` in rows of ``pair`` null."""
+def _counted(docs: DataFrame, keys_of: Callable) -> DataFrame:
+    """``h`` and ``n``: how often each key comes up that ``keys_of`` makes of hashed words and the words left of their piece."""
 
-    def rows(pair: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([pair] * len(key)), pa.array(key.view(np.int64)), pa.nulls(len(key), pa.string()), pa.array(n)]
-        return pa.record_batch(columns, ["pair", "h", "lang", "n"])
+    def run(batches):
+        keys, counts = [], []
+        for batch in batches:
+            for _, h, left in _words(batch):
+                key, n = np.unique(keys_of(h, left), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                if sum(map(len, keys)) > HELD:
+                    yield from _rows(keys, counts)
+                    keys, counts = [], []
+        if keys:
+            yield from _rows(keys, counts)
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _totals(docs: DataFrame) -> DataFrame:
+    """``lang`` and ``n``, its words."""
 
     def run(batches):
         for batch in batches:
-            found: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
-            words = np.zeros(len(batch), np.int64)
-            for c, h, left in _words(batch):
-                words[c.first : c.first + len(c.count)] = c.count
-                for pair, keys in ((False, h), (True, _pairs(h, left)[1])):
-                    key, n = np.unique(keys, return_counts=True)
-                    found[pair][0].append(key)
-                    found[pair][1].append(n)
-                    if sum(map(len, found[pair][0])) > HELD:
-                        yield rows(pair, *_added(*found[pair]))
-                        found[pair] = ([], [])
-            for pair, (keys, counts) in found.items():
-                if keys:
-                    yield rows(pair, *_added(keys, counts))
-            for x in pa.table({"lang": batch.column(0), "n": words}).group_by("lang").aggregate([("n", "sum")]).to_pylist():
-                yield pa.record_batch([pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([x["lang"]]), pa.array([x["n_sum"]])], ["pair", "h", "lang", "n"])
-
-    some = docs.mapInArrow(run, "pair boolean, h long, lang string, n long")
-    return some.groupBy("pair", "h", "lang").agg(F.sum("n").alias("n"))
+            n = np.zeros(len(batch), np.int64)
+            for c in chunks(batch.column(1), separator=_NO_WORD):
+                n[c.first : c.first + len(c.count)] = c.count
+            yield pa.record_batch([batch.column(0), pa.array(n)], ["lang", "n"])
+
+    return docs.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _prefix_keys(hot, length: int) -> Callable:
+    """Keys of prefixes of ``length`` words whose first words are hot."""
+
+    def keys(h: np.ndarray, left: np.ndarray) -> np.ndarray:
+        at, prefix = _pairs(h, left)
+        for i in range(2, length):
+            keep = left[at] > i
+            if i == length - 1:
+                keep &= _among(hot.value, prefix)
+            at = at[keep]
+            prefix = _joined(prefix[keep], h[at + i])
+        return prefix
+
+    return keys
+
+
+def _pair_keys(frequent) -> Callable:
+    """Keys of pairs of two frequent words."""
+
+    def keys(h: np.ndarray, left: np.ndarray) -> np.ndarray:
+        at, pair = _pairs(h, left)
+        known = _may_hold(frequent.value, h)
+        return pair[known[at] & known[at + 1]]
+
+    return keys
 
 
 def _bits(h: np.ndarray) -> list[np.ndarray]:
@@ -144,6 +177,15 @@ def _may_hold(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 _SUFFIX = [f"w{i}" for i in range(LONGEST)]
 
 
+def _hot(counts: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the hottest prefixes: those that more than ``most`` suffixes have."""
+    found = counts.where(F.col("n") > most).orderBy(F.desc("n"), "h").limit(HOTTEST).select("h").toArrow()
+    return np.sort(found["h"].to_numpy().view(_U))
+
+
+_SUFFIX = [f"w{i}" for i in range(LONGEST)]
+
+
 def _hot(counts: DataFrame, most: int) -> np.ndarray:
     """Sorted hashes of the hottest prefixes: those that more than ``most`` suffixes have."""
     found = counts.where(F.col("n") > most).orderBy(F.desc("n"), "h").limit(HOTTEST).select("h").toArrow()
@@ -282,14 +324,14 @@ def collocations(
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = written(_counts(texts).where(F.col("pair").isNull() | (F.col("n") >= least)), "word-counts")
-    totals = counted.where("pair is null").select("lang", "n")
-    pairs = counted.where("pair").select("h", "n")
-    words = counted.where("not pair").select("h", F.col("n").alias("f"))
+    totals = written(_totals(texts), "words-per-lang")
+    words = written(_counted(texts, lambda h, _: h).where(F.col("n") >= least).select("h", F.col("n").alias("f")), "frequent-words")
+    frequent = spark.sparkContext.broadcast(_bloom(words))
+    pairs = written(_counted(texts, _pair_keys(frequent)).where(F.col("n") >= least), "frequent-pairs")
 
     hot = [_hot(pairs, partition_rows)]
     while len(hot[-1]) and len(hot) < LONGEST - 2:  # by all words but the last at most
-        hot.append(_hot(_longer_counts(texts, spark.sparkContext.broadcast(hot[-1]), len(hot) + 2), partition_rows))
+        hot.append(_hot(_counted(texts, _prefix_keys(spark.sparkContext.broadcast(hot[-1]), len(hot) + 2)), partition_rows))
     known = spark.sparkContext.broadcast(hot)
     bloom = spark.sparkContext.broadcast(_bloom(pairs))
     rows = pairs.agg(F.sum("n")).first()[0] or 0
@@ -309,7 +351,6 @@ def collocations(
     cuts = cuts.withColumns({"left": F.slice("w", F.lit(1), F.col("k")), "right": F.expr("slice(w, k + 1, size(w) - k)")})
     cuts = cuts.join(part.select(F.col("w").alias("left"), F.col("a").alias("l")), "left").join(part.select(F.col("w").alias("right"), F.col("a").alias("r")), "right")
 
-    frequent = spark.sparkContext.broadcast(_bloom(words))
     spelt = written(_names(texts, frequent).join(words, "h").select("h", "lang", "word"), "words")
     first = spelt.select(F.col("h").alias("_first"), "lang").join(totals, "lang")
     scored = cuts.withColumn("_first", F.col("w")[0]).join(first, "_first")
