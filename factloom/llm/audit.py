@@ -197,9 +197,9 @@ def _recount(texts: DataFrame, blocks: DataFrame) -> DataFrame:
                 found: list[np.ndarray] = []
                 for c in chunks(batch.column(0), lower=True, separator=_OTHER):
                     g = group[c.first + c.row_of_word()]
+                    words_of = {x: np.flatnonzero(np.isin(g, [i for i, y in enumerate(of_lang) if y == x])) for x in set(of_lang)}
                     for lang, base, transducer in held.value:
-                        if own := [i for i, x in enumerate(of_lang) if x == lang]:
-                            words = np.flatnonzero(np.isin(g, own))
+                        if len(words := words_of.get(lang, ())):
                             at, ordinal = transducer.ordinals(c.data, c.start[words], c.end[words])
                             found.append(np.stack(np.unique(g[words[at]] << 40 | base + ordinal, return_counts=True)))
                 if found:
