@@ -34,11 +34,12 @@ _KEY = ["label", "shard", "part", "block"]
 def unit(embedding: Column) -> Column:
     """The vector at length 1 in double precision; null for a null or zero vector or one with a null or non-finite component."""
     x = F.transform(embedding, lambda c: c.cast("double"))
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  worked out once, not for each component
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c))
+    over = lambda v, by: let(by, lambda d: F.transform(v, lambda c: c / d))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    largest = F.array_max(F.transform(x, F.abs))  # first to size 1, so that squares stay in range
-    sized = F.transform(x, lambda c: c / largest)
-    norm = F.sqrt(F.aggregate(sized, F.lit(0.0), lambda a, c: a + c * c))
-    return F.when(finite & (largest > 0), F.transform(sized, lambda c: c / norm))
+    sized = over(x, F.array_max(F.transform(x, F.abs)))  # first to size 1, so that squares stay in range
+    return F.when(finite & F.exists(x, lambda c: c != 0), let(sized, lambda v: over(v, norm(v))))
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
