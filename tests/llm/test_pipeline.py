@@ -193,3 +193,33 @@ def test_stages_take_odd_rows_and_none(spark):
             assert len(out) <= 3 * len(rows) and all(set(r.asDict()) == set(docs.columns) for r in out)
             assert all(r[c] == "other" for r in out for c in CLASHING)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
+
+
+@pytest.mark.parametrize("edits,places,kept,block", [(9, 40, 219, 1 << 20), (8, 60, 258, 1 << 20), (9, 40, 219, 20_000)])
+def test_near_dedup_in_large_groups_below_the_threshold(spark, monkeypatch, edits, places, kept, block):
+    """300 documents with some words changed: keys of hundreds of documents, few pairs of which reach 0.8."""
+    monkeypatch.setattr(shinglesets, "BLOCK", block)
+    rng = random.Random({9: 1, 8: 2}[edits])
+    base = [f"b{i}" for i in range(300)]
+    where, texts = rng.sample(range(300), places), []
+    for _ in range(300):
+        text = base[:]
+        for p in rng.sample(where, edits):
+            text[p] = f"e{p}"
+        texts.append(" ".join(text))
+    sets = [{tuple(w[k : k + 5]) for k in range(296)} for w in map(str.split, texts)]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert len({find(i) for i in range(300)}) == kept
+    got = shinglesets.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert dict(got.select("doc_id", "component_id").collect()) == {i: find(i) for i in range(300)}
