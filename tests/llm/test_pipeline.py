@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import mixing, quality
+from factloom.llm import mixing, quality, shinglesets
 from tests.llm.odd import CLASHING, ROWS, SCHEMA, odd_docs, words
 from tests.llm.test_operators import brute_repeats
 
