@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -213,35 +213,61 @@ _SUFFIX = [f"w{i}" for i in range(LONGEST)]
 
 
 def _suffixes(docs: DataFrame, bloom, hot) -> DataFrame:
-    """``route``, ``by``, w0.. (0 past the piece's end) and ``n``: equal suffixes of a chunk under a frequent pair.
+    """``by``, w0.. (0 past its end) and ``n``: suffixes under a frequent pair, equal ones of many chunks as one.
 
+    A suffix ends with its piece, or before the first pair that isn't frequent: no frequent phrase goes on from there.
     ``hot`` has hashes of pairs, of triples and so on; ``by`` tells how many words the suffix is routed by.
     """
 
+    def told(rows: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        w, n = np.concatenate(rows), np.concatenate(counts)
+        order = np.lexsort(w.T[::-1])
+        w, n = w[order], n[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        w, n, by = w[first], np.add.reduceat(n, first), np.full(len(first), 2, np.int8)
+        prefix = _joined(w[:, 0], w[:, 1])
+        for i, names in enumerate(hot.value, 2):
+            parted = (by == i) & _among(names, prefix)
+            prefix[parted] = _joined(prefix[parted], w[parted, i])
+            by[parted] += 1
+        return pa.record_batch([pa.array(by), *(pa.array(x.view(np.int64)) for x in w.T.copy()), pa.array(n)], ["by", *_SUFFIX, "n"])
+
     def run(batches):
+        rows, counts = [], []
         for batch in batches:
             for _, h, left in _words(batch):
                 at, pair = _pairs(h, left)
-                likely = _may_hold(bloom.value, pair)
-                at, route = at[likely], pair[likely]
+                goes_on = np.zeros(len(h) + LONGEST, bool)
+                goes_on[at] = _may_hold(bloom.value, pair)
+                at = np.flatnonzero(goes_on)
                 if not len(at):
                     continue
-                padded = np.concatenate([h, np.zeros(LONGEST, _U)])
-                w = np.stack([np.where(left[at] > i, padded[at + i], _U(0)) for i in range(LONGEST)], axis=1)
-                order = np.lexsort((*w.T[:1:-1], route))
-                w, route = w[order], route[order]
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1]).any(axis=1)
-                first = np.flatnonzero(new)
-                w, route, n, by = w[first], route[first], np.diff(first, append=len(new)), np.full(len(first), 2, np.int8)
-                for i, names in enumerate(hot.value, 2):
-                    parted = (by == i) & _among(names, route)
-                    route[parted] = _joined(route[parted], w[parted, i])
-                    by[parted] += 1
-                columns = [pa.array(route.view(np.int64)), pa.array(by), *(pa.array(x.view(np.int64)) for x in w.T.copy()), pa.array(n)]
-                yield pa.record_batch(columns, ["route", "by", *_SUFFIX, "n"])
-
-    return docs.mapInArrow(run, f"route long, by byte, {', '.join(f'{w} long' for w in _SUFFIX)}, n long")
+                padded, open_ = np.concatenate([h, np.zeros(LONGEST, _U)]), np.ones(len(at), bool)
+                w = np.zeros((len(at), LONGEST), _U)
+                w[:, 0] = h[at]
+                for i in range(1, LONGEST):
+                    open_ = open_ & goes_on[at + i - 1]
+                    w[open_, i] = padded[at[open_] + i]
+                rows.append(w)
+                counts.append(np.ones(len(w), np.int64))
+                if sum(map(len, rows)) > HELD:
+                    yield told(rows, counts)
+                    rows, counts = [], []
+        if rows:
+            yield told(rows, counts)
+
+    return docs.mapInArrow(run, f"by byte, {', '.join(f'{w} long' for w in _SUFFIX)}, n long")
+
+
+def _route() -> Column:
+    """A hash of as many words as ``by`` says."""
+    words = [F.col(w) for w in _SUFFIX]
+    route = F.xxhash64(*words[:2])
+    for i in range(3, LONGEST + 1):
+        route = F.when(F.col("by") == i, F.xxhash64(*words[:i])).otherwise(route)
+    return route
 
 
 def frequent_prefixes(words: np.ndarray, weight: np.ndarray, least: int, by: int = 2) -> Iterator[tuple[int, int, int]]:
@@ -295,11 +321,11 @@ def _prefixes(suffixes: DataFrame, least: int) -> DataFrame:
 
 
 def _names(docs: DataFrame, bloom) -> DataFrame:
-    """``h``, ``lang`` and ``word`` of the frequent words (and a few more): once for each batch."""
+    """``h``, ``lang`` and ``word`` of the words in a Bloom filter (and a few more): once for each task."""
 
     def run(batches):
+        known = np.zeros(0, _U)
         for batch in batches:
-            known = np.zeros(0, _U)
             for c, h, _ in _words(batch):
                 h, at = np.unique(h, return_index=True)
                 new = ~np.isin(h, known) & _may_hold(bloom.value, h)
@@ -336,7 +362,7 @@ def collocations(
     bloom = spark.sparkContext.broadcast(_bloom(pairs))
     rows = pairs.agg(F.sum("n")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / partition_rows))
-    routed = _suffixes(texts, bloom, known).repartition(partitions, "route")
+    routed = _suffixes(texts, bloom, known).repartition(partitions, _route())
     found = _prefixes(routed, least).groupBy("w").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     found = written(found, "phrases")
 
@@ -345,13 +371,15 @@ def collocations(
         F.explode(F.array(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1))).alias("w"), F.col("a").alias("of")
     )
     whole = found.join(longer.groupBy("w").agg(F.max("of").alias("of")), "w", "left").where("of is null or of < a").drop("of")
+    whole = written(whole, "whole-phrases")
 
     part = found.unionByName(words.select(F.array("h").alias("w"), F.col("f").alias("a")))
     cuts = whole.select("w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.withColumns({"left": F.slice("w", F.lit(1), F.col("k")), "right": F.expr("slice(w, k + 1, size(w) - k)")})
     cuts = cuts.join(part.select(F.col("w").alias("left"), F.col("a").alias("l")), "left").join(part.select(F.col("w").alias("right"), F.col("a").alias("r")), "right")
 
-    spelt = written(_names(texts, frequent).join(words, "h").select("h", "lang", "word"), "words")
+    said = written(whole.select(F.explode("w").alias("h")).distinct(), "said")
+    spelt = written(_names(texts, spark.sparkContext.broadcast(_bloom(said))).join(said, "h"), "words")
     first = spelt.select(F.col("h").alias("_first"), "lang").join(totals, "lang")
     scored = cuts.withColumn("_first", F.col("w")[0]).join(first, "_first")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
