@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as white space (tab to carriage return, space, and Unicode's spaces with the BOM).
@@ -114,3 +114,10 @@ def evidence(summary: Column | str = "summary", content: Column | str = "content
 def ordered(column: Column, *order: str) -> Column:
     """Inside an aggregate: the group's values of ``column`` in the order of the others."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, column.alias("_v")))), lambda x: x["_v"])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.text import filled, trimmed
+from factloom.functions.text import filled, trimmed, unused
 from factloom.operators.sources import add_dedup_id
+from factloom.sources import store
 
 VERSION = 2
 ARCHIVE_FIELDS = ("_post_id", "_entity_id", "_seq", "seq", "dedup_id", "raw")
@@ -30,19 +31,24 @@ def add_archive_fields(sources: DataFrame) -> DataFrame:
     return rows.withColumn("content_length", length).withColumn("has_content", F.col("content_length") > 0)
 
 
+def _best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key, whatever the columns are called."""
+    name = unused(rows, "n")
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
+
+
 def latest_rows(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key the row with the highest ``order``; the new one among equals."""
-    both = new.withColumn("_new", F.lit(1))
+    mark = unused(new, "new")
+    both = new.withColumn(mark, F.lit(1))
     if old is not None:
-        both = both.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    best = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_new")
+        both = both.unionByName(old.withColumn(mark, F.lit(0)), allowMissingColumns=True)
+    return _best(both, keys, F.col(order).desc_nulls_last(), F.desc(mark)).drop(mark)
 
 
 def absent_rows(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``old`` and the first new row of each key that it lacks."""
-    first = Window.partitionBy(*keys).orderBy(order)
-    fresh = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    fresh = _best(new, keys, F.col(order))
     if old is None:
         return fresh
     return old.unionByName(fresh.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
@@ -75,22 +81,60 @@ def archive_runs(old: dict[str, DataFrame] | None, runs: DataFrame, findings: Da
     }
 
 
+KEYS = {"runs": ["run_id"], "reports": ["run_id"], "findings": ["run_id", "seq"], "sources": ["run_id", "dedup_id"]}
+
+
+def _merged(name: str):
+    """Of each key of a table in deltas the row archived last, and of equals the one that came last."""
+    return lambda rows: _best(rows, KEYS[name], F.col("archived_at").desc_nulls_last(), F.desc("delta")).drop("delta", "bucket")
+
+
+def archive_batch(
+    base: str, runs: DataFrame, findings: DataFrame, sources: DataFrame, reports: DataFrame, upgrade: bool = False, buckets: int = store.BUCKETS
+) -> DataFrame:
+    """Brings a batch into the archive under ``base``, as ``archive_runs`` says; the rejected runs.
+
+    Only the batch's own rows are written, into the buckets of their runs; of the archive no more is read than the
+    keys of sources in those buckets. The same batch again changes nothing.
+    """
+    spark = runs.sparkSession
+    made = archive_runs(None, runs, findings, sources, reports, upgrade)
+    tables = {name: made[name] for name in KEYS}
+    there = store.read(spark, base)
+    if there and not upgrade:
+        known = there["sources"]
+        number = store.bucket_count(spark, base)
+        touched = [r[0] for r in tables["sources"].select(store.bucket_of(F.col("run_id"), number)).distinct().collect()]  # as many as buckets at most
+        known = known.where(F.col("bucket").isin(touched)).select(*KEYS["sources"])
+        tables["sources"] = tables["sources"].join(known, KEYS["sources"], "left_anti")
+    store.write(tables, base, {name: _merged(name) for name in KEYS}, buckets)
+    return made["rejected"]
+
+
+def read_archive(spark: SparkSession, base: str, run_ids: list | None = None) -> dict[str, DataFrame]:
+    """The four tables of the archive, or those rows of them that ``run_ids`` name, of which only their buckets are read; {} where there is none."""
+    return {name: _merged(name)(rows) for name, rows in store.read(spark, base, run_ids).items()}
+
+
 def plan_import(sessions: DataFrame, runs: DataFrame, skip_existing: bool = True, upgrade_existing: bool = False, dry_run: bool = False) -> DataFrame:
-    """``sessions`` (strategy, session_ts, meta_run_id, complete) with run_id, ``status`` and ``reason``."""
+    """``sessions`` (strategy, session_ts, meta_run_id, complete, and ``broken`` if any can be) with run_id, ``status`` and ``reason``."""
     own = F.concat_ws("__", F.lit("imported"), "strategy", "session_ts")
     rows = sessions.withColumn("run_id", filled("meta_run_id", own))
-    rows = rows.join(runs.select("run_id", F.lit(True).alias("_known")).distinct(), "run_id", "left")
-    known = F.coalesce("_known", F.lit(False))
+    mark = unused(rows, "known")
+    rows = rows.join(runs.select("run_id", F.lit(True).alias(mark)).distinct(), "run_id", "left")
+    known = F.coalesce(mark, F.lit(False))
     upgrade = known & F.lit(upgrade_existing)
+    broken = F.col("broken") if "broken" in sessions.columns else F.lit(None).cast("string")
     status = (
         F.when(~F.col("complete"), "skipped")
+        .when(broken.isNotNull(), "failed")
         .when(known & F.lit(skip_existing and not upgrade_existing), "skipped")
         .when(F.lit(dry_run), F.when(upgrade, "dry-run-upgrade").otherwise("dry-run"))
         .when(upgrade, "upgraded")
         .otherwise("imported")
     )
-    reason = F.when(~F.col("complete"), "missing files").when(known & F.lit(skip_existing and not upgrade_existing), "already archived")
-    return rows.withColumns({"status": status, "reason": reason}).drop("_known")
+    reason = F.when(~F.col("complete"), "missing files").when(broken.isNotNull(), F.concat(F.lit("unreadable: "), broken)).when(known & F.lit(skip_existing and not upgrade_existing), "already archived")
+    return rows.withColumns({"status": status, "reason": reason}).drop(mark)
 
 
 def import_summary(plan: DataFrame) -> DataFrame:

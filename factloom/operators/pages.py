@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import SPACE, blank, collapsed, filled, trimmed
+from factloom.sources.scratch import written
 
 #: Entities in the order they are decoded, and the order of page groups.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -116,72 +117,91 @@ def page_groups(pages: DataFrame) -> DataFrame:
     return grouped.withColumn("place", F.when(known > 0, known).otherwise(len(GROUPS) + 1)).orderBy("place", "segment")
 
 
-def retrieve(questions: DataFrame, pages: DataFrame, k: int = 5, excerpt: int = 400, question_block: int = 2000, page_block: int = 2000) -> DataFrame:
+def retrieve(questions: DataFrame, pages: DataFrame, k: int = 5, excerpt: int = 400, block_bytes: int = 8 << 20) -> DataFrame:
     """``question_id``, ``rank``, ``path``, ``score`` and ``excerpt`` of each question's best k pages with a score.
 
     A page scores 1 for each word of the question longer than two characters that it contains anywhere (a
     repeated word counts again), and 5 for the whole question, spaces at its ends included; ties go by path.
-    Blank questions have no result.
+    Blank questions have no result. Pages of one path share the least of their excerpts.
 
-    Questions and pages meet in blocks. In a block every page is read once for all different words, scores are
-    a product of two small matrices, and each question's best k pages leave it.
+    Questions go to the pages, ``block_bytes`` of them at a time, and texts are never shuffled: a task reads each of
+    its pages once for all different words of a block and keeps each question's best k pages, so what leaves it is
+    bounded by the questions.
     """
-    lowered = F.lower("question")
+    spark, lowered = questions.sparkSession, F.lower("question")
     words = F.filter(F.split(lowered, f"{SPACE}+"), lambda w: F.length(w) > 2)
     asked = questions.where(~blank("question")).select(F.col("question_id").alias("id"), lowered.alias("q"), words.alias("words"))
-    texts = pages.select("path", F.coalesce(F.lower("content"), F.lit("")).alias("text"), F.substring("content", 1, excerpt).alias("excerpt"))
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((asked, question_block), (texts, page_block)))
-
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, copies: int, by: str):
-        placed = df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(blocks)))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).groupBy("qb", "pb")
-
-    kind = questions.schema["question_id"].dataType.simpleString()
-    schema = f"question_id {kind}, path string, score long, excerpt string"
-    best = dealt(asked, "qb", n, "pb", m, "id").cogroup(dealt(texts, "pb", m, "qb", n, "path")).applyInArrow(_best_pages(k), schema)
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "path")
-    found = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("question_id", "path", "score", "excerpt", "rank")
-
-
-def _nullable(kind: pa.DataType) -> pa.DataType:
-    """A struct's type with fields that may be null, as Spark's declared schema has them."""
-    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
-
-
-def _best_pages(k: int):
-    def run(asked: pa.Table, texts: pa.Table) -> pa.Table:
+    asked = written(asked.withColumn("number", F.monotonically_increasing_id()), "questions")
+    blocks = -(-(asked.agg(F.sum(F.octet_length("q") + 16)).first()[0] or 0) // block_bytes)
+    pages = pages.withColumn("path", F.coalesce("path", F.lit("")))
+    texts = pages.select("path", F.coalesce(F.lower("content"), F.lit("")).alias("text"))
+    found = spark.createDataFrame([], "number long, path string, score long")
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == b).toArrow()
+        held = spark.sparkContext.broadcast([some[c].to_pylist() for c in ("number", "q", "words")])
+        found = found.unionByName(written(texts.mapInArrow(_best_pages(held, k), found.schema), "best-pages"))
+        held.unpersist()
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "path")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    shown = pages.join(best.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.min(F.substring("content", 1, excerpt)).alias("excerpt"))
+    return best.join(shown, "path").join(asked.select("number", F.col("id").alias("question_id")), "number").select("question_id", "path", "score", "excerpt", "rank")
+
+
+def _best_pages(held, k: int):
+    """``number``, ``path`` and ``score``: of each question the best k pages of a task."""
+
+    def run(batches):
         import ahocorasick
 
-        texts = texts.sort_by("path")
-        word_lists, whole, bodies = asked["words"].to_pylist(), asked["q"].to_pylist(), texts["text"].to_pylist()
-        number = {w: i for i, w in enumerate(sorted({w for words in word_lists for w in words}))}
-        wanted = np.zeros((len(number), len(whole)), np.float32)
+        numbers, whole, word_lists = held.value
+        n = len(numbers)
+        number_of = {w: i for i, w in enumerate(sorted({w for words in word_lists for w in words} | {q for q, words in zip(whole, word_lists, strict=True) if not words}))}
+        asks: list[list[int]] = [[] for _ in number_of]  # questions of each word, again for each time they have it
+        bare: dict[int, list[int]] = {}  # of each text that is a question without words
         for j, words in enumerate(word_lists):
             for w in words:
-                wanted[number[w], j] += 1
+                asks[number_of[w]].append(j)
+            if not words:
+                bare.setdefault(number_of[whole[j]], []).append(j)
+        asks_of, most = [np.array(a, np.int64) for a in asks], np.array([len(w) for w in word_lists])
         finder = ahocorasick.Automaton()
-        for w, i in number.items():
+        for w, i in number_of.items():
             finder.add_word(w, i)
-        if number:
+        if number_of:
             finder.make_automaton()
-        holds = np.zeros((len(bodies), len(number)), np.float32)
-        for i, body in enumerate(bodies):
-            if number:
-                holds[i, list({w for _, w in finder.iter(body)})] = 1
-        scores = np.rint(holds @ wanted).astype(np.int64) if len(bodies) and len(whole) else np.zeros((len(bodies), len(whole)), np.int64)
-        # a page that holds the whole question holds all its words
-        for i, j in zip(*np.nonzero(scores == wanted.sum(axis=0).astype(np.int64)), strict=True):
-            if whole[j] in bodies[i]:
-                scores[i, j] += 5
-        page = np.arange(len(bodies))
-        pick = np.argsort(-(scores * (len(bodies) + 1) - page[:, None]), axis=0)[:k]
-        at, j = pick.T.ravel(), np.repeat(np.arange(len(whole)), len(pick))
-        good = scores[at, j] > 0
-        at, j = pa.array(at[good], pa.int64()), pa.array(j[good], pa.int64())
-        score = pa.array(scores[at.to_numpy(), j.to_numpy()], pa.int64())
-        ids = asked["id"].take(j)
-        columns = [ids.cast(_nullable(ids.type)), texts["path"].take(at), pa.chunked_array([score]), texts["excerpt"].take(at)]
-        return pa.table(columns, ["question_id", "path", "score", "excerpt"])
+
+        paths: list[str] = []  # of the pages in ``best``
+        best, scored = np.full((n, k), -1), np.zeros((n, k), np.int64)
+        step = max(1, (4 << 20) // max(n, 1))
+        for batch in batches:
+            for at in range(0, len(batch) if number_of else 0, step):
+                new, bodies = (batch.column(i).slice(at, step).to_pylist() for i in (0, 1))
+                scores = np.zeros((n, len(bodies)), np.int64)
+                for p, body in enumerate(bodies):
+                    if found := {i for _, i in finder.iter(body)}:
+                        scores[:, p] = np.bincount(np.concatenate([asks_of[i] for i in found]), minlength=n)
+                        # a page that holds a whole question holds all its words
+                        for j in np.flatnonzero((scores[:, p] == most) & (most > 0)).tolist():
+                            if whole[j] in body:
+                                scores[j, p] += 5
+                        for i in found:
+                            for j in bare.get(i, ()):
+                                scores[j, p] += 5
+                # the best so far and the new ones, by score and then by path
+                both = paths + new
+                place = np.empty(len(both) + 1, np.int64)
+                place[np.argsort(np.array(both, object), kind="stable")] = np.arange(len(both))
+                place[-1] = len(both)  # of none
+                page = np.concatenate([best, np.broadcast_to(np.arange(len(paths), len(both)), (n, len(new)))], axis=1)
+                value = np.concatenate([scored, scores], axis=1)
+                page[value == 0] = -1
+                order = np.argsort(-value * (len(both) + 1) + place[page], axis=1, kind="stable")[:, :k]
+                best, scored = np.take_along_axis(page, order, 1), np.take_along_axis(value, order, 1)
+                kept, renamed = np.unique(best[best >= 0], return_inverse=True)
+                best[best >= 0] = renamed
+                paths = [both[i] for i in kept.tolist()]
+        j, col = np.nonzero(best >= 0)
+        columns = [pa.array([numbers[i] for i in j.tolist()], pa.int64()), pa.array([paths[i] for i in best[j, col].tolist()], pa.string()), pa.array(scored[j, col])]
+        yield pa.record_batch(columns, ["number", "path", "score"])
 
     return run

@@ -56,7 +56,7 @@ def benchmark_metrics(judged: DataFrame, health: DataFrame | None = None, runs:
     sums = judged.groupBy("run_id").agg(
         F.count("*").alias("claim_count"),
         F.count_if("has_citations").alias("cited"),
-        F.sum(F.size("citation_keys")).alias("citations"),
+        F.sum("n_citations").alias("citations"),
         F.sum("n_resolved").alias("resolved"),
         F.sum("n_complete").alias("complete"),
         F.count_if("platform_match").alias("matching"),
@@ -94,10 +94,11 @@ def evaluate_runs(
 ) -> dict[str, DataFrame]:
     """From raw reports: claims with scores and verdicts, metrics, health and risk examples.
 
-    Every run has metrics and health: those in ``runs``, by default those with a report or a finding. Claims and their citations are written once, as four results read them.
+    Every run has metrics and health: those in ``runs``, by default those with a report or a finding. Claims and their citations, without
+    texts of sources, are written once, as four results read them.
     """
     claims = written(C.extract_claims(reports), "claims")
-    resolved = written(C.resolve_citations(C.parse_citations(claims), sources), "citations")
+    resolved = written(C.resolve_citations(C.parse_citations(claims), sources, claims), "citations")
     judged = C.judge_claims(C.score_claims(claims, resolved, platform), verdicts)
     if runs is None:
         runs = reports.select("run_id").union(findings.select("run_id")).distinct()

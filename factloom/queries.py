@@ -156,7 +156,7 @@ def wiki_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
 
 @query("t3_parse_citations", f"WITH {LINE_CLAIMS}, {CITES} SELECT run_id, claim_index, position, finding_index, source_index FROM citations")
 def _(v):
-    return claims.parse_citations(line_claims(v))
+    return claims.parse_citations(line_claims(v)).drop("finding_to", "source_to")
 
 
 @query("j1_resolve_citations", f"WITH {LINE_CLAIMS}, {CITES} SELECT run_id, claim_index, position, key, resolved, complete, url FROM cited")
@@ -590,27 +590,28 @@ def _(v):
 
 
 PLAN = """
-    SELECT strategy, session_ts, run_id, CASE WHEN NOT complete THEN 'skipped' WHEN known THEN 'upgraded' ELSE 'imported' END AS status FROM (
+    SELECT strategy, session_ts, run_id, CASE WHEN NOT complete THEN 'skipped' WHEN broken THEN 'failed' WHEN known THEN 'upgraded' ELSE 'imported' END AS status,
+           CASE WHEN NOT complete THEN 'missing files' WHEN broken THEN 'unreadable: meta.json' END AS reason FROM (
         SELECT strategy, CAST(run_id AS VARCHAR) AS session_ts,
                CASE WHEN run_id % 3 = 0 THEN CAST(run_id AS VARCHAR) ELSE 'imported__' || strategy || '__' || run_id END AS run_id,
-               status = 'completed' AS complete, run_id % 3 = 0 AND archived_rank > 500 AS known FROM f_runs)"""
+               status = 'completed' AS complete, run_id % 7 = 3 AS broken, run_id % 3 = 0 AND archived_rank > 500 AS known FROM f_runs)"""
 
 
 def _plan(v: Views) -> DataFrame:
     number = F.col("run_id").cast("string")
-    sessions = v["f_runs"].select("strategy", number.alias("session_ts"), F.when(F.col("run_id") % 3 == 0, number).alias("meta_run_id"), (F.col("status") == "completed").alias("complete"))
+    sessions = v["f_runs"].select("strategy", number.alias("session_ts"), F.when(F.col("run_id") % 3 == 0, number).alias("meta_run_id"), (F.col("status") == "completed").alias("complete"), F.when(F.col("run_id") % 7 == 3, "meta.json").alias("broken"))
     known = v["f_runs"].where("archived_rank > 500").select(number.alias("run_id"))
     return archive.plan_import(sessions, known, upgrade_existing=True)
 
 
 @query("j6_plan_import", PLAN)
 def _(v):
-    return _plan(v).select("strategy", "session_ts", "run_id", "status")
+    return _plan(v).select("strategy", "session_ts", "run_id", "status", "reason")
 
 
 @query("a3_import_summary", f"""
     SELECT count(*) AS scanned, count(*) FILTER (status = 'imported') AS imported, count(*) FILTER (status = 'upgraded') AS upgraded,
-           count(*) FILTER (status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS failed FROM ({PLAN})""")
+           count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM ({PLAN})""")
 def _(v):
     return archive.import_summary(_plan(v))
 
@@ -651,14 +652,70 @@ def _(v):
     return archive.archive_runs(once, *batch)["sources"].select("run_id", "source_index", "dedup_id")
 
 
-def _sessions(v: Views) -> dict[str, DataFrame]:
-    """All runs written as sessions into the shared folder, and read again."""
+def _session_root(v: Views) -> str:
+    """All runs written as sessions into the shared folder."""
     root = f"{shared_dir(v.spark)}/factloom/sessions-{uuid.uuid4().hex}"
     runs = v["f_runs"].select("run_id", "query", "strategy", F.timestamp_seconds(F.col("run_id")).alias("created_at"))
     findings = v["f_findings"].select("run_id", F.col("finding_index").alias("seq"), "question", "iteration")
     flat = v["f_sources"].select("run_id", (F.col("finding_index") * 1000 + F.col("source_index")).alias("source_index"), "title", "url", "snippet", "content", "summary", "engine", F.col("fetch_status").alias("fetchStatus"))
     files.write_sessions(runs, findings, flat, v["f_reports"], root)
-    return files.read_sessions(v.spark, root)
+    return root
+
+
+def _sessions(v: Views) -> dict[str, DataFrame]:
+    return files.read_sessions(v.spark, _session_root(v))
+
+
+def _break(v: Views, root: str) -> Callable[[], None]:
+    """Leaves half of findings.json in every seventh session; what mends them again."""
+    number = F.unix_timestamp(F.to_timestamp("session_ts", "yyyy-MM-dd_HHmmss"))
+    whole = written(files.session_files(v.spark.read, root).where("file = 'findings.json'").where(number % 7 == 3).drop("path"), "whole-files")
+
+    def put(value: Column) -> None:
+        out = whole.withColumn("value", value).repartition("strategy", "session_ts", "file")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "session_ts", "file").text(root)
+
+    put(F.expr("substring(value, 1, length(value) - 2)"))
+    return lambda: put(F.col("value"))
+
+
+@query("s1_broken_sessions", """
+    SELECT strategy, strftime(make_timestamp(run_id * 1000000), '%Y-%m-%d_%H%M%S') AS session_ts, CASE WHEN run_id % 7 = 3 THEN 'failed' ELSE 'imported' END AS status,
+           CASE WHEN run_id % 7 = 3 THEN 'unreadable: findings.json' END AS reason, CASE WHEN run_id % 7 = 3 THEN 0 ELSE n END AS n_findings
+    FROM f_runs JOIN (SELECT run_id, count(*) AS n FROM f_findings GROUP BY run_id) USING (run_id)""")
+def _(v):
+    """The plan of an import where every seventh session is broken, and how many findings it brings."""
+    root = _session_root(v)
+    _break(v, root)
+    made = files.read_sessions(v.spark, root)
+    plan = archive.plan_import(made["sessions"], made["runs"].select("run_id").limit(0))
+    n = made["findings"].groupBy("run_id").agg(F.count("*").alias("n_findings"))
+    return plan.join(n, "run_id", "left").fillna(0, ["n_findings"]).select("strategy", "session_ts", "status", "reason", "n_findings")
+
+
+@query("st3_stream_sessions", """
+    SELECT CAST(run_id AS VARCHAR) AS run_id, query, strategy, n AS n_findings, CASE WHEN run_id % 7 = 3 THEN 'failed' ELSE 'archived' END AS first, 'archived' AS last
+    FROM f_runs JOIN (SELECT run_id, count(*) AS n FROM f_findings GROUP BY run_id) USING (run_id)""")
+def _(v):
+    """All sessions archived as they come, every seventh of them broken; and again when those are mended."""
+    root = _session_root(v)
+    mend, base = _break(v, root), f"{shared_dir(v.spark)}/factloom/stream-{uuid.uuid4().hex}"
+
+    def take(tables: dict[str, DataFrame]) -> None:
+        runs = tables["runs"].withColumn("archived_at", F.col("created_at"))
+        archive.archive_batch(f"{base}/archive", runs, tables["findings"], tables["sources"], tables["reports"])
+
+    seen = []
+    for _ in range(2):
+        feeds.stream_sessions(v.spark, root, take, f"{base}/checkpoint", f"{base}/outcomes").awaitTermination()
+        now = feeds.session_outcomes(v.spark, f"{base}/outcomes")
+        seen.append(written(now.select(F.regexp_extract("folder", r"([^/=]+)$", 1).alias("session_ts"), "status"), "outcomes"))
+        mend()
+    kept = archive.read_archive(v.spark, f"{base}/archive")
+    rows = kept["runs"].select("run_id", "query", "strategy", "session_ts").join(kept["findings"].groupBy("run_id").agg(F.count("*").alias("n_findings")), "run_id")
+    for name, some in zip(("first", "last"), seen, strict=True):
+        rows = rows.join(some.withColumnRenamed("status", name), "session_ts")
+    return rows.drop("session_ts")
 
 
 @query("s1_read_sessions", """
@@ -690,11 +747,26 @@ def _(v):
     flat = v["f_sources"].withColumn("source_index", F.col("finding_index") * 1000 + F.col("source_index")).drop("finding_index")
     batch = (_runs(v), v["f_findings"].withColumnRenamed("finding_index", "seq"), flat, v["f_reports"])
     for some in ([df.where("run_id % 2 = 0") for df in batch], batch):
-        files.write_archive(archive.archive_runs(files.read_archive(v.spark, base), *some), base)
-    kept = files.read_archive(v.spark, base)
+        archive.archive_batch(base, *some)
+    kept = archive.read_archive(v.spark, base)
     return kept["sources"].select("run_id", "source_index", "title", "url").crossJoin(kept["runs"].agg(F.count("*").alias("archive_runs")))  # with a single row
 
 
+@query("s3_archive_of_some_runs", """
+    SELECT run_id, query, strategy, coalesce(length(report), 0) AS report_length, n AS n_findings
+    FROM f_runs LEFT JOIN f_reports USING (run_id) JOIN (SELECT run_id, count(*) AS n FROM f_findings GROUP BY run_id) USING (run_id)
+    WHERE run_id IN (SELECT run_id FROM f_runs ORDER BY archived_rank DESC, run_id DESC LIMIT 5)""")
+def _(v):
+    """The archive of all runs, read for the five archived last: of the folders only those runs' buckets."""
+    base = f"{shared_dir(v.spark)}/factloom/archive-{uuid.uuid4().hex}"
+    flat = v["f_sources"].withColumn("source_index", F.col("finding_index") * 1000 + F.col("source_index")).drop("finding_index")
+    archive.archive_batch(base, _runs(v), v["f_findings"].withColumnRenamed("finding_index", "seq"), flat, v["f_reports"])
+    last = [r[0] for r in v["f_runs"].orderBy(F.desc("archived_rank"), F.desc("run_id")).limit(5).select("run_id").collect()]
+    kept = archive.read_archive(v.spark, base, last)
+    n = kept["findings"].groupBy("run_id").agg(F.count("*").alias("n_findings"))
+    return kept["runs"].join(n, "run_id").select("run_id", "query", "strategy", F.col("report_length").cast("bigint").alias("report_length"), "n_findings")
+
+
 @query("w9_history_list", "SELECT run_id, status, archived_rank AS created_at FROM f_runs")
 def _(v):
     return archive.history_list(v["f_runs"].select("run_id", "status", F.col("archived_rank").alias("created_at")))

@@ -2,50 +2,66 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.sources.scratch import remove
-
 SOURCE = """struct<title: string, url: string, snippet: string, engine: string, content: string, summary: string, fetchStatus: string,
   fetchError: string, relevanceScore: double, relevanceKeep: boolean, relevanceReason: string>"""
 FINDING = f"struct<question: string, iteration: int, error: struct<name: string, message: string>, sources: array<{SOURCE}>>"
 META = """struct<query: string, strategy: string, researchId: string, createdAt: string,
   settings: struct<iterations: int, questionsPerIteration: int, concurrency: int>>"""
 FILES = ("report.md", "findings.json", "sources.json", "meta.json")
-ARCHIVE = ("runs", "findings", "sources", "reports")
 
 
-def read_sessions(spark: SparkSession, root: str, strategy: str | None = None) -> dict[str, DataFrame]:
-    """``sessions`` under root/strategy/YYYY-MM-DD_HHMMSS, newest first, and runs, findings, sources, reports of the complete ones.
+def session_path(path: Column) -> list[Column]:
+    """``strategy``, ``session_ts`` and ``file`` of a file's path; '' where it is none of a session."""
+    pattern = r"(?:strategy=)?([^/]+)/(?:session_ts=)?(\d{4}-\d{2}-\d{2}_\d{6})/(?:file=)?([^/]+)(?:/part-[^/]+)?$"
+    return [F.regexp_extract(path, pattern, i).alias(n) for i, n in enumerate(("strategy", "session_ts", "file"), 1)]
+
+
+def session_files(reader, root: str | list[str], **options) -> DataFrame:
+    """``strategy``, ``session_ts``, ``file``, ``value`` and ``path`` of the files of sessions. ``reader`` may be a stream's.
 
-    Folders that ``write_sessions`` made are read too. A session is complete with all four of ``FILES``. Hidden
-    folders and other names are left out, files of other names without being read.
+    Hidden folders and other names are left out, files of other names without being read. Spark's readers pass over
+    files of no bytes: one is as good as absent, until it is filled.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(FILES)},part-*}}").text(root, wholetext=True)
+    files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(FILES)},part-*}}").options(**options).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
-    pattern = r"(?:strategy=)?([^/]+)/(?:session_ts=)?(\d{4}-\d{2}-\d{2}_\d{6})/(?:file=)?([^/]+)(?:/part-[^/]+)?$"
-    parts = [F.regexp_extract(path, pattern, i).alias(n) for i, n in enumerate(("strategy", "session_ts", "file"), 1)]
     text = F.when(path.rlike("/file=[^/]+/part-[^/]+$"), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
-    rows = files.select(*parts, text.alias("value")).where(F.col("file").isin(*FILES) & ~F.col("strategy").startswith("."))
+    rows = files.select(*session_path(path), text.alias("value"), path.alias("path"))
+    return rows.where(F.col("file").isin(*FILES) & ~F.col("strategy").startswith("."))
+
+
+def read_sessions(spark: SparkSession, root: str | list[str], strategy: str | None = None) -> dict[str, DataFrame]:
+    """``sessions`` under root/strategy/YYYY-MM-DD_HHMMSS, newest first, and runs, findings, sources, reports of the readable ones.
+
+    Folders that ``write_sessions`` made are read too; ``root`` may be a list of sessions' folders. A session is complete
+    with all four of ``FILES``. ``broken`` names those that aren't JSON, or not of the kind that is due; a session with
+    one gives no rows but its own, and has no id of its own if it is its meta.json.
+    """
+    rows = session_files(spark.read, root)
     if strategy:
         rows = rows.where(F.col("strategy") == strategy)
     text = lambda name: F.max(F.when(F.col("file") == name, F.col("value")))
     sessions = rows.groupBy("strategy", "session_ts").agg(
         F.collect_set("file").alias("files"), *[text(f).alias(f.split(".")[0]) for f in FILES]
     )
-    sessions = sessions.withColumn("complete", F.size("files") == len(FILES)).withColumn("m", F.from_json("meta", META))
+    # a broken object would come out as one of nulls, a broken list as null
+    meta = F.from_json("meta", META.replace("struct<", "struct<_broken: string, ", 1), {"columnNameOfCorruptRecord": "_broken"})
+    listed = {"findings": FINDING, "sources": SOURCE}
+    sessions = sessions.withColumns({"m": meta, **{f"{name}_list": F.from_json(name, f"array<{kind}>") for name, kind in listed.items()}})
+    odd = {"meta": F.col("m").isNull() | F.col("m._broken").isNotNull()} | {name: F.col(f"{name}_list").isNull() | ~F.col(name).rlike(r"^\s*\[") for name in listed}
+    broken = F.array_compact(F.array(*[F.when(F.col(name).isNotNull() & test, F.lit(f"{name}.json")) for name, test in odd.items()]))
+    sessions = sessions.withColumn("complete", F.size("files") == len(FILES)).withColumn("broken", F.nullif(F.array_join(broken, ", "), F.lit("")))
     own = F.concat_ws("__", F.lit("imported"), "strategy", "session_ts")
     sessions = sessions.withColumn("meta_run_id", F.nullif("m.researchId", F.lit(""))).withColumn("run_id", F.coalesce("meta_run_id", own))
-    done = sessions.where("complete")
-    findings = done.select("run_id", F.posexplode(F.from_json("findings", f"array<{FINDING}>")).alias("seq", "f"))
-    sources = done.select("run_id", F.posexplode(F.from_json("sources", f"array<{SOURCE}>")).alias("source_index", "s"))
+    done = sessions.where("complete and broken is null")
+    findings = done.select("run_id", F.posexplode("findings_list").alias("seq", "f"))
+    sources = done.select("run_id", F.posexplode("sources_list").alias("source_index", "s"))
     stamp = F.to_timestamp("m.createdAt")
     return {
-        "sessions": sessions.select("strategy", "session_ts", "meta_run_id", "run_id", "files", "complete").orderBy(F.desc("session_ts"), "strategy"),
+        "sessions": sessions.select("strategy", "session_ts", "meta_run_id", "run_id", "files", "complete", "broken").orderBy(F.desc("session_ts"), "strategy"),
         "runs": done.select("run_id", "m.query", "strategy", "session_ts", stamp.alias("created_at"), "m.settings"),
         "findings": findings.select("run_id", (F.col("seq") + 1).alias("seq"), "f.*"),
         "sources": sources.select("run_id", (F.col("source_index") + 1).alias("source_index"), "s.*"),
@@ -82,33 +98,6 @@ def write_sessions(runs: DataFrame, findings: DataFrame, sources: DataFrame, rep
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "session_ts", "file").text(root)
 
 
-def _versions(spark: SparkSession, base: str) -> list[str]:
-    """Names of the archive's whole versions, oldest first."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/v-*/done/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    return sorted(f.getPath().getParent().getParent().getName() for f in found or [])
-
-
-def read_archive(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The four tables of an archive's last whole version; none of them where there is no version yet."""
-    there = _versions(spark, base)
-    return {name: spark.read.parquet(f"{base}/{there[-1]}/{name}") for name in ARCHIVE} if there else {}
-
-
-def write_archive(tables: dict[str, DataFrame], base: str) -> None:
-    """The four tables as the archive's next version, which counts once all of them are there. ``tables`` may read from ``base``.
-
-    Readers keep the version that they opened: the one before stays, older ones are removed. One writer at a time.
-    """
-    spark = tables[ARCHIVE[0]].sparkSession
-    there = _versions(spark, base)
-    folder = f"{base}/v-{int(there[-1].split('-')[1]) + 1 if there else 1:012d}-{uuid.uuid4().hex}"
-    for name in ARCHIVE:
-        tables[name].write.parquet(f"{folder}/{name}")
-    spark.range(1).write.parquet(f"{folder}/done")
-    remove(spark, [f"{base}/{name}" for name in there[:-1]])
-
-
 def read_vault(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` (below the folder), and ``content`` of each Markdown file, by path."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.files import read_sessions, session_files
+
 TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -19,9 +21,11 @@ def progress_from_events(events: DataFrame) -> DataFrame:
     """``events`` (stage, iteration, iterations, completed, total, question, level) with ``message`` and ``progress``; works on streams."""
     c = F.col
     rounds = (F.coalesce("iteration", F.lit(0)) > 0) & (F.coalesce("iterations", F.lit(0)) > 0)
-    base = 10 + _whole((c("iteration") - 1) / c("iterations") * 60)
-    done = c("completed") / c("total")
+    # of none there is no share, and no progress to tell
+    base = 10 + _whole(F.try_divide(c("iteration") - 1, c("iterations")) * 60)
+    done = F.try_divide("completed", "total")
     text = lambda column: c(column).cast("string")
+    #: What each stage says and how far it is.
     stages = {
         "research_started": (F.lit("Research started"), F.lit(5)),
         "generating_questions": (F.lit("Generating research questions"), F.when(rounds, base).otherwise(10)),
@@ -29,7 +33,7 @@ def progress_from_events(events: DataFrame) -> DataFrame:
         "search_item_complete": (F.concat(F.lit("Search complete: "), "question"), 25 + _whole(done * 45)),
         "search_progress": (
             F.concat(F.lit("Completed "), text("completed"), F.lit("/"), text("total"), F.lit(" searches for iteration "), text("iteration")),
-            base + 5 + _whole(done * (50 / c("iterations"))),
+            base + 5 + _whole(done * F.try_divide(F.lit(50), c("iterations"))),
         ),
         "enriching_sources": (F.concat(F.lit("Enriching sources for iteration "), text("iteration"), F.lit("/"), text("iterations")), F.when(rounds, base + 8).otherwise(55)),
         "filtering_sources": (F.lit("Filtering sources for relevance"), F.lit(75)),
@@ -66,18 +70,55 @@ def log_feed(history: DataFrame, logs: DataFrame) -> DataFrame:
     return status.unionByName(rows).orderBy("run_id", "seq")
 
 
-def stream_archive(batches: DataFrame, archive: Callable[[DataFrame, int], None], checkpoint: str, failed: Callable[[int, str], None] | None = None):
-    """A started query that hands each micro-batch of new rows to ``archive(batch, number)``; it is idempotent by key.
+def stream_sessions(
+    spark: SparkSession, root: str, archive: Callable[[dict[str, DataFrame]], None], checkpoint: str, outcomes: str, max_files: int = 1000
+):
+    """A started query over session folders that come under ``root``: each session is handed on once its four files are there.
 
-    With ``failed`` a batch that can't be archived is reported there and the stream goes on.
+    Files of a session may come in several micro-batches; with each, the sessions that it touches are read whole, and
+    with them those that failed before. Readable ones go to ``archive`` (tables of ``read_sessions``), which must be
+    idempotent by key, as ``archive_batch`` is. What became of each session (``archived``, ``waiting`` or ``failed``, with
+    a reason) is a row of ``session_outcomes``. A session that can't be read, or that ``archive`` refuses, is tried again
+    with every batch and at every start; so it enters once it is mended, and the stream never stops for it.
     """
+    taken = lambda folders, number: _take_sessions(spark, folders, archive, outcomes, number, max_files)
+    if latest := session_outcomes(spark, outcomes):
+        taken([], latest.agg(F.max("batch")).first()[0] + 1)
 
     def each(df: DataFrame, number: int) -> None:
-        try:
-            archive(df, number)
-        except Exception as error:
-            if failed is None:
-                raise
-            failed(number, f"{type(error).__name__}: {error}")
-
-    return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        folder = F.regexp_extract("path", r"^(.*/(?:session_ts=)?\d{4}-\d{2}-\d{2}_\d{6})/", 1)
+        # a batch has max_files files at most
+        before = session_outcomes(spark, outcomes)
+        last = before.agg(F.max("batch")).first()[0] + 1 if before else 0
+        taken([r[0] for r in df.select(folder).distinct().collect()], last)
+
+    files = session_files(spark.readStream, root, maxFilesPerTrigger=str(max_files))
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_outcomes(spark: SparkSession, outcomes: str) -> DataFrame | None:
+    """``folder``, ``status``, ``reason`` and ``batch`` of each session as it stands last; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{outcomes}/batch=*/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return None
+    rows = spark.read.schema("folder string, status string, reason string, batch long").parquet(outcomes)
+    return rows.groupBy("folder").agg(F.max(F.struct("batch", "status", "reason")).alias("l")).select("folder", "l.status", "l.reason", "l.batch")
+
+
+def _take_sessions(spark: SparkSession, folders: list[str], archive: Callable, outcomes: str, number: int, most: int) -> None:
+    before = session_outcomes(spark, outcomes)
+    again = before.where("status = 'failed'").orderBy("batch", "folder").limit(most).select("folder").collect() if before else []
+    folders = sorted({*folders, *(r[0] for r in again)})
+    if not folders:
+        return
+    tables = read_sessions(spark, folders)
+    waiting, failed = F.lit("waiting"), F.lit("failed")
+    status = F.when(~F.col("complete"), waiting).when(F.col("broken").isNotNull(), failed).otherwise("archived")
+    told = F.concat_ws("/", "strategy", "session_ts").alias("k"), status.alias("status"), F.col("broken").alias("reason")
+    try:
+        archive(tables)
+    except Exception as error:  # of the batch; its sessions are tried again
+        told = (told[0], F.when(~F.col("complete"), waiting).otherwise(failed).alias("status"), F.lit(f"{type(error).__name__}: {error}"[:500]).alias("reason"))
+    named = spark.createDataFrame([(f, "/".join(p.split("=")[-1] for p in f.rsplit("/", 2)[-2:])) for f in folders], "folder string, k string")
+    rows = tables["sessions"].select(*told).join(named, "k").select("folder", "status", "reason")
+    rows.write.mode("overwrite").parquet(f"{outcomes}/batch={number}")

@@ -67,6 +67,27 @@ def test_citations_in_order_once_each_with_ranges(spark):
     assert len(keys(spark, "[1.1-1.20000]")) == 20_000 and len(keys(spark, "[1.1-150.150]")) == 22_500
 
 
+def test_long_ranges_stay_ranges(spark):
+    """Three thousand million citations cost as much as the sources that are there."""
+    many = [("r", 1, i, f"Apples {i}", "http://a", "Apples are grown in cold places", None, None, "web", "ok") for i in range(1, 4)]
+    sources = spark.createDataFrame([*many, ("r", 7, 5, "Pears", "", "pears", None, None, "web", "ok"), ("s", 1, 9, "Other", "", "x", None, None, "web", "ok")], SCHEMA)
+    claims = texts(spark, "Apples [1.2] and [1.1-1.3000000000] or [1.2]", "[1.1-2000.2000][1500.1-3000.4000] pears [9.9]", "[1.2-1.3]", "[0.0-9000000000000000000.9000000000000000000]")
+    for given in (None, claims.withColumn("section", F.lit("s")).withColumn("line_start", F.lit(1))):
+        rows = C.resolve_citations(C.parse_citations(claims), sources, given)
+        got = [(r.claim_index, r.key, r.resolved, r.n) for r in rows.orderBy("claim_index", "position", "finding_index", "source_index", "key").collect()]
+        assert got[:4] == [(1, "1.2", True, 1.0), (1, "1.1", True, 1.0), (1, "1.1-1.3000000000", False, 3e9 - 3), (1, "1.3", True, 1.0)]
+        assert [g for g in got if g[0] == 2] == [
+            (2, "1.1", True, 1.0), (2, "1.1-2000.2000", False, 2000 * 2000 + 1501 * 4000 - 501 * 2000 - 4 - 1), (2, "1.2", True, 1.0), (2, "1.3", True, 1.0),
+            (2, "7.5", True, 1.0), (2, "1500.1-3000.4000", False, 0.0), (2, "9.9", False, 1.0),
+        ]
+        assert [g for g in got if g[0] == 3] == [(3, "1.2", True, 1.0), (3, "1.3", True, 1.0)]
+        assert [g[1:3] for g in got if g[0] == 4 and g[2]] == [("1.1", True), ("1.2", True), ("1.3", True), ("7.5", True)]
+    scores = {r.claim_index: r for r in C.score_claims(given, rows).collect()}
+    assert scores[1].citation_keys == ["1.2", "1.1", "1.1-1.3000000000", "1.3"] and scores[1].n_citations == 3e9 and scores[1].n_resolved == 3
+    assert scores[1].unresolved == ["1.1-1.3000000000"] and not scores[1].citations_resolved and scores[1].overlap == 0.5  # apples, of apples and 3000000000
+    assert scores[3].citations_resolved
+
+
 def test_link_text_takes_a_citation_with_it(spark):
     one = spark.createDataFrame([("r", "## Key Findings\n- [1.1] text of it [x](y)")], "run_id string, report string")
     assert C.extract_claims(one).first().text == "1.1] text of it [x"

@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import archive, pages, sources, wiki
 from factloom.plans import rounds
-from factloom.sources import files
+from factloom.sources import files, store
 from factloom.streaming import feeds
 
 DAY = "2026-01-01"
@@ -121,17 +122,54 @@ def test_sessions_come_back_as_written(spark, tmp_path):
         files.write_sessions(same, findings, sources, reports, root)
 
 
-def test_archive_is_replaced_in_place(spark, tmp_path):
-    base = str(tmp_path / "arc")
-    assert files.read_archive(spark, base) == {}
-    for n in range(1, 5):
-        old = files.read_archive(spark, base)
-        row = frame(spark, [("r", str(n))], "run_id string, value string")
-        files.write_archive({name: old[name].unionByName(row) if old else row for name in files.ARCHIVE}, base)
-        assert {name: df.count() for name, df in files.read_archive(spark, base).items()} == dict.fromkeys(files.ARCHIVE, n)
-    assert len(list((tmp_path / "arc").glob("v-*"))) == 2
-    (tmp_path / "arc" / "v-000000000009-torn" / "runs").mkdir(parents=True)
-    assert files.read_archive(spark, base)["runs"].count() == 4
+def arrivals(spark, ids, day, text="x"):
+    at = F.to_timestamp(F.lit(f"2026-01-{day:02d}"))
+    runs = frame(spark, [(i, text) for i in ids], "run_id string, query string").withColumn("archived_at", at).withColumn("_n", F.lit("a user's own")).withColumn("_new", F.lit("too"))
+    findings = frame(spark, [(i, k, f"{text}{k}") for i in ids for k in (1, 2)], "run_id string, seq int, question string")
+    rows = [(i, k, f"http://{k}", text) for i in ids for k in (1, 2, 2)]
+    sources = frame(spark, [(i, n, u, t) for n, (i, _, u, t) in enumerate(rows, 1)], "run_id string, source_index int, url string, title string")
+    sources = sources.withColumn("snippet", F.lit(None).cast("string")).withColumn("content", F.lit(None).cast("string")).withColumn("archived_at", at)
+    return runs, findings, sources, frame(spark, [(i, text) for i in ids], "run_id string, report string")
+
+
+def parts(base, table="runs"):
+    return {str(p.relative_to(base)) for p in (base / "data" / table).glob("delta=*/bucket=*/*.parquet")}
+
+
+def test_archive_in_buckets_and_deltas(spark, tmp_path, monkeypatch):
+    base = tmp_path / "arc"
+    assert archive.read_archive(spark, str(base)) == {}
+    ids = [f"r{i}" for i in range(30)]
+    archive.archive_batch(str(base), *arrivals(spark, ids, 1), buckets=4)
+    before = parts(base)
+    archive.archive_batch(str(base), *arrivals(spark, ["r3", "new"], 2, "later"))
+    # what is there stays file by file; the batch lies in its own runs' buckets
+    added = {p.split("bucket=")[1].split("/")[0] for p in parts(base) - before}
+    assert before <= parts(base) and len(added) <= 2
+    kept = archive.read_archive(spark, str(base))
+    assert {name: df.count() for name, df in kept.items()} == {"runs": 31, "reports": 31, "findings": 62, "sources": 62}
+    assert {r.query for r in kept["runs"].where("run_id = 'r3'").collect()} == {"later"} and kept["runs"].first()["_n"] == "a user's own"
+    assert {r.title for r in kept["sources"].where("run_id = 'r3'").collect()} == {"x"}  # sources that were there stay
+    archive.archive_batch(str(base), *arrivals(spark, ["r4"], 3, "upgraded"), upgrade=True)
+    archive.archive_batch(str(base), *arrivals(spark, ["r4"], 2, "older"))
+    kept = archive.read_archive(spark, str(base), ["r4", "none"])
+    assert {r.title for r in kept["sources"].collect()} == {"upgraded"} and kept["runs"].first().query == "upgraded"
+    plan = kept["runs"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert len(kept["runs"].inputFiles()) < len(archive.read_archive(spark, str(base))["runs"].inputFiles())
+
+    # a broken write counts for nothing and is gone with the next one; buckets that grow are merged
+    torn = base / "data" / "runs" / "delta=000000000099-torn" / "bucket=0"
+    torn.mkdir(parents=True)
+    (base / "versions" / "000000000099-torn").mkdir()
+    monkeypatch.setattr(store, "DELTAS", 4)
+    for day in range(4, 7):
+        archive.archive_batch(str(base), *arrivals(spark, ["r5"], day, f"day{day}"))
+    assert not torn.exists() and len(list((base / "versions").iterdir())) <= 3
+    kept = archive.read_archive(spark, str(base))
+    assert {name: df.count() for name, df in kept.items()} == {"runs": 31, "reports": 31, "findings": 62, "sources": 62}
+    assert kept["runs"].where("run_id = 'r5'").first().query == "day6"
+    assert max(Counter(p.split("bucket=")[1].split("/")[0] for p in kept["reports"].inputFiles()).values()) < 4
 
 
 WIKI = "run_id string, source_index int, title string, url string, snippet string, content string, query string"
@@ -217,16 +255,57 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(spark.table("status").collect()) == sorted(feeds.latest_status(logs).collect())
     events = logs.select(F.lit("search_progress").alias("stage"), F.lit(2).alias("iteration"), F.lit(2).alias("iterations"), F.lit(1).alias("completed"), F.lit(2).alias("total"), F.lit("q").alias("question"), F.lit(None).cast("string").alias("level"))
     assert feeds.progress_from_events(events).first().progress == 58  # 10 + 30 + 5 + round(0.5 * 25)
-    got, failed = [], []
-
-    def take(df, number):
-        if number == 1:
-            raise ValueError("bad batch")
-        got.append(df.count())
-
-    for _ in range(2):  # a second start finds nothing new
-        feeds.stream_archive(stream, take, str(tmp_path / "check"), lambda n, e: failed.append((n, e))).awaitTermination()
-    assert failed == [(1, "ValueError: bad batch")] and 0 < sum(got) < 12
+    nothing = events.withColumns({"total": F.lit(0), "iterations": F.lit(0)})
+    for stage in ("search_progress", "search_item_complete", "searching", "generating_questions"):
+        assert len(feeds.progress_from_events(nothing.withColumn("stage", F.lit(stage))).collect()) == 12  # shares of none stop nothing
+
+
+def session(root, name, findings="[]", meta=None, files=("report.md", "findings.json", "sources.json", "meta.json")):
+    texts = {"report.md": "# R", "findings.json": findings, "sources.json": '[{"title": "t", "url": "http://x"}]', "meta.json": meta or f'{{"researchId": "{name}", "query": "q"}}'}
+    folder = root / "rapid" / name
+    folder.mkdir(parents=True, exist_ok=True)
+    for f in files:
+        (folder / f).write_text(texts[f])
+
+
+def test_broken_sessions_fail_and_enter_once_mended(spark, tmp_path):
+    root = tmp_path / "in"
+    good, half = '[{"question": "a", "iteration": 1}]', '[{"question": "a", "itera'
+    session(root, "2026-01-01_000001", good)
+    session(root, "2026-01-01_000002", half)
+    session(root, "2026-01-01_000003", good, "{broken")
+    session(root, "2026-01-01_000004", good, files=("report.md",))
+    session(root, "2026-01-01_000005", " ")
+    session(root, "2026-01-01_000006", '{"no": "list"}')
+    made = files.read_sessions(spark, str(root))
+    plan = archive.plan_import(made["sessions"], made["runs"].limit(0))
+    assert [(r.session_ts[-1], r.status, r.reason) for r in plan.orderBy("session_ts").collect()] == [
+        ("1", "imported", None), ("2", "failed", "unreadable: findings.json"), ("3", "failed", "unreadable: meta.json"),
+        ("4", "skipped", "missing files"), ("5", "failed", "unreadable: findings.json"), ("6", "failed", "unreadable: findings.json"),
+    ]
+    assert archive.import_summary(plan).first().asDict() == {"scanned": 6, "imported": 1, "upgraded": 0, "skipped": 1, "failed": 4}
+    assert [r.run_id for r in made["runs"].collect()] == ["2026-01-01_000001"] and made["findings"].count() == 1
+
+    base, calls = str(tmp_path / "archive"), []
+
+    def take(tables):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ValueError("no room")
+        runs = tables["runs"].withColumn("archived_at", F.to_timestamp(F.lit(DAY)))
+        archive.archive_batch(base, runs, tables["findings"], tables["sources"], tables["reports"], buckets=4)
+
+    def run():
+        feeds.stream_sessions(spark, str(root), take, str(tmp_path / "check"), str(tmp_path / "out"), 3).awaitTermination()
+        return {r.folder[-1]: r.status for r in feeds.session_outcomes(spark, str(tmp_path / "out")).collect()}
+
+    # a refused batch comes again with the next one
+    assert run() == {"1": "archived", "2": "failed", "3": "failed", "4": "waiting", "5": "failed", "6": "failed"}
+    session(root, "2026-01-01_000002", good)
+    session(root, "2026-01-01_000004", good)
+    assert run() == {"1": "archived", "2": "archived", "3": "failed", "4": "archived", "5": "failed", "6": "failed"}
+    kept = archive.read_archive(spark, base)
+    assert sorted(r.run_id[-1] for r in kept["runs"].collect()) == ["1", "2", "4"] and kept["sources"].count() == 3
 
 
 def test_lifecycle_keeps_what_nulls_leave(spark):
