@@ -128,7 +128,7 @@ def filter_urls(
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col(url_col).cast("string")
     urls = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("spread", F.xxhash64("id", "path"))
+    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("spread", F.xxhash64("id", "path", F.monotonically_increasing_id()))  # equal rows spread too
     none = F.lit(None).cast("string")
     urls = urls.select("key", "spread", "id", "host", "path", none.alias("rule"), none.alias("verdict"))
     kind = pages.schema[id_col].dataType
