@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.shared import SEPARATORS, cut, positions, small_join, written
+from factloom.llm.shared import SEPARATORS, cut, numbered, positions, small_join, written
 
 
 def word_count(text: Column) -> Column:
@@ -105,22 +105,6 @@ def _items(docs: DataFrame, weight_col: str | None, half_words: float, *more: Co
     return written(rows.withColumn("k", _key(F.col("source"))), "mix-items")
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """``items`` with ``number``: of rows with one key 0, 1, ...; of others 0.
-
-    Numbers run through a partition and then on to the next one, so a key of any size is never one window.
-    """
-    again = items.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    if again.isEmpty():
-        return items.withColumn("number", F.lit(0).cast("long"))
-    rows = small_join(items.select("key", "place"), again, ["key"], "left_semi").withColumn("part", F.shiftright("place", 33))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("place")) - 1
-    rows = rows.withColumn("inside", inside).join(parts, ["key", "part"]).select("place", (F.col("inside") + F.col("ahead")).alias("number"))
-    return small_join(items, written(rows, "mix-numbers"), ["place"], "left").withColumn("number", F.coalesce("number", F.lit(0)).cast("long"))
-
-
 def _ratios(items: DataFrame, sources: DataFrame, max_copies: float) -> DataFrame:
     """``k``, source_size, target, ``n`` and ``ratio`` (expected copies for a weight of 1) of each source.
 
@@ -174,9 +158,9 @@ def _planned(items: DataFrame, weights: DataFrame | None, max_copies: float, see
     else:
         told = weights.select(F.col("source").alias("name"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
         weighted = sources.join(told, F.col("source").eqNullSafe(F.col("name")), "left").drop("name").fillna(0.0, ["weight"])
-    small = _numbered(items.drop("row"))
+    small = numbered(items.drop("row"))
     ends = cuts(small, targets(weighted, max_copies), max_copies, seed)
-    rows = small if "row" not in items.columns else _numbered(items)
+    rows = small if "row" not in items.columns else numbered(items)
     return _ranked(small_join(rows, ends, ["k"]), max_copies, seed).withColumn("copies", _copies())
 
 

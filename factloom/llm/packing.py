@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed length.
 
 Texts longer than a sequence are cut into whole sequences and a rest. Pieces are dealt into groups of
-bounded size by a hash of their id, so a source or a cluster of copies of any size is spread over all
+bounded size by a hash of their id and, where rows are equal, their number, so a source or a cluster of copies of any size is spread over all
 groups, and every group packs its pieces from the largest down. Its open bins lie in order of their room
 left, each with a bitmap of the sources and one of the duplicate clusters it holds. The search starts at
 the tightest bin with enough room and goes on to the next larger until one has neither the piece's source
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.mixing import word_count
-from factloom.llm.shared import SEPARATORS
+from factloom.llm.shared import SEPARATORS, numbered, written
 
 GROUP_ROWS = 4096
 
@@ -66,12 +66,14 @@ def pack(items: DataFrame, capacity: int = 2048, distinct_sources: bool = True,
     """
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long")
     rows = items.select("doc_id", size.alias("total"), F.col("source").cast("string").alias("source"), "cluster")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "total", F.col("source").isNull(), "source", F.col("cluster").isNull(), "cluster")
+    rows = numbered(written(rows.withColumns({"key": key, "place": F.monotonically_increasing_id()}), "pack-items")).drop("key", "place")
     last = F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("first")))
-    n = pieces.agg(F.count("*")).first()[0]
+    n = rows.agg(F.sum(last + 1)).first()[0] or 0
     groups = max(1, -(-n // group_rows))
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "total"), F.lit(groups)))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "total", "number"), F.lit(groups)))
 
     kind = items.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, first long, size long, source string, bin_id string, bin_offset long"
@@ -88,7 +90,7 @@ def pack(items: DataFrame, capacity: int = 2048, distinct_sources: bool = True,
         out = out.append_column("bin_id", pa.array([f"{number}-{b}" for b in bins] + none, pa.string()))
         return out.append_column("bin_offset", pa.array(offsets + none, pa.int64()))
 
-    return pieces.drop("total").groupBy("g").applyInArrow(run, schema)
+    return pieces.drop("total", "number").groupBy("g").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, distinct_sources: bool = True) -> DataFrame:

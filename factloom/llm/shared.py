@@ -8,16 +8,15 @@ from pyspark.sql.window import Window
 
 from factloom.sources.scratch import listed, remove, shared_dir, written
 
-__all__ = ["SEPARATORS", "cut", "listed", "positions", "remove", "running_totals", "shared_dir", "small_join", "written"]
+__all__ = ["SEPARATORS", "cut", "listed", "numbered", "positions", "remove", "running_totals", "shared_dir", "small_join", "written"]
 
 #: Separators of words: space and \t \n \v \f \r, and nothing else.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small tables that several jobs read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` without its lineage, for small tables that several jobs read: a scratch table that can be removed, unlike a checkpoint."""
+    return written(df, "cut")
 
 
 def running_totals(parts: DataFrame, part: str, value: str, out: str) -> DataFrame:
@@ -43,3 +42,19 @@ def small_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "in
     Beyond that the join is left to Spark's shuffle joins, whose skewed partitions AQE splits.
     """
     return large.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    """``items`` (a written table with ``key`` and ``place``) with ``number``: of rows with one key 0, 1, ...; of others 0.
+
+    ``place`` is a ``monotonically_increasing_id``. Numbers run through a partition and then on to the next one, so a key of any size is never one window.
+    """
+    again = items.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    if again.isEmpty():
+        return items.withColumn("number", F.lit(0).cast("long"))
+    rows = small_join(items.select("key", "place"), again, ["key"], "left_semi").withColumn("part", F.shiftright("place", 33))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("place")) - 1
+    rows = rows.withColumn("inside", inside).join(parts, ["key", "part"]).select("place", (F.col("inside") + F.col("ahead")).alias("number"))
+    return small_join(items, written(rows, "numbers"), ["place"], "left").withColumn("number", F.coalesce("number", F.lit(0)).cast("long"))

@@ -36,6 +36,7 @@ from factloom.llm.wordbytes import Chunk, chunks, mixed, word_span_hashes
 
 WINDOW, GRAM = 20, 6
 HOT_SAMPLE, HOT_LEAST = 20_000, 8
+MOST_HOT = 1 << 16  # anchors in many blocks that workers know
 _INDEX = np.uint64((1 << 28) - 1)  # of words in a chunk
 _SEEN = "route long, anchor long, block long, doc long, sub long, pos int, settled boolean"
 
@@ -90,7 +91,7 @@ def _batch(one, two, doc, sub, pos, route) -> pa.RecordBatch:
 
 
 def _hot_anchors(keyed: DataFrame, window: int, k: int, sample: int, least: int) -> np.ndarray:
-    """Sorted: anchors with two blocks or more that occur ``least`` times in about ``sample`` rows."""
+    """Sorted: anchors with two blocks or more that occur ``least`` times in about ``sample`` rows; ``MOST_HOT`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +103,8 @@ def _hot_anchors(keyed: DataFrame, window: int, k: int, sample: int, least: int)
     some = keyed.select("text").sample(min(1.0, sample / n), seed=7) if n else keyed.select("text")
     per = some.mapInArrow(run, "anchor long, block long").groupBy("anchor")
     hot = per.agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where((F.col("n") >= least) & (F.col("low") < F.col("high")))
-    return np.sort(hot.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+    # they only balance work, so the most frequent will do
+    return np.sort(hot.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -563,3 +563,19 @@ def test_kept_texts_have_the_digest_of_their_words(spark):
     df = spark.createDataFrame([(1, " a\tb \n c ")], "doc_id long, text string")
     row = substring.remove_repeats(df).select(F.sha2("kept_text", 256).alias("h")).first()
     assert row.h == sha256(b"a b c").hexdigest()
+
+
+def test_equal_rows_in_bulk_are_spread(spark):
+    """Rows without an id that are equal in everything: a third of the table in no one group or range."""
+    rows = [(None, "one two three four", None, "s", 0)] * 12_000 + [(i, f"own text {i}", None, "t", 0) for i in range(100)]
+    got = packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), distinct_sources=False)
+    groups = got.groupBy(F.substring_index("bin_id", "-", 1).alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 12_100 and max(r["count"] for r in groups) < 6_000
+    urls = [(None, "http://www.example.com/en/7")] * 6_000 + [(i, f"http://h{i}.org/es/x") for i in range(12_000)]
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("org", "/es/", "block")], "host string, path string, verdict string")
+    judged = urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, ranges=12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = [r["count"] for r in judged.where("page_id is null").groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 6_000 and max(tasks) < 5_000
+    assert judged.groupBy("rule", "verdict").count().orderBy("rule").collect() == [("example.com/en/7", "allow", 6_000), ("org/es/", "block", 12_000)]

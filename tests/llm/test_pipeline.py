@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,7 +175,11 @@ def test_run_matches_brute_force(spark, tmp_path):
 
     got = defaultdict(list)
     bins = defaultdict(list)
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+    scratch = Path(spark.conf.get("spark.checkpoint.dir")) / "factloom"
+    there = set(scratch.glob("*"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.name.split("-")[0] for p in set(scratch.glob("*")) - there} == {"pipeline"}  # no scratch table stays
+    for r in rows:
         got[r.doc_id].append((r.piece, r.size))
         bins[r.bin_id].append(r)
     size = {r[0]: len(words(r[1])) for r in left}
@@ -183,7 +188,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     }
     for b in bins.values():
         assert sum(r.size for r in b) <= 2048 and len({r.source for r in b}) == len(b)
-    assert not corpus_pipeline._scratch
+    assert not corpus_pipeline._scratch.get()
 
 
 def test_stages_take_odd_rows_and_none(spark):
