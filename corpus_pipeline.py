@@ -9,13 +9,15 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import mixing, packing, quality, shinglesets, substring
 from factloom.llm.shared import listed, remove, shared_dir
 
-_scratch: list[str] = []
+#: Paths of scratch tables: each run has a list of its own, stages that are called singly share one.
+_scratch: ContextVar[list[str]] = ContextVar("scratch of a run", default=[])  # noqa: B039
 
 
 def _stage(f: Callable) -> Callable:
@@ -23,8 +25,8 @@ def _stage(f: Callable) -> Callable:
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _scratch)
-        with listed(_scratch):
+        remove(spark, _scratch.get())
+        with listed(_scratch.get()):
             return f(spark, docs, sf_dir)
 
     return run
@@ -75,10 +77,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in ``sf_dir``."""
+    before = _scratch.set([])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/factloom/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    remove(spark, _scratch)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    finally:
+        remove(spark, _scratch.get())
+        _scratch.reset(before)
     return docs

@@ -37,12 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def listed(paths: list[str]) -> Iterator[None]:
-    """While it is open, the paths of ``written`` tables are added to ``paths``."""
+    """While it is open, the paths of ``written`` tables are added to ``paths``; those still there then go to the list around it."""
     before = _listed.set(paths)
     try:
         yield
     finally:
         _listed.reset(before)
+        if (around := _listed.get()) is not None:
+            around += [p for p in paths if p not in around]
 
 
 def remove(spark: SparkSession, paths: list[str], *labels: str) -> None:
