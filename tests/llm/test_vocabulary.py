@@ -52,11 +52,11 @@ def brute_divergence(rows, least, most):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [audit.BLOCK_TERMS, 7])
+@pytest.mark.parametrize("block", [audit.BLOCK_TERMS, 40])
 def test_divergence_is_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(audit, "BLOCK_TERMS", block)
-    monkeypatch.setattr(audit, "PASS_BYTES", 1000 if block == 7 else audit.PASS_BYTES)  # several blocks and passes
-    rows = prose(random.Random(11), 400) + ROWS
+    monkeypatch.setattr(audit, "PASS_BYTES", 4000 if block == 40 else audit.PASS_BYTES)  # several blocks and passes
+    rows = prose(random.Random(11), 300) + ROWS
     assert rows_of(audit.divergence(odd_docs(spark, rows), 5, 6)) == brute_divergence(rows, 5, 6)
 
 
