@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.text import blank, evidence, filled, first_text, trimmed
+from factloom.functions.text import blank, evidence, filled, first_text, trimmed, unused
 
 ITEM = """struct<title: string, name: string, url: string, link: string, href: string, permalink: string, tweetUrl: string,
   excerpt: string, snippet: string, desc: string, description: string, content: string, selftext: string,
@@ -194,31 +193,29 @@ def last_sources(sources: DataFrame, n: int) -> DataFrame:
 def interleave(batches: DataFrame, max_results: int = 8, question: str = "question") -> DataFrame:
     """Round robin over a question's batches, ``batch`` in turn: ``position`` (from 1) of each item that is taken.
 
-    In its turn a batch gives its next item whose trimmed URL hasn't been given; items without URL are never
-    repeats. Which item comes next depends on all before it, so a question's batches are folded in order;
-    they are a few search results.
+    In its turn a batch gives its next item (by item_index) whose trimmed URL hasn't been given; items without URL are
+    never repeats. Of a batch only the first 2 x ``max_results`` different ones can matter: it gives that many at
+    most, and passes over no more that others gave. The turns are folded over those in one expression.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["batch", "item_index"]).reset_index(drop=True)
-        queues = [list(group.index) for _, group in pdf.groupby("batch", sort=True)]
-        urls = pdf["url"].fillna("").str.strip()
-        seen, taken = set(), []
-        while any(queues) and len(taken) < max_results:
-            for queue in queues:
-                while queue and len(taken) < max_results:
-                    i = queue.pop(0)
-                    if urls[i] and urls[i] in seen:
-                        continue
-                    seen.add(urls[i])
-                    taken.append(i)
-                    break
-        out = pdf.loc[taken].copy()
-        out["position"] = range(1, len(out) + 1)
-        return out
-
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in batches.dtypes)}, position int"
-    return batches.groupBy(question).applyInPandas(fold, schema)
+    url, n = F.coalesce(trimmed("url"), F.lit("")), unused(batches, "n")
+    rows = batches.select(question, "batch", url.alias("u"), F.col("item_index").alias("i"), F.struct(*batches.columns).alias("row"))
+    order = ("i", F.to_json("row"))
+    first = F.row_number().over(Window.partitionBy(question, "batch", "u").orderBy(*order))
+    rows = rows.where("u <> ''").withColumn(n, first).where(F.col(n) == 1).unionByName(rows.where("u = ''").withColumn(n, F.lit(1)))
+    early = F.row_number().over(Window.partitionBy(question, "batch").orderBy(*order))
+    rows = rows.withColumn("i", early).where(F.col("i") <= 2 * max_results)
+    queues = rows.groupBy(question, "batch").agg(F.array_sort(F.collect_list(F.struct("i", "u", "batch", "row"))).alias("queue"))
+    turns = queues.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("batch", "queue"))).alias("turns"))
+    # each round every batch has its turn
+    turns = turns.withColumn("turns", F.flatten(F.array_repeat(F.transform("turns", lambda t: t["queue"]), max_results)))
+    kind = turns.schema["turns"].dataType.elementType.simpleString()
+
+    def turn(taken: Column, queue: Column) -> Column:
+        given = lambda x: F.exists(taken, lambda t: ((x["u"] != "") & (t["u"] == x["u"])) | (t["batch"].eqNullSafe(x["batch"]) & (t["i"] == x["i"])))
+        return F.when(F.size(taken) < max_results, F.concat(taken, F.slice(F.filter(queue, lambda x: ~given(x)), 1, 1))).otherwise(taken)
+
+    taken = turns.select(F.posexplode(F.aggregate("turns", F.array().cast(kind), turn)).alias("position", "t"))
+    return taken.select("t.row.*", (F.col("position") + 1).alias("position"))
 
 
 def enrichment_candidates(sources: DataFrame, per_finding: int = 8, total: int = 24) -> DataFrame:
@@ -226,27 +223,29 @@ def enrichment_candidates(sources: DataFrame, per_finding: int = 8, total: int =
 
     Blank URLs and those chosen before are passed over; a finding gives ``per_finding`` at most, and none once
     the findings before it have given ``total`` pages that could be read (``fetch_status`` ok). The choice
-    depends on the ones before, so each run's iteration is folded in order.
+    depends on the ones before, so a run's iteration is folded in order, over what can matter: of a finding each URL
+    once, and none after ``per_finding`` that no earlier finding has.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["finding_index", "source_index"]).reset_index(drop=True)
-        seen, read = set(), 0
-        chosen = [False] * len(pdf)
-        for _, group in pdf.groupby("finding_index", sort=True):
-            if read >= total:
-                break
-            here = 0
-            for i in group.index:
-                url = (pdf.at[i, "url"] or "").strip()
-                if here == per_finding:
-                    break
-                if url and url not in seen:
-                    seen.add(url)
-                    chosen[i], here = True, here + 1
-                    read += pdf.at[i, "fetch_status"] == "ok"
-        pdf["chosen"] = chosen
-        return pdf
-
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in sources.dtypes)}, chosen boolean"
-    return sources.groupBy("run_id", "iteration").applyInPandas(fold, schema)
+    group = ["run_id", "iteration"]
+    at = [*group, "finding_index"]
+    same, sure, known, mark = (unused(sources, c) for c in ("same", "sure", "u", "mark"))
+    rows = sources.withColumn(known, F.coalesce(trimmed("url"), F.lit("")))
+    first = Window.partitionBy(*at, known).orderBy("source_index", F.coalesce("fetch_status", F.lit("")))
+    rows = rows.withColumn(same, F.row_number().over(first))
+    one = rows.where((F.col(known) != "") & (F.col(same) == 1)).select(*at, "source_index", F.col(known).alias("u"), (F.col("fetch_status") == "ok").alias("ok"))
+    one = one.withColumn("sure", (F.min("finding_index").over(Window.partitionBy(*group, "u")) == F.col("finding_index")).cast("int"))
+    before = Window.partitionBy(*at).orderBy("source_index", "u").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("sure", F.coalesce(F.sum("sure").over(before), F.lit(0))).where(F.col("sure") < per_finding)
+    lists = one.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("source_index", "u", F.coalesce("ok", F.lit(False)).alias("ok"), "finding_index"))).alias("items"))
+    lists = lists.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("finding_index", "items"))).alias("findings"))
+    kind = lists.schema["findings"].dataType.elementType["items"].dataType.simpleString()
+
+    def choose(chosen: Column, finding: Column) -> Column:
+        new = F.filter(finding["items"], lambda x: ~F.exists(chosen, lambda c: c["u"] == x["u"]))
+        read = F.size(F.filter(chosen, lambda c: c["ok"]))
+        return F.when(read < total, F.concat(chosen, F.slice(new, 1, per_finding))).otherwise(chosen)
+
+    chosen = lists.select(*group, F.explode(F.aggregate("findings", F.array().cast(kind), choose)).alias("c"))
+    chosen = chosen.select(*group, "c.finding_index", F.col("c.source_index").alias("source_index"), F.col("c.u").alias(known), F.lit(True).alias(mark))
+    rows = rows.join(chosen, [*at, "source_index", known], "left")
+    return rows.select(*sources.columns, (F.coalesce(mark, F.lit(False)) & (F.col(same) == 1)).alias("chosen"))

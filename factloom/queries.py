@@ -404,14 +404,52 @@ def _(v):
     return sources.last_sources(v["f_sources"], 12).select("run_id", "doc_id", "number")
 
 
-@query("w6_interleave")
+@query("w6_interleave", f"""
+    WITH RECURSIVE items AS (
+        SELECT run_id, coalesce(fetch_status, 'none') AS batch, doc_id, coalesce({TRIM("url")}, '') AS u FROM f_sources
+    ), queues AS (
+        SELECT run_id, batch, list(struct_pack(d := doc_id, u := u) ORDER BY doc_id) AS q FROM items GROUP BY ALL
+    ), turns AS (
+        SELECT run_id, list(q ORDER BY batch) AS qs FROM queues GROUP BY run_id
+    ), fold AS (
+        SELECT run_id, qs, 0 AS step, CAST([] AS STRUCT(d BIGINT, u VARCHAR)[]) AS taken FROM turns
+        UNION ALL
+        SELECT run_id, qs, step + 1,
+               taken || list_filter(qs[step % len(qs) + 1], lambda x: len(list_filter(taken, lambda t: t.d = x.d OR (x.u <> '' AND t.u = x.u))) = 0)[1:1]
+        FROM fold WHERE step < 8 * len(qs) AND len(taken) < 8
+    ), last AS (
+        SELECT run_id, taken FROM fold QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step DESC) = 1
+    ), placed AS (
+        SELECT run_id, unnest(taken) AS t, CAST(generate_subscripts(taken, 1) AS INTEGER) AS position FROM last
+    )
+    SELECT s.run_id AS question, coalesce(fetch_status, 'none') AS batch, doc_id AS item_index, url, position
+    FROM placed p JOIN f_sources s ON s.run_id = p.run_id AND s.doc_id = t.d""")
 def _(v):
     """Every source as an item, in batches by how it was fetched."""
     batch = F.coalesce("fetch_status", F.lit("none")).alias("batch")
     return sources.interleave(v["f_sources"].select(F.col("run_id").alias("question"), batch, F.col("doc_id").alias("item_index"), "url"), 8)
 
 
-@query("w8_enrichment_candidates")
+@query("w8_enrichment_candidates", f"""
+    WITH RECURSIVE told AS (
+        SELECT s.run_id, iteration, s.finding_index, source_index, url, fetch_status, coalesce({TRIM("url")}, '') AS u FROM f_sources s JOIN f_findings f USING (run_id, finding_index)
+    ), ordered AS (
+        SELECT run_id, iteration, list(l ORDER BY finding_index) AS ls FROM (
+            SELECT run_id, iteration, finding_index,
+                   list(struct_pack(f := finding_index, s := source_index, u := u, ok := coalesce(fetch_status = 'ok', false)) ORDER BY source_index) AS l
+            FROM (SELECT * FROM told WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY run_id, iteration, finding_index, u ORDER BY source_index) = 1)
+            GROUP BY ALL) GROUP BY ALL
+    ), fold AS (
+        SELECT run_id, iteration, ls, 0 AS step, CAST([] AS STRUCT(f INTEGER, s INTEGER, u VARCHAR, ok BOOLEAN)[]) AS chosen FROM ordered
+        UNION ALL
+        SELECT run_id, iteration, ls, step + 1, CASE WHEN len(list_filter(chosen, lambda c: c.ok)) >= 6 THEN chosen
+               ELSE chosen || list_filter(ls[step + 1], lambda x: len(list_filter(chosen, lambda c: c.u = x.u)) = 0)[1:3] END
+        FROM fold WHERE step < len(ls)
+    ), picked AS (
+        SELECT run_id, iteration, unnest(chosen) AS c FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY run_id, iteration ORDER BY step DESC) = 1)
+    )
+    SELECT t.run_id, t.iteration, finding_index, source_index, url, fetch_status, p.run_id IS NOT NULL AS chosen
+    FROM told t LEFT JOIN picked p ON p.run_id = t.run_id AND p.iteration = t.iteration AND c.f = finding_index AND c.s = source_index""")
 def _(v):
     rows = v["f_sources"].join(v["f_findings"].select("run_id", "finding_index", "iteration"), ["run_id", "finding_index"])
     return sources.enrichment_candidates(rows.select("run_id", "iteration", "finding_index", "source_index", "url", "fetch_status"), 3, 6)

@@ -90,4 +90,6 @@ def with_views(query: str) -> str:
     made = {name: text.format(**names) for name, text in (VIEWS | {"f_reports": REPORT}).items()}
     query = query.strip()
     clauses = ", ".join(f"{name} AS ({text})" for name, text in made.items())
+    if query.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {clauses}, {query[14:].lstrip()}"
     return f"WITH {clauses}" + (", " + query[4:].lstrip() if query.upper().startswith("WITH") else f" {query}")
