@@ -142,15 +142,17 @@ def add_dedup_id(sources: DataFrame) -> DataFrame:
 def dedupe_sources(sources: DataFrame) -> DataFrame:
     """The first source of each URL (else title and snippet) of a run, by finding and place."""
     key = F.coalesce(filled("url"), F.concat_ws(":", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
-    first = Window.partitionBy("run_id", "_key").orderBy("finding_index", "source_index")
-    return sources.withColumn("_key", key).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_key", "_n")
+    n = unused(sources, "n")
+    first = Window.partitionBy("run_id", key).orderBy("finding_index", "source_index")
+    return sources.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
 
 
 def clean_questions(questions: DataFrame, order: str = "position") -> DataFrame:
     """Trimmed questions of each run without blank ones and later repeats."""
     rows = questions.withColumn("question", trimmed("question")).where("question <> ''")
+    n = unused(rows, "n")
     first = Window.partitionBy("run_id", "question").orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return rows.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
 
 
 def question_counts(questions: DataFrame) -> DataFrame:
@@ -186,7 +188,8 @@ def last_sources(sources: DataFrame, n: int) -> DataFrame:
     """Of each run the last n sources, numbered in order."""
     back = Window.partitionBy("run_id").orderBy(F.desc("finding_index"), F.desc("source_index"))
     order = Window.partitionBy("run_id").orderBy("finding_index", "source_index")
-    kept = sources.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= n).drop("_n")
+    place = unused(sources, "place")
+    kept = sources.withColumn(place, F.row_number().over(back)).where(F.col(place) <= n).drop(place)
     return kept.withColumn("number", F.row_number().over(order))
 
 

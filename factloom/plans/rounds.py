@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import block_of, clipped, evidence, filled, ordered, trimmed
 from factloom.operators.pages import retrieve
-from factloom.operators.sources import clean_questions, dedupe_sources, last_sources, union_rounds
+from factloom.operators.sources import clean_questions, dedupe_sources, enrichment_candidates, last_sources, union_rounds
 from factloom.sources.scratch import written
 
 NO_SOURCES = "No sources were found."
@@ -215,27 +215,61 @@ def search_round(questions: DataFrame, corpus: DataFrame | None = None, search:
 
 
 Strategy = Callable[..., tuple[DataFrame, DataFrame]]
-_strategies: dict[str, tuple[Strategy, str]] = {}
+_strategies: dict[str, tuple[Strategy, str, bool]] = {}
 
 
-def register_strategy(name: str, run: Strategy, label: str = "") -> None:
-    """A collection strategy by name: (queries, ask, search, iterations, count) -> findings, sources."""
-    _strategies[name] = (run, label or name)
+def register_strategy(name: str, run: Strategy, label: str = "", reads: bool = False) -> None:
+    """A collection strategy by name: (queries, ask, search, iterations, count) -> findings, sources.
+
+    One that ``reads`` has pages read in each round, and sources judged after the last.
+    """
+    _strategies[name] = (run, label or name, reads)
 
 
 def list_strategies() -> list[tuple[str, str]]:
-    return sorted((name, label) for name, (_, label) in _strategies.items())
+    return sorted((name, label) for name, (_, label, _) in _strategies.items())
 
 
-def run_rounds(queries: DataFrame, strategy: str, ask: Callable, search: Callable, iterations: int = 2, count: int = 3) -> tuple[DataFrame, DataFrame]:
+def run_rounds(
+    queries: DataFrame, strategy: str, ask: Callable, search: Callable, iterations: int = 2, count: int = 3,
+    read: Callable[[DataFrame], DataFrame] | None = None, judge: Callable[[DataFrame], DataFrame] | None = None,
+    per_finding: int = 8, total: int = 24, max_sources: int = 30,
+) -> tuple[DataFrame, DataFrame]:
     """Findings with ``iteration`` and sources of a strategy over all ``queries`` (run_id, query) at once.
 
     ``ask(queries with context, count)`` gives run_id, position and question; ``search(questions)`` what
     ``search_round`` gives. The loop is over rounds; each round is a job over all runs.
+
+    Of strategies that read: ``read(urls)`` gives the page text of a round's URLs, which goes to the sources that
+    ``enrichment_candidates`` chooses in that round, and so into the next one's context. ``judge(sources)`` gives
+    decisions for all sources; those of the run's ``max_sources`` best stay, and findings that keep one or failed.
     """
     if strategy not in _strategies:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(n for n, _ in list_strategies())}")
-    return _strategies[strategy][0](queries, ask, search, iterations, count)
+    run, _, reads = _strategies[strategy]
+    if not reads:
+        return run(queries, ask, search, iterations, count)
+    findings, sources = run(queries, ask, _reading(search, read, per_finding, total) if read else search, iterations, count)
+    if judge is None:
+        return findings, sources
+    kept = filter_by_relevance(sources, judge(sources), max_sources)
+    return findings_left(findings, kept), kept
+
+
+def _reading(search: Callable, read: Callable[[DataFrame], DataFrame], per_finding: int, total: int) -> Callable:
+    """``search`` with the pages read of the sources that a round chooses."""
+
+    def searched(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        findings, sources = search(questions)
+        sources = written(_bare(sources), "round-sources")
+        pages = read(sources.where(filled("url").isNotNull()).select("url").distinct())
+        pages = written(pages, "round-pages")
+        status = pages.groupBy("url").agg(F.when(F.bool_or(F.col("status") == "ok"), "ok").otherwise(F.min("status")).alias("fetch_status"))
+        rows = sources.drop("fetch_status").join(status, "url", "left").withColumn("iteration", F.lit(1))
+        chosen = enrichment_candidates(rows, per_finding, total).drop("iteration").withColumn("fetch_status", F.lit(None).cast("string"))
+        return findings, enrich_sources(chosen, pages, chosen="chosen").drop("chosen")
+
+    return searched
 
 
 def _questions(queries: DataFrame, more: DataFrame | None, with_query: bool) -> DataFrame:
@@ -285,7 +319,7 @@ def _bare(sources: DataFrame) -> DataFrame:
 
 register_strategy("rapid", _rapid, "one round of the query and a few follow-ups")
 register_strategy("parallel", _iterative(lambda s: recent_context(_bare(s), 12, None)), "rounds with the last 12 sources as context")
-register_strategy("source-based", _iterative(lambda s: recent_context(_bare(s), 30, 500)), "rounds with evidence of the last 30 sources as context")
+register_strategy("source-based", _iterative(lambda s: recent_context(_bare(s), 30, 500)), "rounds with evidence of the last 30 sources as context", reads=True)
 
 
 def label_of(strategy: Column) -> Column:

@@ -805,6 +805,23 @@ def _(v):
     return kept["runs"].join(n, "run_id").select("run_id", "query", "strategy", F.col("report_length").cast("bigint").alias("report_length"), "n_findings")
 
 
+@query("s6_read_history", """
+    SELECT 'history' AS part, CAST(run_id AS VARCHAR) AS run_id, CAST(archived_rank AS BIGINT) AS id, status AS text FROM f_runs
+    UNION ALL SELECT 'logs', CAST(run_id AS VARCHAR), id, message FROM f_logs
+    UNION ALL SELECT 'sources', CAST(run_id AS VARCHAR), finding_index * 1000 + source_index, url FROM f_sources""")
+def _(v):
+    """The three tables written under their stored names, and read."""
+    base = f"{shared_dir(v.spark)}/factloom/history-{uuid.uuid4().hex}"
+    own = F.col("run_id").cast("string")
+    v["f_runs"].select(own.alias("id"), "status", F.col("archived_rank").cast("bigint").alias("created_at")).write.parquet(f"{base}/history")
+    v["f_logs"].select("id", own.alias("research_id"), "message").write.parquet(f"{base}/logs")
+    v["f_sources"].select((F.col("finding_index") * 1000 + F.col("source_index")).cast("bigint").alias("id"), own.alias("research_id"), "url").write.parquet(f"{base}/history_sources")
+    made = files.read_history(v.spark, base)
+    rows = [("history", "created_at", "status"), ("logs", "id", "message"), ("history_sources", "id", "url")]
+    parts = [made[n].select(F.lit(n.removeprefix("history_")).alias("part"), "run_id", F.col(i).alias("id"), F.col(t).alias("text")) for n, i, t in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("w9_history_list", "SELECT run_id, status, archived_rank AS created_at FROM f_runs")
 def _(v):
     return archive.history_list(v["f_runs"].select("run_id", "status", F.col("archived_rank").alias("created_at")))
@@ -914,6 +931,22 @@ def _(v):
     return wiki_inputs(v)[0].select("id", "run_id", "title", "url", "content", F.col("content_length").cast("bigint").alias("content_length"), "has_content", "kind")
 
 
+@query("j10_missing_runs", "SELECT DISTINCT doc_id AS run_id, 'run not found' AS error FROM documents WHERE doc_id NOT IN (SELECT run_id FROM f_runs)")
+def _(v):
+    """Every document's id is asked for as a run's."""
+    return wiki.missing_runs(v.table("documents").select(F.col("doc_id").alias("run_id")).distinct(), v["f_runs"])
+
+
+@query("j10_run_reports", """
+    SELECT run_id, CASE WHEN run_id % 2 = 0 THEN coalesce(report, 'of the file ' || run_id) WHEN run_id % 3 = 0 THEN 'of the file ' || run_id ELSE '' END AS report
+    FROM f_runs LEFT JOIN f_reports USING (run_id)""")
+def _(v):
+    """Reports of runs with even ids are in the archive; those of others, of every third, in a file."""
+    reports = v["f_reports"].select("run_id", F.when(F.col("run_id") % 2 == 0, F.col("report")).otherwise("").alias("report"))
+    known = v["f_runs"].where("run_id % 2 = 0 OR run_id % 3 = 0").select("run_id", F.concat(F.lit("of the file "), F.col("run_id").cast("string")).alias("text"))
+    return wiki.run_reports(v["f_runs"], reports, known)
+
+
 @query("a5_group_sources", f"""
     WITH {WIKI} SELECT run_id, count(*) AS n_sources, string_agg(concat_ws('|', i, id, title, url, content), {N} ORDER BY i) AS sources FROM wiki_sources GROUP BY run_id""")
 def _(v):
@@ -1202,6 +1235,65 @@ def _(v):
     return out
 
 
+@query("l2_rounds_that_read", f"""
+    WITH {CORPUS}, runs AS (SELECT * FROM f_runs WHERE run_id % 10 = 0 AND strategy = 'source-based'),
+    {CLEANED("first_asked", "SELECT run_id, finding_index AS position, question FROM f_findings WHERE run_id IN (SELECT run_id FROM runs) AND finding_index <= 2")},
+    {FOUND("first_found", "first_asked", 3)},
+    {CLEANED("next_asked", """SELECT run_id, finding_index AS position, question FROM f_findings
+        WHERE run_id IN (SELECT run_id FROM runs) AND finding_index = CASE WHEN run_id IN (SELECT run_id FROM first_found) THEN 3 ELSE 2 END""")},
+    {FOUND("next_found", "next_asked", 3)}, ahead AS (SELECT run_id, max(finding_index) AS n FROM first_asked GROUP BY run_id), found AS (
+        SELECT 1 AS iteration, finding_index AS local, * FROM first_found
+        UNION ALL SELECT 2, finding_index, run_id, finding_index + n, source_index, title, url, snippet FROM next_found JOIN ahead USING (run_id)
+    ), read AS (
+        SELECT f.*, doc_id, text, CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'ok' END AS status FROM found f JOIN documents ON url = 'docs/' || doc_id
+    ), ones AS (SELECT *, status = 'ok' AS good FROM read WHERE local = 1 AND source_index <= 2), twos AS (
+        SELECT r.iteration, r.run_id, r.local, r.url, row_number() OVER (PARTITION BY r.iteration, r.run_id ORDER BY r.source_index) AS place
+        FROM read r WHERE local = 2 AND NOT EXISTS (SELECT 1 FROM ones o WHERE o.iteration = r.iteration AND o.run_id = r.run_id AND o.url = r.url)
+          AND (SELECT count(*) FILTER (good) FROM ones o WHERE o.iteration = r.iteration AND o.run_id = r.run_id) < 2
+    ), chosen AS (
+        SELECT iteration, run_id, local, url FROM ones UNION ALL SELECT iteration, run_id, local, url FROM twos WHERE place <= 2
+    ), enriched AS (
+        SELECT r.*, c.url IS NOT NULL AS asked FROM read r LEFT JOIN chosen c ON c.iteration = r.iteration AND c.run_id = r.run_id AND c.local = r.local AND c.url = r.url
+    ), best AS (
+        SELECT run_id, url, row_number() OVER (PARTITION BY run_id ORDER BY doc_id % 10 DESC, finding_index, source_index) AS place
+        FROM (SELECT * FROM enriched QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY finding_index, source_index) = 1) WHERE doc_id % 3 <> 0
+    )
+    SELECT e.run_id, e.finding_index, iteration, source_index, e.url, CASE WHEN asked AND status = 'ok' THEN text END AS content,
+           CASE WHEN asked THEN status END AS fetch_status, CASE WHEN asked AND status = 'failed' THEN 'gone' END AS fetch_error, (doc_id % 10) / 10.0::DOUBLE AS score
+    FROM enriched e JOIN best b ON b.run_id = e.run_id AND b.url = e.url AND place <= 4""")
+def _(v):
+    """Two rounds of every source-based run whose id is divisible by 10: pages are read in each, two a finding, and sources judged at the end."""
+    asked = v["f_runs"].where("run_id % 10 = 0 AND strategy = 'source-based'").select("run_id", "query")
+    later = v["f_findings"].select("run_id", F.col("finding_index").alias("position"), "question")
+    number = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+
+    def ask(told: DataFrame, count: int) -> DataFrame:
+        passed = F.when(F.col("context") == "", 1).otherwise(1 + count)
+        rows = later.join(told.select("run_id", "context"), "run_id")
+        return rows.where((F.col("position") > passed) & (F.col("position") <= passed + count)).drop("context")
+
+    def read(urls: DataFrame) -> DataFrame:
+        failed = number % 4 == 3
+        pages = urls.join(_corpus(v).withColumnRenamed("path", "url"), "url")
+        return pages.select("url", F.lit(None).cast("string").alias("title"), "content", F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "gone").alias("error"))
+
+    def judge(found: DataFrame) -> DataFrame:
+        return found.select("run_id", "url").distinct().select("run_id", "url", (number % 3 != 0).alias("keep"), (number % 10 / 10).alias("score"), F.lit("").alias("reason"))
+
+    findings, found = rounds.run_rounds(
+        asked, "source-based", ask, lambda q: rounds.search_round(q, _corpus(v), k=3), count=1, read=read, judge=judge, per_finding=2, total=2, max_sources=4
+    )
+    rows = found.join(findings.select("run_id", "finding_index", "iteration"), ["run_id", "finding_index"])
+    return rows.select("run_id", "finding_index", "iteration", "source_index", "url", "content", "fetch_status", "fetch_error", "score")
+
+
+@query("u3_strategy_labels", """
+    SELECT run_id, CASE strategy WHEN 'rapid' THEN 'one round of the query and a few follow-ups' WHEN 'parallel' THEN 'rounds with the last 12 sources as context'
+           ELSE 'rounds with evidence of the last 30 sources as context' END AS label FROM f_runs""")
+def _(v):
+    return v["f_runs"].select("run_id", rounds.label_of(F.col("strategy")).alias("label"))
+
+
 @query("d4_union_rounds", "SELECT run_id, finding_index, CASE WHEN iteration = 1 THEN 1 ELSE 2 END AS iteration FROM f_findings")
 def _(v):
     rows = v["f_findings"]
@@ -1222,11 +1314,14 @@ def _events(v: Views) -> DataFrame:
 
 
 @query("st1_progress", """
-    SELECT event_id, CAST(CASE event_id % 10 WHEN 0 THEN 5 WHEN 1 THEN base WHEN 2 THEN base + 5 WHEN 3 THEN 25 + floor(done * 45 + 0.5) WHEN 4 THEN base + 5 + floor(done * 50 / 3 + 0.5)
+    SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'Research started' WHEN 1 THEN 'Generating research questions' WHEN 2 THEN 'Running 5 searches' WHEN 3 THEN 'Search complete: ' || event_type
+               WHEN 4 THEN 'Completed ' || event_id % 6 || '/5 searches for iteration ' || (event_id % 3 + 1) WHEN 5 THEN 'Enriching sources for iteration ' || (event_id % 3 + 1) || '/3'
+               WHEN 6 THEN 'Filtering sources for relevance' WHEN 7 THEN 'Synthesizing report' WHEN 8 THEN 'Research complete' ELSE 'Research progress: other' END AS message,
+           CAST(CASE event_id % 10 WHEN 0 THEN 5 WHEN 1 THEN base WHEN 2 THEN base + 5 WHEN 3 THEN 25 + floor(done * 45 + 0.5) WHEN 4 THEN base + 5 + floor(done * 50 / 3 + 0.5)
         WHEN 5 THEN base + 8 WHEN 6 THEN 75 WHEN 7 THEN 80 WHEN 8 THEN 100 END AS INTEGER) AS progress
-    FROM (SELECT event_id, 10 + floor((event_id % 3) / 3.0 * 60 + 0.5) AS base, (event_id % 6) / 5.0 AS done FROM events)""")
+    FROM (SELECT event_id, event_type, 10 + floor((event_id % 3) / 3.0 * 60 + 0.5) AS base, (event_id % 6) / 5.0 AS done FROM events)""")
 def _(v):
-    return feeds.progress_from_events(_events(v)).select("event_id", "progress")
+    return feeds.progress_from_events(_events(v)).select("event_id", "message", "progress")
 
 
 @query("st2_latest_status", """

@@ -313,3 +313,37 @@ def test_lifecycle_keeps_what_nulls_leave(spark):
     df = frame(spark, rows, "id int, run_id string, status string, report string, error string").withColumn("created_at", F.to_timestamp(F.lit(DAY)))
     row = feeds.run_lifecycle(df).first()
     assert (row.status, row.report, row.error) == ("completed", "x", None) and row.completed_at is not None
+
+
+def test_users_columns_of_any_name_stay(spark):
+    rows = [("r", 1, 1, "http://a", "t", "s"), ("r", 1, 2, "http://a", "t", "s"), ("r", 2, 1, "http://b", "t", "s")]
+    df = frame(spark, rows, "run_id string, finding_index int, source_index int, url string, title string, snippet string")
+    df = df.withColumns({c: F.lit("own") for c in ("n", "_n", "_key", "place", "u", "same", "mark", "row")})
+    for got in (sources.dedupe_sources(df), sources.last_sources(df, 2), sources.enrichment_candidates(df.withColumn("iteration", F.lit(1)).withColumn("fetch_status", F.lit("ok")))):
+        assert set(df.columns) <= set(got.columns) and {r["_n"] + r["n"] + r["_key"] + r["place"] for r in got.collect()} == {"own" * 4}
+    taken = sources.interleave(df.withColumnsRenamed({"run_id": "question", "finding_index": "batch", "source_index": "item_index"}))
+    assert [(r.url, r.position, r.row) for r in taken.orderBy("position").collect()] == [("http://a", 1, "own"), ("http://b", 2, "own")]
+
+
+def test_rounds_read_pages_and_judge_sources(spark):
+    queries = frame(spark, [("r", "whales of the north")], "run_id string, query string")
+    corpus = frame(spark, [(f"p{i}", f"Whales of the north sing, part {i}.") for i in range(4)], "path string, content string")
+    seen = []
+
+    def ask(told, n):
+        seen.append(told.first().context)
+        return told.select("run_id", F.lit(1).alias("position"), F.lit("whales sing").alias("question"))
+
+    def read(urls):
+        failed = F.col("url") == "p1"
+        return urls.select("url", F.lit(None).cast("string").alias("title"), F.concat(F.lit("page of "), "url").alias("content"), F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "gone").alias("error"))
+
+    judge = lambda found: found.select("run_id", "url").distinct().select("run_id", "url", (F.col("url") != "p2").alias("keep"), F.lit(0.9).alias("score"), F.lit("").alias("reason"))
+    findings, found = rounds.run_rounds(queries, "source-based", ask, lambda q: rounds.search_round(q, corpus, k=3), read=read, judge=judge, per_finding=2, total=9)
+    got = {(r.finding_index, r.url): (r.content, r.fetch_status, r.fetch_error) for r in found.collect()}
+    # the first finding reads two pages, the second those that are left; p2 isn't kept; the next round begins anew
+    assert got[(1, "p0")] == ("page of p0", "ok", None) and got[(1, "p1")] == (None, "failed", "gone")
+    assert got[(2, "p0")] == (None, None, None) and got[(3, "p0")] == ("page of p0", "ok", None) and not any(url == "p2" for _, url in got)
+    assert findings.count() == 3 and "page of p0" in seen[1] and "page of p2" in seen[1]
+    plain, _ = rounds.run_rounds(queries, "rapid", ask, lambda q: rounds.search_round(q, corpus, k=3), read=read, judge=judge)
+    assert plain.count() == 2
