@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.sources import sqlite
+
 SOURCE = """struct<title: string, url: string, snippet: string, engine: string, content: string, summary: string, fetchStatus: string,
   fetchError: string, relevanceScore: double, relevanceKeep: boolean, relevanceReason: string>"""
 FINDING = f"struct<question: string, iteration: int, error: struct<name: string, message: string>, sources: array<{SOURCE}>>"
@@ -107,8 +109,10 @@ def read_vault(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """history (newest first), logs and history_sources (by id within a run) from Parquet."""
-    read = lambda name: spark.read.parquet(f"{base}/{name}")
+    """history (newest first), logs and history_sources (by id within a run) from Parquet, or from a SQLite file (``.db`` or ``.sqlite``)."""
+    stored = {"history": "research_history", "logs": "research_logs", "history_sources": "sources"}
+    whole = base.endswith((".db", ".sqlite"))
+    read = lambda name: sqlite.read_table(spark, base, stored[name]) if whole else spark.read.parquet(f"{base}/{name}")
     return {
         "history": read("history").withColumnRenamed("id", "run_id").orderBy(F.desc("created_at"), "run_id"),
         "logs": read("logs").withColumnRenamed("research_id", "run_id").orderBy("run_id", "id"),

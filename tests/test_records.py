@@ -1,5 +1,6 @@
 import json
 import random
+import sqlite3
 from collections import Counter
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import archive, pages, sources, wiki
 from factloom.plans import rounds
-from factloom.sources import files, store
+from factloom.sources import files, sqlite, store
 from factloom.streaming import feeds
 
 DAY = "2026-01-01"
@@ -347,3 +348,23 @@ def test_rounds_read_pages_and_judge_sources(spark):
     assert findings.count() == 3 and "page of p0" in seen[1] and "page of p2" in seen[1]
     plain, _ = rounds.run_rounds(queries, "rapid", ask, lambda q: rounds.search_round(q, corpus, k=3), read=read, judge=judge)
     assert plain.count() == 2
+
+
+def test_history_comes_back_from_sqlite(spark, tmp_path):
+    path = tmp_path / "research.db"
+    con = sqlite3.connect(path)
+    con.executescript("""
+        CREATE TABLE research_history (id TEXT PRIMARY KEY, query TEXT, status TEXT, strategy TEXT, report TEXT, error TEXT, created_at TEXT, updated_at TEXT, completed_at TEXT);
+        CREATE TABLE research_logs (id INTEGER PRIMARY KEY AUTOINCREMENT, research_id TEXT, level TEXT, message TEXT, progress INTEGER, created_at TEXT);
+        CREATE TABLE sources (id INTEGER PRIMARY KEY AUTOINCREMENT, research_id TEXT, title TEXT, url TEXT, snippet TEXT, engine TEXT, created_at TEXT);""")
+    con.executemany("INSERT INTO research_history VALUES (?, 'q', 'completed', 'rapid', NULL, NULL, ?, '', NULL)", [("a", "2026-01-01"), ("b", "2026-01-02")])
+    con.executemany("INSERT INTO research_logs (research_id, level, message, progress, created_at) VALUES (?, 'info', ?, ?, '')", [("ab"[i % 2], f"m{i}", i if i % 3 else None) for i in range(10)])
+    con.execute("DELETE FROM research_logs WHERE id IN (4, 5)")
+    con.commit()
+    con.close()
+    got = files.read_history(spark, str(path))
+    assert [(r.run_id, r.report) for r in got["history"].collect()] == [("b", None), ("a", None)]
+    logs = [(r.run_id, r.id, r.message, r.progress) for r in got["logs"].collect()]
+    assert logs == sorted(("ab"[i % 2], i + 1, f"m{i}", i if i % 3 else None) for i in range(10) if i not in (3, 4)) and got["history_sources"].count() == 0
+    parted = sqlite.read_table(spark, str(path), "research_logs", rows=3)
+    assert parted.count() == 8 and parted.rdd.getNumPartitions() == 4
