@@ -213,20 +213,18 @@ _SUFFIX = [f"w{i}" for i in range(LONGEST)]
 
 
 def _suffixes(docs: DataFrame, bloom, hot) -> DataFrame:
-    """``by``, w0.. (0 past its end) and ``n``: suffixes under a frequent pair, equal ones of many chunks as one.
+    """``by``, w0.. (0 past its end) and ``n``: suffixes under a frequent pair, equal ones of a chunk as one.
 
     A suffix ends with its piece, or before the first pair that isn't frequent: no frequent phrase goes on from there.
     ``hot`` has hashes of pairs, of triples and so on; ``by`` tells how many words the suffix is routed by.
     """
 
-    def told(rows: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        w, n = np.concatenate(rows), np.concatenate(counts)
-        order = np.lexsort(w.T[::-1])
-        w, n = w[order], n[order]
+    def told(w: np.ndarray) -> pa.RecordBatch:
+        w = w[np.lexsort(w.T[::-1])]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]).any(axis=1)
         first = np.flatnonzero(new)
-        w, n, by = w[first], np.add.reduceat(n, first), np.full(len(first), 2, np.int8)
+        w, n, by = w[first], np.diff(first, append=len(new)), np.full(len(first), 2, np.int8)
         prefix = _joined(w[:, 0], w[:, 1])
         for i, names in enumerate(hot.value, 2):
             parted = (by == i) & _among(names, prefix)
@@ -235,7 +233,6 @@ def _suffixes(docs: DataFrame, bloom, hot) -> DataFrame:
         return pa.record_batch([pa.array(by), *(pa.array(x.view(np.int64)) for x in w.T.copy()), pa.array(n)], ["by", *_SUFFIX, "n"])
 
     def run(batches):
-        rows, counts = [], []
         for batch in batches:
             for _, h, left in _words(batch):
                 at, pair = _pairs(h, left)
@@ -250,13 +247,7 @@ def _suffixes(docs: DataFrame, bloom, hot) -> DataFrame:
                 for i in range(1, LONGEST):
                     open_ = open_ & goes_on[at + i - 1]
                     w[open_, i] = padded[at[open_] + i]
-                rows.append(w)
-                counts.append(np.ones(len(w), np.int64))
-                if sum(map(len, rows)) > HELD:
-                    yield told(rows, counts)
-                    rows, counts = [], []
-        if rows:
-            yield told(rows, counts)
+                yield told(w)
 
     return docs.mapInArrow(run, f"by byte, {', '.join(f'{w} long' for w in _SUFFIX)}, n long")
 
