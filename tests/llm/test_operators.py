@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, mixing, packing, quality, shards, shinglesets, simhash, substring, tokenfile, topk, urlfilter
+from factloom.llm import chat, mixing, packing, quality, queries, shards, shinglesets, simhash, substring, tokenfile, topk, urlfilter
 from factloom.llm.components import components
 from tests.llm.odd import ROWS, SCHEMA, no_docs, odd_docs, words
 
@@ -256,6 +256,33 @@ def test_top_k_of_few_rows(spark):
     assert topk.top_k(rows.limit(0), F.lit(True)).count() == 0
 
 
+def test_op4_takes_every_row_but_the_querys_own(spark, tmp_path):
+    """Rows that share a query's id are candidates, and queries with ranks of their own; large scores don't wrap round."""
+    rows = [(100, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [-1.0, 2.0]), (7, [0.25, 0.25]), (None, [0.0, 1.0]), (9, [-3e12, -3e12]), (8, [2e6, -3e6])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = [(i, [math.floor(1024 * float(np.float32(x))) for x in e]) for i, e in rows]
+    want = []
+    for n, (q, e) in enumerate(v):
+        if q == 100:
+            others = [(-sum(a * b for a, b in zip(e, f, strict=True)), c is None, c) for m, (c, f) in enumerate(v) if m != n]
+            want += [(q, rank, c, -s) for rank, (s, _, c) in enumerate(sorted(others), 1)]
+    got = rows_of(queries.QUERIES["op4_topk_uniform_threshold"](spark, str(tmp_path)), "query_id", "rank", "vec_id", "score")
+    key = lambda r: (r[1], r[3], r[2] is None, r[2] or 0)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_top_k_of_scores_at_the_end_of_a_long(spark):
+    """A score that fits is exact though others, and its own terms, don't."""
+    rng = np.random.default_rng(8)
+    v = {i: [int(x) for x in rng.integers(-(10**9), 10**9, 8)] for i in range(300)} | {900: [2**62, -(2**62), 3] + [0] * 5, 0: [5, 5, 7, 0, 0, 0, 0, 10**9]}
+    got = topk.top_k(spark.createDataFrame(list(v.items()), "vec_id long, v array<long>"), F.col("vec_id") % 100 == 0, item_block=40)
+    want = set()
+    for q in (0, 100, 200, 900):
+        fit = {c: min(max(sum(a * b for a, b in zip(v[q], v[c], strict=True)), -(2**63)), 2**63 - 1) for c in v if c != q}
+        want |= {(q, n, c, s) for n, (c, s) in enumerate(sorted(fit.items(), key=lambda r: (-r[1], r[0]))[:10], 1)}
+    assert set(rows_of(got, "query_id", "rank", "vec_id", "score")) == want
+
+
 # ---- 5 token files ----
 
 
