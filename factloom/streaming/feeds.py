@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.sources.files import read_sessions, session_files
+from factloom.sources.files import session_files, tables_of_sessions
+from factloom.sources.scratch import listed, remove, written
 
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -81,16 +83,17 @@ def stream_sessions(
     a reason) is a row of ``session_outcomes``. A session that can't be read, or that ``archive`` refuses, is tried again
     with every batch and at every start; so it enters once it is mended, and the stream never stops for it.
     """
-    taken = lambda folders, number: _take_sessions(spark, folders, archive, outcomes, number, max_files)
-    if latest := session_outcomes(spark, outcomes):
-        taken([], latest.agg(F.max("batch")).first()[0] + 1)
 
-    def each(df: DataFrame, number: int) -> None:
-        folder = F.regexp_extract("path", r"^(.*/(?:session_ts=)?\d{4}-\d{2}-\d{2}_\d{6})/", 1)
-        # a batch has max_files files at most
+    def taken(folders: DataFrame | None) -> None:
         before = session_outcomes(spark, outcomes)
-        last = before.agg(F.max("batch")).first()[0] + 1 if before else 0
-        taken([r[0] for r in df.select(folder).distinct().collect()], last)
+        number = before.agg(F.max("batch")).first()[0] + 1 if before else 0
+        _take_sessions(spark, folders, archive, outcomes, number, max_files)
+
+    if session_outcomes(spark, outcomes):
+        taken(None)
+
+    def each(df: DataFrame, number: int) -> None:
+        taken(df.select("folder").distinct())
 
     files = session_files(spark.readStream, root, maxFilesPerTrigger=str(max_files))
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -105,20 +108,34 @@ def session_outcomes(spark: SparkSession, outcomes: str) -> DataFrame | None:
     return rows.groupBy("folder").agg(F.max(F.struct("batch", "status", "reason")).alias("l")).select("folder", "l.status", "l.reason", "l.batch")
 
 
-def _take_sessions(spark: SparkSession, folders: list[str], archive: Callable, outcomes: str, number: int, most: int) -> None:
-    before = session_outcomes(spark, outcomes)
-    again = before.where("status = 'failed'").orderBy("batch", "folder").limit(most).select("folder").collect() if before else []
-    folders = sorted({*folders, *(r[0] for r in again)})
-    if not folders:
-        return
-    tables = read_sessions(spark, folders)
+def _take_sessions(spark: SparkSession, folders: DataFrame | None, archive: Callable, outcomes: str, number: int, most: int) -> None:
+    touched = folders if folders is not None else spark.createDataFrame([], "folder string")
+    if before := session_outcomes(spark, outcomes):
+        touched = touched.union(before.where("status = 'failed'").orderBy("batch", "folder").limit(most).select("folder"))
+    made: list[str] = []
+    with listed(made):
+        tables = _tables_of(spark, written(touched.distinct(), "touched"))
+    if tables:
+        _archive_sessions(tables, archive, f"{outcomes}/batch={number}")
+    remove(spark, made)
+
+
+def _tables_of(spark: SparkSession, touched: DataFrame) -> dict[str, DataFrame] | None:
+    # packed sessions are found in the files of their base; of others, whose folders are read, a batch has max_files at most
+    base = F.regexp_extract("folder", r"^(.*/packed)/", 1)
+    packed = touched.where(base != "")
+    rows = [session_files(spark.read, [r[0]]).join(packed, "folder", "left_semi") for r in packed.select(base).distinct().collect()]
+    if plain := sorted(r[0] for r in touched.where(base == "").collect()):
+        rows.append(session_files(spark.read, plain))
+    return tables_of_sessions(functools.reduce(DataFrame.unionByName, rows)) if rows else None
+
+
+def _archive_sessions(tables: dict[str, DataFrame], archive: Callable, path: str) -> None:
     waiting, failed = F.lit("waiting"), F.lit("failed")
     status = F.when(~F.col("complete"), waiting).when(F.col("broken").isNotNull(), failed).otherwise("archived")
-    told = F.concat_ws("/", "strategy", "session_ts").alias("k"), status.alias("status"), F.col("broken").alias("reason")
+    told = F.col("folder"), status.alias("status"), F.col("broken").alias("reason")
     try:
         archive(tables)
     except Exception as error:  # of the batch; its sessions are tried again
         told = (told[0], F.when(~F.col("complete"), waiting).otherwise(failed).alias("status"), F.lit(f"{type(error).__name__}: {error}"[:500]).alias("reason"))
-    named = spark.createDataFrame([(f, "/".join(p.split("=")[-1] for p in f.rsplit("/", 2)[-2:])) for f in folders], "folder string, k string")
-    rows = tables["sessions"].select(*told).join(named, "k").select("folder", "status", "reason")
-    rows.write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
+    tables["sessions"].select(*told).write.mode("overwrite").parquet(path)

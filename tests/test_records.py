@@ -261,6 +261,21 @@ def test_streams_equal_batches(spark, tmp_path):
         assert len(feeds.progress_from_events(nothing.withColumn("stage", F.lit(stage))).collect()) == 12  # shares of none stop nothing
 
 
+def test_sessions_are_packed_in_few_files_and_replaced(spark, tmp_path):
+    """400 sessions (1600 files, each in three folders of its own before) are files of up to 1000; what is put again replaces."""
+    root = str(tmp_path / "s")
+    runs = spark.range(400).selectExpr("cast(id AS string) AS run_id", "'q' AS query", "'rapid' AS strategy", "timestamp_seconds(id) AS created_at")
+    findings = runs.selectExpr("run_id", "1 AS seq", "'a\nb' AS question", "1 AS iteration")
+    sources, reports = frame(spark, [], "run_id string, source_index int, title string"), runs.selectExpr("run_id", "'r' AS report")
+    files.write_sessions(runs, findings, sources, reports, root)
+    assert len([p for p in (tmp_path / "s").rglob("part-*")]) <= 16
+    files.write_sessions(runs.where("run_id = '7'"), findings.where("run_id = '7'").withColumn("question", F.lit("new")), sources, reports, root)
+    got = files.read_sessions(spark, root)
+    assert got["sessions"].where("complete").count() == 400
+    asked = {r.run_id: r.question for r in got["findings"].collect()}
+    assert len(asked) == 400 and asked.pop("7") == "new" and set(asked.values()) == {"a\nb"}
+
+
 def session(root, name, findings="[]", meta=None, files=("report.md", "findings.json", "sources.json", "meta.json")):
     texts = {"report.md": "# R", "findings.json": findings, "sources.json": '[{"title": "t", "url": "http://x"}]', "meta.json": meta or f'{{"researchId": "{name}", "query": "q"}}'}
     folder = root / "rapid" / name
