@@ -7,10 +7,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import queries
 from factloom.functions import text as T
 from factloom.operators import archive, pages, sources, wiki
 from factloom.plans import rounds
 from factloom.sources import files, sqlite, store
+from factloom.sources.views import Views
 from factloom.streaming import feeds
 
 DAY = "2026-01-01"
@@ -383,3 +385,11 @@ def test_history_comes_back_from_sqlite(spark, tmp_path):
     assert logs == sorted(("ab"[i % 2], i + 1, f"m{i}", i if i % 3 else None) for i in range(10) if i not in (3, 4)) and got["history_sources"].count() == 0
     parted = sqlite.read_table(spark, str(path), "research_logs", rows=3)
     assert parted.count() == 8 and parted.rdd.getNumPartitions() == 4
+
+
+def test_parts_of_a_compile_share_one_table_of_sources(spark):
+    """Every part of a compile joined documents, pages and conversations anew before."""
+    made = queries._compiled(Views(spark, "/root/testdata/sf0.001"))
+    for name in ("pages", "manifest", "topics", "summary", "old"):
+        read = made[name].inputFiles()
+        assert read and not any("documents.parquet" in f for f in read)
