@@ -1,10 +1,12 @@
 """What a query takes must not outgrow its input."""
 
+import re
 import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from factloom.functions.text import SPACE, SPACES, trimmed
 from factloom.operators import pages
 from factloom.plans import rounds
 
@@ -53,3 +55,22 @@ def test_best_pages_by_all_scores():
     for i in range(0, n, 40):
         scores = [(-(sum(w in t for w in words[i]) + 5 * (questions[i] in t)), f"p{p}") for p, t in enumerate(texts)]
         assert sorted(got.get(i, [])) == sorted(s for s in scores if s[0])[:k]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_front_matter_is_matched_once(spark):
+    df = spark.createDataFrame([("p", "---\na: 1\na: 'two'\nb:\n  - x\n  - y\n---\n\nbody")], "path string, content string")
+    told = pages.read_frontmatter(df).select("path", "fields", "lists")
+    assert plan(told).count("regexp_extract_all") == 5
+    assert tuple(told.first()) == ("p", {"a": "two"}, {"b": ["x", "y"]})
+
+
+def test_white_space_is_taken_from_ends_only(spark):
+    texts = ["", " ", "\u3000a b\ufeff\n", "a \x85", "\x1c a", "a" * 50 + " " * 50 + "b", "\t\u2003é\u202f\r"]
+    space = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and re.match(SPACE.replace(r"\x{", r"\u{").translate({ord("{"): None, ord("}"): None}).replace(r"\ua0", r"\xa0"), chr(i)))
+    assert sorted(space) == sorted(SPACES)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", trimmed("t")).orderBy("i").collect()
+    assert [r[1] for r in rows] == [t.strip(SPACES) for t in texts]
