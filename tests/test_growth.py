@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.functions.text import SPACE, SPACES, trimmed
-from factloom.operators import pages
+from factloom.operators import pages, wiki
 from factloom.plans import rounds
 
 
@@ -74,3 +74,15 @@ def test_white_space_is_taken_from_ends_only(spark):
     assert sorted(space) == sorted(SPACES)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", trimmed("t")).orderBy("i").collect()
     assert [r[1] for r in rows] == [t.strip(SPACES) for t in texts]
+
+
+def test_lint_matches_front_matter_once(spark):
+    found = [("Sources/r/a.md", "---\ntype: source\nurl: null\n---\n"), ("Topics/t.md", "---\ntype: topic\nsources:\n---\n[[x]]"), ("Topics/u.md", "---\ntype: topic\nsources:\n  - s\n---\n"), ("Home.md", "[[Topics/t]]")]
+    df = spark.createDataFrame(found, "path string, content string")
+    manifest = spark.createDataFrame([("s", ["Topics/u.md", "gone.md"])], "source_id string, pages array<string>")
+    issues = wiki.lint_wiki(df, manifest)
+    assert plan(issues).count("regexp_extract_all") <= 2  # those of links
+    assert sorted(map(tuple, issues.fillna("").collect())) == [
+        ("error", "broken_wikilink", "Topics/t.md", "x"), ("error", "manifest_missing_page", "gone.md", "s"),
+        ("warn", "missing_url", "Sources/r/a.md", ""), ("warn", "topic_no_sources", "Topics/t.md", ""),
+    ]
