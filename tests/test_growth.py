@@ -86,3 +86,19 @@ def test_lint_matches_front_matter_once(spark):
         ("error", "broken_wikilink", "Topics/t.md", "x"), ("error", "manifest_missing_page", "gone.md", "s"),
         ("warn", "missing_url", "Sources/r/a.md", ""), ("warn", "topic_no_sources", "Topics/t.md", ""),
     ]
+
+
+def test_prompts_are_not_held_by_the_thousand(spark):
+    """400 MB of prompts in one partition; the callable tells how much its process holds."""
+
+    def held(text):
+        if not text.startswith("p"):
+            raise ValueError("odd")
+        with open("/proc/self/statm") as f:
+            return str(int(f.read().split()[1]) * 4096)
+
+    prompts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("prompt_id"), F.repeat(F.when(F.col("id") == 7, "q").otherwise("p"), F.lit(100_000)).alias("prompt"))
+    told = rounds.complete_prompts(prompts, held).drop("prompt").collect()
+    assert len(told) == 4000
+    assert [(r.prompt_id, r.response, r.error) for r in told if r.error] == [(7, None, "ValueError: odd")]
+    assert max(int(r.response) for r in told if r.response) < 200e6
