@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.functions.text import SPACE, SPACES, trimmed
-from factloom.operators import pages, wiki
+from factloom.operators import archive, pages, wiki
 from factloom.plans import rounds
 
 
@@ -102,3 +102,16 @@ def test_prompts_are_not_held_by_the_thousand(spark):
     assert len(told) == 4000
     assert [(r.prompt_id, r.response, r.error) for r in told if r.error] == [(7, None, "ValueError: odd")]
     assert max(int(r.response) for r in told if r.response) < 200e6
+
+
+def test_archive_goes_over_sources_for_sources_and_counts_only(spark):
+    day = F.current_timestamp().alias("archived_at")
+    runs = spark.createDataFrame([("r", "q"), (" ", "none")], "run_id string, query string").select("*", day)
+    findings = spark.createDataFrame([("r", 1, "q")], "run_id string, seq int, question string")
+    sources = spark.createDataFrame([("r", 1, "t", "u", "s")], "run_id string, source_index int, title string, url string, snippet string")
+    reports = spark.createDataFrame([("r", "text")], "run_id string, report string")
+    made = archive.archive_runs(None, runs, findings, sources, reports)
+    assert [plan(made[name]).count("LogicalRDD") for name in ("reports", "findings")] == [2, 2]  # its own rows, and runs for their time
+    assert [(r.run_id, r.report) for r in made["reports"].collect()] == [("r", "text")]
+    assert [(r.run_id, r.seq) for r in made["findings"].collect()] == [("r", 1)]
+    assert [(r.run_id, r.sources_count, r.report_length) for r in made["runs"].collect()] == [("r", 1, 4)]
